@@ -44,3 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = named or os.path.join(tempfile.gettempdir(), "panelweave-checkpoints")
     context.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut, stored in the checkpoint folder that all executors share."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
