@@ -79,3 +79,30 @@ def never_backwards(df: DataFrame, key: str, known: str, period: str) -> DataFra
     """Rows whose period is later than every period of the key known before."""
     w = W.partitionBy(key).orderBy(known, period).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("_p", F.max(period).over(w)).where(F.col("_p").isNull() | (F.col(period) > F.col("_p"))).drop("_p")
+
+
+def long_rolling_sums(df: DataFrame, by: str, order: str, xs: dict[str, Column], window: int) -> DataFrame:
+    """df with sums over the last `window` rows as differences of running sums: linear in the rows however long the window."""
+    w = along(by, order)
+    run = w.rowsBetween(W.unboundedPreceding, 0)
+    d = df.withColumns({f"_c_{n}": F.sum(F.coalesce(x, F.lit(0.0))).over(run) for n, x in xs.items()})
+    return d.withColumns({n: F.col(f"_c_{n}") - F.coalesce(F.lag(f"_c_{n}", window).over(w), F.lit(0.0)) for n in xs}).drop(*[f"_c_{n}" for n in xs])
+
+
+def long_rolling_std(df: DataFrame, by: str, order: str, x: str, window: int, min_periods: int, out: str) -> DataFrame:
+    """Deviation over a long window, from sums."""
+    v = F.col(x)
+    d = long_rolling_sums(df, by, order, {"_n": v.isNotNull().cast("double"), "_s": v, "_q": v * v}, window)
+    var = (F.col("_q") - F.col("_s") * F.col("_s") / F.when(F.col("_n") > 0, F.col("_n"))) / F.when(F.col("_n") > 1, F.col("_n") - 1)
+    return d.withColumn(out, F.when(F.col("_n") >= min_periods, F.sqrt(F.greatest(var, F.lit(0.0))))).drop("_n", "_s", "_q")
+
+
+def long_rolling_corr(df: DataFrame, by: str, order: str, x: str, y: str, window: int, min_periods: int, out: str) -> DataFrame:
+    """Correlation of the pairwise complete rows over a long window, from sums; null without variance."""
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(ok, F.col(x)), F.when(ok, F.col(y))
+    d = long_rolling_sums(df, by, order, {"_n": ok.cast("double"), "_a": a, "_b": b, "_aa": a * a, "_bb": b * b, "_ab": a * b}, window)
+    n = F.when(F.col("_n") >= min_periods, F.col("_n"))
+    va, vb = F.col("_aa") - F.col("_a") * F.col("_a") / n, F.col("_bb") - F.col("_b") * F.col("_b") / n
+    c = F.col("_ab") - F.col("_a") * F.col("_b") / n
+    return d.withColumn(out, F.try_divide(c, F.sqrt(F.when((va > 1e-14) & (vb > 1e-14), va * vb)))).drop("_n", "_a", "_b", "_aa", "_bb", "_ab")

@@ -167,7 +167,7 @@ def e07(spark: SparkSession, root: str) -> DataFrame:
 e AS (SELECT n + 1 AS n, g.portfolio, asset_id, weight * g / nav AS w FROM g JOIN nv USING (rebalance_date, portfolio, date) JOIN ls ON ls.rebalance_date = g.rebalance_date AND ls.d = g.date JOIN n ON n.rebalance_date = g.rebalance_date),
 t AS (SELECT n, portfolio, asset_id, weight AS w FROM bk JOIN n USING (rebalance_date)),
 ch AS (SELECT coalesce(t.n, e.n) AS n, coalesce(t.portfolio, e.portfolio) AS portfolio, coalesce(t.w, 0) - coalesce(e.w, 0) AS w FROM t FULL JOIN e ON e.n = t.n AND e.portfolio = t.portfolio AND e.asset_id = t.asset_id)
-SELECT rebalance_date, portfolio, {rs('sum(abs(w)) / 2', 7)} AS turnover, {rs('CASE WHEN rebalance_date IN (SELECT rebalance_date FROM pd) THEN sum(abs(w)) * 10 / 10000 ELSE 0 END', 7)} AS cost FROM ch JOIN n USING (n) GROUP BY ALL""",
+SELECT rebalance_date, portfolio, {rs('t', 7)} AS turnover, {rs('CASE WHEN h.r IS NOT NULL THEN 2 * t * 10 / 10000 ELSE 0 END', 7)} AS cost FROM (SELECT rebalance_date, portfolio, sum(abs(w)) / 2 AS t FROM ch JOIN n USING (n) GROUP BY ALL) LEFT JOIN (SELECT DISTINCT rebalance_date AS r FROM pd) h ON h.r = rebalance_date""",
 )
 def e10(spark: SparkSession, root: str) -> DataFrame:
     """Turnover from drifted weights and its cost at 10 basis points."""
