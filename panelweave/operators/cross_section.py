@@ -120,9 +120,14 @@ def zscore(df: DataFrame, by: list[str], x: str, out: str, min_count: int = 0) -
     return d.withColumn(out, z).drop("n", "mean", "std")
 
 
+def share(j: int, k: int) -> float:
+    """j / k as it comes out of evenly spaced points taken to per cent and back."""
+    return j * (1.0 / k) * 100.0 / 100.0
+
+
 def edge(n: Column, j: int, k: int) -> Column:
     """The j-th of k quantile edges of the ranks 1..n, interpolated as numpy does it, so that equal edges fall equally."""
-    pos = F.lit(j / k) * (n - 1)
+    pos = F.lit(share(j, k)) * (n - 1)
     a = F.floor(pos)
     t = pos - a
     return F.when(t >= 0.5, (a + 2) - (1 - t)).otherwise((a + 1) + t)

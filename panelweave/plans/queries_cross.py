@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.nulls import safe_div
-from panelweave.operators.cross_section import average_ranks, bounds, bucket_codes, breakpoints, clip_outliers, cut, demean, fill_missing, moments, quantiles, size_buckets, winsorize, zscore
+from panelweave.operators.cross_section import average_ranks, bounds, bucket_codes, breakpoints, clip_outliers, cut, demean, fill_missing, moments, quantiles, share, size_buckets, winsorize, zscore
 from panelweave.operators.portfolio import leg_weights, spread, value_weighted
 from panelweave.operators.regression import group_ols, residualize
 from panelweave.plans.panels import daily, monthly
@@ -134,8 +134,10 @@ def x07_ffill(spark: SparkSession, root: str) -> DataFrame:
     return fill_missing(log_size(spark, root).select("date", "asset_id", "ret"), "ret", "ffill", ["asset_id"], "date", limit=2).select("date", "asset_id", "ret")
 
 
+_POS = "(p * (n - 1))"
+_EDGE = f"CASE WHEN {_POS} - floor({_POS}) >= 0.5 THEN floor({_POS}) + 2 - (1 - ({_POS} - floor({_POS}))) ELSE floor({_POS}) + 1 + ({_POS} - floor({_POS})) END"
 _CODE = f"""k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY x, asset_id) AS rk, count(*) OVER (PARTITION BY date) AS n FROM x WHERE x IS NOT NULL),
-c AS (SELECT *, CASE WHEN n >= {K} THEN CAST((SELECT count(*) FROM (SELECT unnest(generate_series(1, {K - 1})) AS j) WHERE rk > CASE WHEN (j / {K}.0::DOUBLE) * (n - 1) - floor((j / {K}.0::DOUBLE) * (n - 1)) >= 0.5 THEN floor((j / {K}.0::DOUBLE) * (n - 1)) + 2 - (1 - ((j / {K}.0::DOUBLE) * (n - 1) - floor((j / {K}.0::DOUBLE) * (n - 1)))) ELSE floor((j / {K}.0::DOUBLE) * (n - 1)) + 1 + ((j / {K}.0::DOUBLE) * (n - 1) - floor((j / {K}.0::DOUBLE) * (n - 1))) END) AS BIGINT) END AS code FROM k)"""
+c AS (SELECT *, CASE WHEN n >= {K} THEN CAST((SELECT count(*) FROM (SELECT unnest({[share(j, K) for j in range(1, K)]}::DOUBLE[]) AS p) WHERE rk > {_EDGE}) AS BIGINT) END AS code FROM k)"""
 
 
 @query("x09_deciles", f"WITH {X}, {_CODE} SELECT date, asset_id, code FROM c WHERE code IS NOT NULL")
