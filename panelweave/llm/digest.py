@@ -15,6 +15,8 @@ SIZE = 500
 #: Share of ranks by which a percentile may be off, besides half a rank.
 RANK_ERROR = 0.01
 FLUSH_ROWS = 1_000_000
+#: Tasks among which the counting of one group may be spread.
+SALTS = 16
 
 
 def compress(codes: np.ndarray, means: np.ndarray, weights: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +149,10 @@ def certified_percentiles(df: DataFrame, coarse: list[str], fine: list[str], val
     both = same(low.alias("a"), high.select(*coarse, F.col("estimates").alias("_high"), F.col("n_values").alias("_hn")).alias("b"), coarse).select(*[F.col(f"a.{c}") for c in by], F.col("estimates").alias("_low"), F.col("n_values").alias("_ln"), "_high", "_hn")
     v = F.col(f"`{value}`").cast("double")
     rows = df.select(*by, v.alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
-    near = same(rows.alias("a"), both.alias("b"), by)
+    # both sides salted: a group that holds a third of all rows is counted by SALTS tasks, then added up
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = same(salted.alias("a"), copies.alias("b"), [*by, "_salt"])
     at = range(len(probs))
     count = lambda e, op, i: F.sum((F.col("_v") < F.col(e)[i] if op == "l" else F.col("_v") <= F.col(e)[i]).cast("long")).alias(f"{e}{op}{i}")
     counted = near.groupBy(*[F.col(f"b.{c}").alias(c) for c in by]).agg(*[count(e, op, i) for e in ("_low", "_high") for op in "le" for i in at], *[F.first(c).alias(c) for c in ("_low", "_ln", "_high", "_hn")])

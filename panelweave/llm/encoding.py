@@ -46,6 +46,8 @@ SWITCH, SWITCH_OTHER, STRANGE, STRANGE_MOST = 2.0, 5.0, 0.5, 4.0
 UNSEEN, EVERYDAY, HAN = -25.0, -14.0, -18.0
 #: A span must gain this much over the clean reading.
 LEAST_GAIN = 3.0
+#: Characters decoded at once, unless there is no gap to cut at.
+CLUSTER = 4000
 #: Times a repaired text is looked at again.
 LEVELS = 4
 
@@ -189,18 +191,19 @@ class Model:
         text = _CODE.sub(lambda m: "\0" * len(m.group()), raw) if "`" in raw else raw
         if not _SUSPECT.search(text):
             return []
+        # Stretches free of suspicion cost and gain nothing: only clusters around suspicious characters are decoded. A long
+        # cluster is cut, where there is a gap if possible, so that the lattice in memory is bounded for any text.
         out: list[tuple[int, int, int, str]] = []
-        # stretches free of suspicion cost and gain nothing: only clusters around suspicious characters are decoded
-        cluster: list[int] = []
-        spots = [m.start() for m in _SUSPECT.finditer(text)]
-        for at in spots:
-            if cluster and at - cluster[1] > 40:
-                out += self._decode(text, raw, max(0, cluster[0] - 12), min(len(text), cluster[1] + 14))
-                cluster = []
-            cluster = [cluster[0] if cluster else at, at]
-        if cluster:
-            out += self._decode(text, raw, max(0, cluster[0] - 12), min(len(text), cluster[1] + 14))
-        return out
+        first = last = None
+        done = 0
+        for at in [m.start() for m in _SUSPECT.finditer(text)]:
+            if first is not None and (at - last > 40 or (at - first > CLUSTER and at - last > 2) or at - first > 4 * CLUSTER):
+                end = min(at, last + 14)
+                out += self._decode(text, raw, max(done, first - 12), end)
+                first, done = None, end
+            first = at if first is None else first
+            last = at
+        return out + self._decode(text, raw, max(done, first - 12), min(len(text), last + 14))
 
     def _decode(self, text: str, raw: str, lo: int, hi: int) -> list[tuple[int, int, int, str]]:
         # a token is a stretch of ASCII or one other character; a stretch is cut after its first character, which may be the second byte of a Shift-JIS character
