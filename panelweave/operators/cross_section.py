@@ -185,6 +185,10 @@ def demean(df: DataFrame, by: list[str], xs: list[str]) -> DataFrame:
 def breakpoints(df: DataFrame, by: list[str], spec: dict[str, tuple[str, list[float]]], reference: Column, min_reference: int = 1) -> DataFrame:
     """Quantiles over the reference rows of each group: spec maps a prefix to (column, probs), giving <prefix>_0, <prefix>_1, ..."""
     ref = df.where(reference)
+    if largest_group(ref, by) <= GROUP_ROWS:
+        q = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"_{n}") for n, (c, probs) in spec.items()]
+        out = ref.groupBy(*by).agg(F.count(F.lit(1)).alias("_ref"), *q).where(F.col("_ref") >= min_reference)
+        return out.select(*by, *[F.col(f"_{n}")[i].alias(f"{n}_{i}") for n, (_, probs) in spec.items() for i in range(len(probs))])
     out = ref.groupBy(*by).agg(F.count(F.lit(1)).alias("_ref")).where(F.col("_ref") >= min_reference).drop("_ref")
     for name, (c, probs) in spec.items():
         out = out.join(quantiles(ref, by, c, probs, [f"{name}_{i}" for i in range(len(probs))]), by)

@@ -57,6 +57,25 @@ def group_ols(df: DataFrame, by: list[str], y: str, xs: list[str], intercept: bo
     return fit.select(*by, "n", *[F.col("_b")[i].alias(f"beta_{x}") for i, x in enumerate(xs)], alpha.alias("alpha"), F.try_divide(explained, F.when(F.col("_yy") > 0, F.col("_yy"))).alias("r2"))
 
 
+def rolling_residual(df: DataFrame, w, y: str, xs: list[str], window: int, min_obs: int, out: str) -> DataFrame:  # noqa: ANN001
+    """df with the current row's residual of a regression over the last `window` rows, itself included.
+
+    Cross products are framed sums along w; each row's small system is solved in batches. Incomplete rows count as absent.
+    """
+    ok = F.lit(True)
+    for c in [y, *xs]:
+        ok &= F.col(c).isNotNull()
+    f = w.rowsBetween(-(window - 1), 0)
+    one = [F.when(ok, F.lit(1.0)), *[F.when(ok, F.col(x)) for x in xs]]
+    p = len(one)
+    d = df.withColumns({"_n": F.count(one[0]).over(f), "_xx": F.array(*[F.coalesce(F.sum(one[i] * one[j]).over(f), F.lit(0.0)) for i, j in _products(p)]), "_xy": F.array(*[F.coalesce(F.sum(v * F.col(y)).over(f), F.lit(0.0)) for v in one])})
+    d = d.withColumn("_b", _coefficients("_xx", "_xy"))
+    hat = F.col("_b")[0]
+    for i, x in enumerate(xs):
+        hat = hat + F.col("_b")[i + 1] * F.col(x)
+    return d.withColumn(out, F.when(ok & (F.col("_n") >= min_obs), F.col(y) - hat)).drop("_n", "_xx", "_xy", "_b")
+
+
 def residualize(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, category: str | None = None, min_obs: int = 20) -> DataFrame:
     """df with the residual of y on xs (and, absorbed, on category) per group.
 

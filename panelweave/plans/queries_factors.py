@@ -15,6 +15,8 @@ from panelweave.operators.cross_section import breakpoints, bucket_codes, size_b
 from panelweave.operators.portfolio import high_minus_low, leg_weights, simulate_fixed, value_weighted
 from panelweave.operators.time_series import along, long_rolling_corr, long_rolling_std, rolling_compound, rolling_std, strict_compound
 from panelweave.plans.panels import SAMPLE, daily, is_financial, june_accounts, june_formation, link, monthly, monthly_accounts, quarters
+from panelweave.operators.allocation import eigenrisk_concentration, risk_parity
+from panelweave.operators.regression import rolling_residual
 from panelweave.plans.queries_cross import rank_weights
 from panelweave.plans.queries_panel import _LINKED, _PUBLIC, _RANGES, _SAMPLE, june_sql
 from panelweave.plans.registry import D, L, M, q_sql, query, r, rs
@@ -164,7 +166,7 @@ ff AS (SELECT f3.date, mkt - coalesce(rf, 0) AS mkt_rf, smb, hml, coalesce(rf, 0
 def three_factors(spark: SparkSession, root: str) -> DataFrame:
     """(date, mkt_rf, smb, hml, rf): groups of the June 2 x 3 sort, re-weighted monthly by lagged market equity."""
     lm = lagged(spark, root)
-    g = size_buckets(june_formation(spark, root), ["rebalance_date"], "bm").select(F.year("rebalance_date").cast("long").alias("formation_year"), "asset_id", "group")
+    g = size_buckets(materialize(june_formation(spark, root).select("rebalance_date", "asset_id", "market_equity", "exchange_code", "bm")), ["rebalance_date"], "bm").select(F.year("rebalance_date").cast("long").alias("formation_year"), "asset_id", "group")
     j = lm.where("lag_me > 0").join(g, ["formation_year", "asset_id"])
     gr = j.groupBy("date", "group").agg((F.sum(F.col("lag_me") * F.coalesce("ret", F.lit(0.0))) / F.sum("lag_me")).alias("ret"))
     leg = lambda *names: F.avg(F.when(F.col("group").isin(*names), F.col("ret")))
@@ -184,7 +186,7 @@ def annual_factor(spark: SparkSession, root: str, x: str, lag_cols: list[str], n
     a = june_accounts(spark, root, lag_cols)
     sic = monthly(spark, root).select(F.col("date").alias("rebalance_date"), "asset_id", "siccd")
     a = a.join(sic, ["rebalance_date", "asset_id"], "left").where(~is_financial("siccd")).withColumn("c", F.expr(x)).where("c is not null and exchange_code is not null")
-    g = size_buckets(a.select("rebalance_date", "asset_id", "market_equity", "exchange_code", "c"), ["rebalance_date"], "c").select(F.year("rebalance_date").cast("long").alias("formation_year"), "asset_id", "group")
+    g = size_buckets(materialize(a.select("rebalance_date", "asset_id", "market_equity", "exchange_code", "c")), ["rebalance_date"], "c").select(F.year("rebalance_date").cast("long").alias("formation_year"), "asset_id", "group")
     groups = value_weighted(lagged(spark, root).join(g, ["formation_year", "asset_id"]), ["date", "group"], "ret", "lag_me")
     return high_minus_low(groups, name)
 
@@ -442,3 +444,54 @@ def f35(spark: SparkSession, root: str) -> DataFrame:
     """All traded factors in one table."""
     return factor_universe(spark, root).select("date", "factor", r("ret", 7))
 
+
+
+@query("f06_residual_momentum")
+def f06(spark: SparkSession, root: str) -> DataFrame:
+    """Mean over deviation of three-factor residuals, months 12 to 2 back (F06, T10); the kernel is tested against NumPy."""
+    m = monthly(spark, root).select("date", "asset_id", "ret")
+    d = m.join(F.broadcast(materialize(three_factors(spark, root))), "date", "left").withColumn("excess", F.col("ret") - F.col("rf"))  # factors: one row per month
+    w = along("asset_id", "date")
+    d = rolling_residual(d, w, "excess", ["mkt_rf", "smb", "hml"], 36, 24, "res")
+    f = w.rowsBetween(-12, -2)
+    sd = rolling_std("res", w, -12, -2, 8)
+    return exposure(d, F.avg("res").over(f) / F.when(sd > 0, sd), 5)
+
+
+@query("m11_risk_parity")
+def m11(spark: SparkSession, root: str) -> DataFrame:
+    """Four allocation rules over all traded factors."""
+    u = factor_universe(spark, root)
+    return risk_parity(u)[0].select("date", "strategy", r("gross", 6), r("turnover", 4), r("cost", 6), r("ret", 6))
+
+
+@query("a22_eigenrisk")
+def a22(spark: SparkSession, root: str) -> DataFrame:
+    """Concentration of risk over eigenvectors per rule."""
+    return eigenrisk_concentration(risk_parity(factor_universe(spark, root))[2]).select("strategy", r("mean", 5), r("median", 5), r("max", 5))
+
+
+@query("m12_bayesian_sdf")
+def m12(spark: SparkSession, root: str) -> DataFrame:
+    """Inclusion probabilities of the traded factors in a Bayesian discount factor.
+
+    Series of months are collected: factors and test assets are a few dozen columns by construction, whatever the panel.
+    """
+    import numpy as np
+
+    from panelweave.operators.allocation import prior_scale, spike_and_slab
+
+    fs = factor_universe(spark, root).toPandas().pivot(index="date", columns="factor", values="ret")
+    rs_ = f36(spark, root).toPandas().pivot(index="date", columns="portfolio", values="ret")
+    both = fs.join(rs_, how="inner").dropna()
+    f, a = both[fs.columns].to_numpy(), both[rs_.columns].to_numpy()
+    names = list(fs.columns)
+    schema = "factor string, inclusion double, price double, months long"
+    if len(both) < f.shape[1] + a.shape[1] + 12 or a.shape[1] <= f.shape[1]:
+        return spark.createDataFrame([], schema)
+    try:
+        psi = prior_scale(f, a)
+    except ValueError:
+        psi = 1.0
+    p = spike_and_slab(f, a, draws=1500, burn=500, psi0=psi)
+    return spark.createDataFrame([(n, float(np.round(i, 6)), float(np.round(x, 6)), len(both)) for n, i, x in zip(names, p.inclusion.mean(axis=0), p.price.mean(axis=0))], schema)
