@@ -44,8 +44,9 @@ def trades(q: DataFrame, prices: DataFrame, rolls: DataFrame, trim: float = 0.0)
     j = e.join(x, ["ticker", "exit_date", "optionid"]).join(spot("entry"), ["ticker", "entry_date"]).join(spot("exit"), ["ticker", "exit_date"]).where("exdate >= exit_date")
     j = j.dropna(subset=["spot_entry", "spot_exit", "delta", "mid", "mid_exit"]).withColumn("omega", F.abs("delta") * F.col("spot_entry") / F.col("mid"))
     if trim > 0:
-        b = quantiles(j.withColumn("_o", F.lit(1)), ["_o"], "omega", [trim, 1 - trim], ["_lo", "_hi"]).drop("_o")
-        j = j.join(F.broadcast(b), F.col("omega").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")  # one row of limits
+        j = j.withColumn("_o", F.lit(1))
+        b = quantiles(j, ["_o"], "omega", [trim, 1 - trim], ["_lo", "_hi"])
+        j = j.join(F.broadcast(b), "_o").where("omega between _lo and _hi").drop("_o", "_lo", "_hi")  # one row of limits
     dh = (F.col("mid_exit") - F.col("mid") - F.col("delta") * (F.col("spot_exit") - F.col("spot_entry"))) / F.col("mid")
     return j.withColumns({"dh_ret": dh, "value": F.col("mid") * F.coalesce("open_interest", F.lit(0)) * F.coalesce("contract_size", F.lit(100.0)), "delta_band": delta_band(F.col("delta")), "maturity_band": maturity_band(F.col("dte"))})
 
@@ -84,9 +85,12 @@ def low_leverage_spread(t: DataFrame, least: int = 1) -> tuple[DataFrame, DataFr
     return g, total
 
 
-def levered_pairs(returns: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
-    """(date, pair, spread) of excess returns (date, ticker, excess): one-fold fund minus half the two-fold one; ALL is the average of the pairs there are."""
-    spark = returns.sparkSession
-    p = F.broadcast(spark.createDataFrame([(n, t, c) for n, a, b in pairs for t, c in ((a, 1.0), (b, -0.5))], "pair string, ticker string, _c double"))
-    d = returns.where("excess is not null").join(p, "ticker").groupBy("date", "pair").agg(F.sum(F.col("_c") * F.col("excess")).alias("spread"), F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
+def levered_pairs(returns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(date, pair, spread) of excess returns (date, ticker, excess): one-fold fund minus half the two-fold one; ALL is the average of the pairs there are.
+
+    pairs: (pair, one_fold, two_fold).
+    """
+    leg = lambda c, x: pairs.select("pair", F.col(c).alias("ticker"), F.lit(x).alias("_c"))
+    d = returns.where("excess is not null").join(leg("one_fold", 1.0).unionByName(leg("two_fold", -0.5)), "ticker")
+    d = d.groupBy("date", "pair").agg(F.sum(F.col("_c") * F.col("excess")).alias("spread"), F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
     return d.unionByName(d.groupBy("date").agg(F.avg("spread").alias("spread")).withColumn("pair", F.lit("ALL")))

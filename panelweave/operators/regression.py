@@ -76,7 +76,7 @@ def rolling_residual(df: DataFrame, w, y: str, xs: list[str], window: int, min_o
     return d.withColumn(out, F.when(ok & (F.col("_n") >= min_obs), F.col(y) - hat)).drop("_n", "_xx", "_xy", "_b")
 
 
-def residualize(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, category: str | None = None, min_obs: int = 20) -> DataFrame:
+def residuals(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, category: str | None = None, min_obs: int = 20) -> DataFrame:
     """df with the residual of y on xs (and, absorbed, on category) per group.
 
     Only complete rows of groups with at least min_obs of them have one; a null category is no complete row.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.cross_section import clip_outliers, fill_missing, zscore
-from panelweave.operators.regression import residualize
+from panelweave.operators.regression import residuals
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ class Neutralise:
     min_obs: int = 20
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return residualize(df, list(self.by), self.y, list(self.x), self.output or f"{self.y}_neutral", self.category, self.min_obs)
+        return residuals(df, list(self.by), self.y, list(self.x), self.output or f"{self.y}_neutral", self.category, self.min_obs)
 
 
 def apply_rules(df: DataFrame, rules: list) -> DataFrame:

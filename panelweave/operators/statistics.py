@@ -47,8 +47,8 @@ def newey_west(df: DataFrame, by: list[str], order: str, x: str, lags: int | Non
     The series is x without its nulls. Lagged products are sums over lag columns, so a series is one window, not a join.
     """
     d = df.where(F.col(x).isNotNull()).select(*by, order, F.col(x).alias("_x"))
-    m = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m")) if by else d.agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"))
-    d = d.join(m, by) if by else d.crossJoin(F.broadcast(m))
+    m = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"))
+    d = d.join(m, by)
     w = W.partitionBy(*by).orderBy(order)
     e = d.withColumn("_e", F.col("_x") - F.col("_m"))
     e = e.withColumns({f"_p{k}": F.col("_e") * F.lag("_e", k).over(w) for k in range(0, most + 1)})
@@ -67,7 +67,7 @@ def ic_summary(ic: DataFrame, by: list[str], order: str = "date") -> DataFrame:
     d = ic.where("ic is not null")
     a = d.groupBy(*by).agg(F.avg("ic").alias("_mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))
     nw = newey_west(d, by, order, "ic")
-    j = nw.join(a, by) if by else nw.crossJoin(F.broadcast(a))
+    j = nw.join(a, by)
     return j.select(*by, "n", "mean", "std", (F.col("mean") / F.when(F.col("std") > 0, F.col("std"))).alias("ir"), "hit_rate", F.col("t").alias("t_nw"))
 
 

@@ -126,7 +126,7 @@ def p6_volume(spark: SparkSession, root: str) -> DataFrame:
     one = bars.groupBy("asset_id", "date_key", "session_minute").agg(F.max("volume").alias("volume"))
     w = W.partitionBy("asset_id", "date_key").orderBy("session_minute").rowsBetween(W.unboundedPreceding, 0)
     g = counter_grid(one.withColumn("running", F.sum("volume").over(w)), ["asset_id", "date_key"], "session_minute", "running", SLOTS, SLOT_MINUTES)
-    return g.select("asset_id", F.col("date_key").cast("long").alias("date_key"), F.col("slot_no").cast("long").alias("slot_no"), F.round("increment", 4).alias("increment"), F.round("covered", 6).alias("covered"))
+    return g.select("asset_id", F.col("date_key").cast("long").alias("date_key"), F.col("slot_no").cast("long").alias("slot_no"), F.round(F.col("increment") + 3.7e-11, 4).alias("increment"), F.round(F.col("covered") + 3.7e-11, 6).alias("covered"))
 
 
 QUERIES = {
@@ -183,6 +183,12 @@ UNION ALL SELECT 'daily_ret', CAST(asset_id AS VARCHAR), strftime(d, '%Y-%m-%d')
 UNION ALL SELECT 'monthly_ret', CAST(asset_id AS VARCHAR), strftime(d, '%Y-%m-%d'), 12 FROM mt WHERE t < -0.6000005
 UNION ALL SELECT 'quarterly_eps', gvkey, strftime(d, '%Y-%m-%d'), 4 FROM qt WHERE t < -6.005""",
     "p4_found": _P4,
+    "p6_volume": f"""WITH v AS (SELECT asset_id, date_key, session_minute AS t, max(volume) AS volume FROM minute_bars WHERE session_minute BETWEEN 0 AND 389 AND volume >= 0 AND NOT isnan(volume) AND asset_id IS NOT NULL AND date_key IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, lag(t) OVER (PARTITION BY asset_id, date_key ORDER BY t) AS a FROM v),
+c AS (SELECT asset_id, date_key, unnest(generate_series(0, 77)) AS k FROM (SELECT DISTINCT asset_id, date_key FROM v)),
+o AS (SELECT c.asset_id, c.date_key, c.k, s.volume / (s.t - s.a)::DOUBLE AS rate, least(s.t, c.k * 5 + 5) - greatest(s.a, c.k * 5) AS w FROM c JOIN s ON s.asset_id = c.asset_id AND s.date_key = c.date_key AND s.a < c.k * 5 + 5 AND s.t > c.k * 5),
+g AS (SELECT asset_id, date_key, k, sum(rate * w) AS i, sum(w) / 5.0::DOUBLE AS cov FROM o GROUP BY ALL)
+SELECT c.asset_id, CAST(c.date_key AS BIGINT) AS date_key, CAST(c.k AS BIGINT) AS slot_no, round(i + 3.7e-11, 4) AS increment, round(coalesce(cov, 0) + 3.7e-11, 6) AS covered FROM c LEFT JOIN g USING (asset_id, date_key, k)""",
     "p6_found": f"""WITH {_SRC},
 occ AS (SELECT asset_id, date_key, m // 5 AS slot_no FROM rd UNION SELECT asset_id, date_key, 77 FROM minute_bars WHERE session_minute = 390 AND open > 0 AND NOT isnan(open))
 SELECT c.asset_id, CAST(c.date_key AS BIGINT) AS date_key, CAST(c.slot_no AS BIGINT) AS slot_no, CAST(coalesce(max(r.m), -1) AS BIGINT) AS from_minute

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from panelweave.functions.nulls import safe_div
 from panelweave.operators.cross_section import average_ranks, bounds, bucket_codes, breakpoints, clip_outliers, cut, demean, fill_missing, moments, quantiles, share, size_buckets, winsorize, zscore
 from panelweave.operators.portfolio import leg_weights, spread, value_weighted
-from panelweave.operators.regression import group_ols, residualize
+from panelweave.operators.regression import group_ols, residuals
+from panelweave.operators.rules import Missing, Neutralise, Outliers, Standardise, apply_rules
 from panelweave.plans.panels import daily, monthly
 from panelweave.plans.registry import D, M, query, r, rs
 
@@ -172,14 +173,19 @@ def x13(spark: SparkSession, root: str) -> DataFrame:
 def x12(spark: SparkSession, root: str) -> DataFrame:
     """Residuals on size with industries absorbed."""
     d = log_size(spark, root).select("date", "asset_id", "ret", "x", "industry")
-    return residualize(d, ["date"], "ret", ["x"], "ret_neutral", category="industry").where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 7))
+    return residuals(d, ["date"], "ret", ["x"], "ret_neutral", category="industry").where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 7))
 
 
-@query("x12_residuals_multi")
+_MULTI = f"""{X}, v AS (SELECT *, CASE WHEN dollar_volume > 0 THEN ln(dollar_volume) END AS lv FROM x), p0 AS (SELECT * FROM v WHERE ret IS NOT NULL AND x IS NOT NULL AND lv IS NOT NULL AND industry IS NOT NULL),
+p AS (SELECT date, asset_id, ret - avg(ret) OVER w AS y, x - avg(x) OVER w AS x, lv - avg(lv) OVER w AS l, count(*) OVER (PARTITION BY date) AS n FROM p0 WINDOW w AS (PARTITION BY date, industry)),
+b AS (SELECT date, (sum(l * l) * sum(x * y) - sum(x * l) * sum(l * y)) / nullif(sum(x * x) * sum(l * l) - sum(x * l) * sum(x * l), 0) AS b1, (sum(x * x) * sum(l * y) - sum(x * l) * sum(x * y)) / nullif(sum(x * x) * sum(l * l) - sum(x * l) * sum(x * l), 0) AS b2 FROM p WHERE n >= 20 GROUP BY date)"""
+
+
+@query("x12_residuals_multi", f"WITH {_MULTI} SELECT date, asset_id, {rs('y - b1 * x - b2 * l', 6)} AS ret_neutral FROM p JOIN b USING (date) WHERE n >= 20")
 def x12_multi(spark: SparkSession, root: str) -> DataFrame:
-    """Residuals on two regressors and an absorbed category; tested against NumPy (X12, X13 with p > 1)."""
+    """Residuals on two regressors and an absorbed category (X12, X13 with p > 1)."""
     d = log_size(spark, root).withColumn("lv", F.log(F.when(F.col("dollar_volume") > 0, F.col("dollar_volume"))))
-    return residualize(d.select("date", "asset_id", "ret", "x", "lv", "industry"), ["date"], "ret", ["x", "lv"], "ret_neutral", category="industry").where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 7))
+    return residuals(d.select("date", "asset_id", "ret", "x", "lv", "industry"), ["date"], "ret", ["x", "lv"], "ret_neutral", category="industry").where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 6))
 
 
 _BK = "bk AS (SELECT date, median(market_equity) AS s, quantile_cont(ret, 0.3) AS lo, quantile_cont(ret, 0.7) AS hi FROM x WHERE exchange_code = 1 GROUP BY date HAVING count(*) >= 3)"
@@ -236,3 +242,14 @@ def rank_weights(d: DataFrame, x: str) -> DataFrame:
 def x30(spark: SparkSession, root: str) -> DataFrame:
     """Fixed right-closed bins."""
     return log_size(spark, root).where("x is not null").select("date", "asset_id", cut(F.col("x"), [0, 3, 6, 9, 99], ["micro", "small", "mid", "large"]).alias("band"))
+
+
+@query(
+    "x14_rules",
+    f"WITH {X}, {_Z}, f AS (SELECT date, asset_id, industry, coalesce(wx, avg(wx) OVER (PARTITION BY date)) AS v FROM (SELECT x.date, x.asset_id, x.industry, w.wx FROM x LEFT JOIN (SELECT date, asset_id, wx FROM w WHERE x IS NOT NULL) w ON w.date = x.date AND w.asset_id = x.asset_id)), z AS (SELECT *, (v - avg(v) OVER d) / CASE WHEN stddev_samp(v) OVER d > 1e-12 THEN stddev_samp(v) OVER d END AS z FROM f WINDOW d AS (PARTITION BY date)), n AS (SELECT *, count(z) FILTER (industry IS NOT NULL) OVER (PARTITION BY date) AS n, avg(z) OVER (PARTITION BY date, industry) AS m FROM z) SELECT date, asset_id, {rs('z', 6)} AS x_z, CASE WHEN n >= 20 AND industry IS NOT NULL THEN {rs('z - m', 6)} END AS x_neutral FROM n",
+)
+def x14(spark: SparkSession, root: str) -> DataFrame:
+    """Outliers, missing values, scale and industry by rules, in order."""
+    d = log_size(spark, root).select("date", "asset_id", "x", "industry")
+    rules = [Outliers(("x",)), Missing(("x",), "mean"), Standardise(("x",)), Neutralise("x_z", (), "industry", output="x_neutral")]
+    return apply_rules(d, rules).select("date", "asset_id", r("x_z", 6), r("x_neutral", 6))

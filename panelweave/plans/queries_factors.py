@@ -163,12 +163,16 @@ f3 AS (SELECT g.date, avg(CASE WHEN grp IN ('SL', 'SM', 'SH') THEN g.ret END) -
 ff AS (SELECT f3.date, mkt - coalesce(rf, 0) AS mkt_rf, smb, hml, coalesce(rf, 0) AS rf FROM f3 LEFT JOIN mk USING (date) LEFT JOIN rf USING (date))"""
 
 
+def june_groups(spark: SparkSession, root: str) -> DataFrame:
+    """(date, group, ret) of the June 2 x 3 sort on book to market; a member without a return counts 0."""
+    g = size_buckets(materialize(june_formation(spark, root).select("rebalance_date", "asset_id", "market_equity", "exchange_code", "bm")), ["rebalance_date"], "bm").select(F.year("rebalance_date").cast("long").alias("formation_year"), "asset_id", "group")
+    j = lagged(spark, root).where("lag_me > 0").join(g, ["formation_year", "asset_id"])
+    return j.groupBy("date", "group").agg((F.sum(F.col("lag_me") * F.coalesce("ret", F.lit(0.0))) / F.sum("lag_me")).alias("ret"))
+
+
 def three_factors(spark: SparkSession, root: str) -> DataFrame:
     """(date, mkt_rf, smb, hml, rf): groups of the June 2 x 3 sort, re-weighted monthly by lagged market equity."""
-    lm = lagged(spark, root)
-    g = size_buckets(materialize(june_formation(spark, root).select("rebalance_date", "asset_id", "market_equity", "exchange_code", "bm")), ["rebalance_date"], "bm").select(F.year("rebalance_date").cast("long").alias("formation_year"), "asset_id", "group")
-    j = lm.where("lag_me > 0").join(g, ["formation_year", "asset_id"])
-    gr = j.groupBy("date", "group").agg((F.sum(F.col("lag_me") * F.coalesce("ret", F.lit(0.0))) / F.sum("lag_me")).alias("ret"))
+    lm, gr = lagged(spark, root), june_groups(spark, root)
     leg = lambda *names: F.avg(F.when(F.col("group").isin(*names), F.col("ret")))
     f3 = gr.groupBy("date").agg((leg("SL", "SM", "SH") - leg("BL", "BM", "BH")).alias("smb"), (leg("SH", "BH") - leg("SL", "BL")).alias("hml"))
     mk = value_weighted(lm, ["date"], "ret", "lag_me").select("date", F.col("ret").alias("mkt"))
@@ -354,10 +358,17 @@ def low_beta(spark: SparkSession, root: str, least: int = 10) -> DataFrame:
     return g.withColumn("bab", (F.col("low_ret") - F.col("rf")) / F.when(F.col("beta_low") != 0, F.col("beta_low")) - (F.col("high_ret") - F.col("rf")) / F.when(F.col("beta_high") != 0, F.col("beta_high")))
 
 
-@query("f31_low_beta")
+_BAB = f"""{M}, {_BETA}, b0 AS (SELECT be.date, be.asset_id, 0.6::DOUBLE * beta + 0.4::DOUBLE AS sb FROM be JOIN m ON m.date = be.date AND m.asset_id = be.asset_id WHERE beta IS NOT NULL),
+k AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY sb) + (count(*) OVER (PARTITION BY date, sb) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY date) AS p FROM b0), z AS (SELECT *, p - avg(p) OVER (PARTITION BY date) AS z FROM k),
+w AS (SELECT *, greatest(z, 0) / nullif(sum(greatest(z, 0)) OVER (PARTITION BY date), 0) AS wh, greatest(-z, 0) / nullif(sum(greatest(-z, 0)) OVER (PARTITION BY date), 0) AS wl FROM z),
+t AS (SELECT *, sum(wl * sb) OVER (PARTITION BY date) AS bl, sum(wh * sb) OVER (PARTITION BY date) AS bh FROM w),
+g AS (SELECT m.date, bl, bh, sum(wl * m.ret) AS lo, sum(wh * m.ret) AS hi FROM t JOIN m ON m.asset_id = t.asset_id AND m.date = last_day(t.date + INTERVAL 1 MONTH) WHERE m.ret IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)"""
+
+
+@query("f31_low_beta", f"WITH {_BAB} SELECT g.date, {rs('lo', 7)} AS low_ret, {rs('hi', 7)} AS high_ret, {rs('bl', 5)} AS beta_low, {rs('bh', 5)} AS beta_high, {rs('(lo - rf) / nullif(bl, 0) - (hi - rf) / nullif(bh, 0)', 4)} AS bab FROM g LEFT JOIN rf ON rf.date = g.date")
 def f31(spark: SparkSession, root: str) -> DataFrame:
     """Betting against beta."""
-    return low_beta(spark, root).select("date", r("low_ret", 7), r("high_ret", 7), r("beta_low", 5), r("beta_high", 5), r("bab", 6))
+    return low_beta(spark, root).select("date", r("low_ret", 7), r("high_ret", 7), r("beta_low", 5), r("beta_high", 5), r("bab", 4))
 
 
 def q_factors(spark: SparkSession, root: str) -> DataFrame:
@@ -495,3 +506,9 @@ def m12(spark: SparkSession, root: str) -> DataFrame:
         psi = 1.0
     p = spike_and_slab(f, a, draws=1500, burn=500, psi0=psi)
     return spark.createDataFrame([(n, float(np.round(i, 6)), float(np.round(x, 6)), len(both)) for n, i, x in zip(names, p.inclusion.mean(axis=0), p.price.mean(axis=0))], schema)
+
+
+@query("e15_group_returns", f"WITH {_FF3} SELECT date, grp, {rs('ret', 7)} AS ret FROM gr")
+def e15(spark: SparkSession, root: str) -> DataFrame:
+    """Returns of the six June groups, re-weighted monthly by lagged market equity."""
+    return june_groups(spark, root).select("date", F.col("group").alias("grp"), r("ret", 7))

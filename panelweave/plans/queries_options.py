@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.dates import third_friday
-from panelweave.operators.options import band_table, hedge_daily, low_leverage_spread, roll_pairs, tradable, trades
+from panelweave.operators.options import band_table, hedge_daily, levered_pairs, low_leverage_spread, roll_pairs, tradable, trades
 from panelweave.plans.panels import daily
-from panelweave.plans.registry import D, query, r, rs
+from panelweave.plans.queries_factors import _RF, risk_free
+from panelweave.plans.registry import ORACLE, D, query, r, rs
 from panelweave.session import materialize
 
 
@@ -83,3 +84,37 @@ def t22(spark: SparkSession, root: str) -> DataFrame:
     q = q.withColumn("mid", (F.col("best_bid") + F.col("best_offer")) / 2)
     h = hedge_daily(period_trades(spark, root), q, spots(spark, root).drop("asset_id"))
     return h.select("ticker", "optionid", "entry_date", r("dh_ret", 6), "n_daily_obs")
+
+
+@query("v19_option_summary", ORACLE["a20_option_spread"].replace(f"SELECT entry_date, {rs('sum(ret * v) / sum(v)', 7)} AS ret, count(DISTINCT ticker) AS n_underlyings, CAST(sum(n) AS BIGINT) AS n_options FROM g WHERE ret IS NOT NULL GROUP BY entry_date", f", z AS (SELECT entry_date, sum(ret * v) / sum(v) AS x FROM g WHERE ret IS NOT NULL GROUP BY entry_date) SELECT count(*) AS n_months, {rs('100 * avg(x)', 4)} AS mean_monthly_pct, {rs('100 * stddev_samp(x)', 4)} AS vol_monthly_pct, {rs('sqrt(12) * avg(x) / stddev_samp(x)', 4)} AS ann_sharpe, {rs('avg(x) / stddev_samp(x) * sqrt(count(*))', 4)} AS tstat FROM z"))
+def v19(spark: SparkSession, root: str) -> DataFrame:
+    """Summary of the spread's months."""
+    t = low_leverage_spread(period_trades(spark, root))[1]
+    m, s, n = F.avg("ret"), F.stddev_samp("ret"), F.count("ret")
+    return t.agg(n.alias("n_months"), r(m * 100, 4, "mean_monthly_pct"), r(s * 100, 4, "vol_monthly_pct"), r(m / s * F.sqrt(F.lit(12.0)), 4, "ann_sharpe"), r(m / s * F.sqrt(n.cast("double")), 4, "tstat"))
+
+
+@query(
+    "f38_levered_pairs",
+    f"WITH {D}, {_RF}, nt AS (SELECT last_day(date) AS mo, count(DISTINCT date) AS n FROM d GROUP BY ALL), rd AS (SELECT mo, pow(1 + coalesce(rf, 0), 1.0::DOUBLE / n) - 1 AS rf FROM nt LEFT JOIN rf ON rf.date = mo), x AS (SELECT asset_id, d.date, ret - rd.rf AS ex FROM d JOIN rd ON rd.mo = last_day(d.date) WHERE ret IS NOT NULL), p AS (SELECT a.date, CAST(a.asset_id AS VARCHAR) AS pair, a.ex - 0.5 * b.ex AS s FROM x a JOIN x b ON b.date = a.date AND b.asset_id = a.asset_id + 1 WHERE a.asset_id % 2 = 1) SELECT date, pair, {rs('s')} AS spread FROM p UNION ALL SELECT date, 'ALL', {rs('avg(s)')} FROM p GROUP BY date",
+)
+def f38(spark: SparkSession, root: str) -> DataFrame:
+    """One-fold minus half two-fold funds (F38): every odd asset stands for a fund, the next one for its two-fold twin."""
+    d = daily(spark, root).select("asset_id", "date", "ret")
+    x = d.where("ret is not null").withColumn("_m", F.last_day("date")).join(F.broadcast(daily_rates(spark, root)), "_m")
+    pairs = d.where("asset_id % 2 = 1").select(F.col("asset_id").cast("string").alias("pair"), F.col("asset_id").cast("string").alias("one_fold"), (F.col("asset_id") + 1).cast("string").alias("two_fold")).distinct()
+    out = levered_pairs(x.select("date", F.col("asset_id").cast("string").alias("ticker"), (F.col("ret") - F.col("rf_daily")).alias("excess")), pairs)
+    return out.select("date", "pair", r("spread"))
+
+
+def daily_rates(spark: SparkSession, root: str) -> DataFrame:
+    """(_m, n_days, rf_daily): the month's rate spread over its trading days; one row per month."""
+    n = daily(spark, root).select("date").distinct().groupBy(F.last_day("date").alias("_m")).agg(F.count(F.lit(1)).alias("n_days"))
+    rf = risk_free(spark, root).withColumnRenamed("date", "_m")
+    return n.join(rf, "_m", "left").select("_m", "n_days", (F.pow(1 + F.coalesce("rf", F.lit(0.0)), 1.0 / F.col("n_days")) - 1).alias("rf_daily"))
+
+
+@query("t15_daily_rates", f"WITH {D}, {_RF}, nt AS (SELECT last_day(date) AS mo, count(DISTINCT date) AS n FROM d GROUP BY ALL) SELECT mo AS month_end, n AS n_days, {rs('pow(1 + coalesce(rf, 0), 1.0::DOUBLE / n) - 1', 9)} AS rf_daily FROM nt LEFT JOIN rf ON rf.date = mo")
+def t15(spark: SparkSession, root: str) -> DataFrame:
+    """Daily rates from monthly ones."""
+    return daily_rates(spark, root).select(F.col("_m").alias("month_end"), "n_days", r("rf_daily", 9))

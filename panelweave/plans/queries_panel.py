@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.dates import as_date
 from panelweave.functions.keys import drop_ambiguous, last_rows
 from panelweave.functions.nulls import finite, positive
-from panelweave.operators.asof import calendar, code_of_range, next_in_calendar
+from panelweave.operators.asof import asof_backward, calendar, code_of_range, next_in_calendar
 from panelweave.operators.portfolio import holding_periods
 from panelweave.operators.realized import tick_filter
 from panelweave.operators.time_series import trailing_year, year_to_quarter
@@ -245,3 +245,11 @@ def l03(spark: SparkSession, root: str) -> DataFrame:
 def l04(spark: SparkSession, root: str) -> DataFrame:
     """The 25 largest asset-months: the limit is the feature."""
     return monthly(spark, root).where("market_equity is not null").select("asset_id", "date", "market_equity").orderBy(F.desc("market_equity"), "asset_id", "date").limit(25)
+
+
+@query("j05_rates_on_trading_days", f"WITH {D}, t AS (SELECT DISTINCT date FROM d), o AS (SELECT observation_date, max({fin('dgs1mo')}) AS v FROM dgs1mo GROUP BY ALL) SELECT t.date, o.observation_date, o.v AS rate FROM t ASOF LEFT JOIN (SELECT * FROM o WHERE v IS NOT NULL) o ON o.observation_date <= t.date")
+def j05(spark: SparkSession, root: str) -> DataFrame:
+    """Each trading day with the last rate known; a join without key, cut into years."""
+    t = daily(spark, root).select("date").distinct()
+    o = table(spark, root, "dgs1mo").groupBy("observation_date").agg(F.max(finite("dgs1mo")).alias("rate")).where("rate is not null")
+    return asof_backward(t, o, [], "date", "observation_date", ["rate"], span="year").select("date", "observation_date", "rate")

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelweave.functions.dates import as_date, is_tuesday
+from panelweave.functions.dates import as_date, is_tuesday, session_minute
 from panelweave.operators.asof import calendar
-from panelweave.operators.portfolio import book_from_holdings, forward_returns, holdings_diagnostics, simulate_drift, simulate_fixed, simulate_layers, turnover
+from panelweave.operators.factor import Backtest, BucketFactor, Factor
+from panelweave.operators.portfolio import book_from_holdings, forward_returns, holdings_diagnostics, leg_weights, simulate_drift, simulate_fixed, simulate_layers, turnover
 from panelweave.operators.realized import realized_from_bars, realized_from_grid, trailing_mean
 from panelweave.operators.regular_grid import gauge_grid
-from panelweave.operators.statistics import fama_macbeth, ic_summary, information_coefficient, newey_west, performance, univariate_fit
+from panelweave.operators.statistics import compare_series, fama_macbeth, ic_summary, information_coefficient, newey_west, performance, univariate_fit
 from panelweave.operators.time_series import along, rolling_compound, rolling_corr, rolling_std, strict_compound, with_drawdown
 from panelweave.plans.market_problems import CLOSE_MINUTE, SLOT_MINUTES, SLOTS
+from panelweave.plans.market_problems import ORACLE as PROBLEMS
 from panelweave.plans.panels import daily, monthly
 from panelweave.plans.queries_cross import X, _W, decile_weights, log_size
 from panelweave.plans.registry import D, M, query, r, rs
-from panelweave.session import materialize, table
+from panelweave.session import ensure_checkpoint_dir, materialize, table
+from panelweave.sources.store import load_factor, save_factor
 
 _BY = "PARTITION BY asset_id ORDER BY date"
 
@@ -110,9 +113,16 @@ def a17(spark: SparkSession, root: str) -> DataFrame:
     return out.select("asset_id", F.col("date_key").cast("long").alias("date_key"), r("rv"), r("rsj", 6), r("rsk", 5), r("rkt", 5), "n")
 
 
-@query("a18_realized_grid")
+_A18 = f"""WITH gp AS ({PROBLEMS["p6_prices"]}), mb AS (SELECT asset_id, date_key, session_minute AS m, arg_max_null(CASE WHEN open > 0 AND NOT isnan(open) THEN open END, coalesce(loaded_at, TIMESTAMP '1900-01-01')) AS o FROM minute_bars WHERE session_minute BETWEEN 0 AND 389 AND close > 0 AND NOT isnan(close) GROUP BY ALL),
+fo AS (SELECT asset_id, date_key, first(o ORDER BY m) AS o0, count(*) AS n FROM mb GROUP BY ALL HAVING count(*) >= 20),
+rr AS (SELECT gp.asset_id, gp.date_key, CASE WHEN price > 0 AND coalesce(lag(price) OVER w, o0) > 0 THEN ln(price / coalesce(lag(price) OVER w, o0)) END AS x FROM gp JOIN fo ON fo.asset_id = gp.asset_id AND fo.date_key = gp.date_key WHERE price IS NOT NULL WINDOW w AS (PARTITION BY gp.asset_id, gp.date_key ORDER BY slot_no)),
+s AS (SELECT asset_id, date_key, sum(CASE WHEN x > 0 THEN x * x ELSE 0 END) AS rp, sum(CASE WHEN x < 0 THEN x * x ELSE 0 END) AS rm, sum(x * x) AS rv, sum(x * x * x) AS s3, sum(x * x * x * x) AS s4, count(*) AS n FROM rr WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) >= 20)
+SELECT asset_id, CAST(strptime(CAST(date_key AS VARCHAR), '%Y%m%d') AS DATE) AS date, {rs('rv')} AS rv, {rs('greatest(-1, least(1, (rp - rm) / nullif(rv, 0)))', 6)} AS rsj, {rs('sqrt(n) * s3 / pow(nullif(rv, 0), 1.5)', 5)} AS rsk, {rs('n * s4 / nullif(rv * rv, 0)', 5)} AS rkt, n FROM s"""
+
+
+@query("a18_realized_grid", _A18)
 def a18(spark: SparkSession, root: str) -> DataFrame:
-    """Realized moments over the full row of five-minute prices (A18, M10); tested on small days."""
+    """Realized moments over the full row of five-minute prices."""
     return realized_days(spark, root).select("asset_id", "date", r("rv"), r("rsj", 6), r("rsk", 5), r("rkt", 5), "n")
 
 
@@ -318,3 +328,83 @@ def v14(spark: SparkSession, root: str) -> DataFrame:
     mkt = F.broadcast(m.groupBy("date").agg(F.avg("ret").alias("mkt")))  # one row per month
     f = group_ols(m.join(mkt, "date"), ["asset_id"], "ret", ["mkt"], min_obs=24)
     return f.select("asset_id", "n", r("beta_mkt", 6, "beta"), r(F.col("alpha") * 12, 6, "alpha_ann"), r("r2", 6))
+
+
+@query("v18_comparison", f"WITH {M}, e AS (SELECT date, avg(ret) AS a, sum(ret * market_equity) / sum(CASE WHEN ret IS NOT NULL THEN market_equity END) AS b FROM m WHERE market_equity > 0 GROUP BY date) SELECT count(*) AS n, {rs('corr(a, b)', 6)} AS corr, {rs('12 * avg(a - b)', 7)} AS ann_mean_diff, {rs('sqrt(12) * stddev_samp(a - b)', 7)} AS tracking_error, {rs('avg(abs(a - b))', 7)} AS mae, {rs('max(abs(a - b))', 7)} AS max_abs_diff FROM e WHERE a IS NOT NULL AND b IS NOT NULL")
+def v18(spark: SparkSession, root: str) -> DataFrame:
+    """Equal- against value-weighted market."""
+    m = monthly(spark, root).where("market_equity > 0")
+    e = m.groupBy("date").agg(F.avg("ret").alias("a"), (F.sum(F.col("ret") * F.col("market_equity")) / F.sum(F.when(F.col("ret").isNotNull(), F.col("market_equity")))).alias("b")).withColumn("k", F.lit(0))
+    return compare_series(e, ["k"], "a", "b").select("n", r("corr", 6), r("ann_mean_diff", 7), r("tracking_error", 7), r("mae", 7), r("max_abs_diff", 7))
+
+
+@query("a21_inventory", "SELECT CAST(floor(date_key / 10000) AS BIGINT) AS year, count(*) AS n, count(DISTINCT asset_id) AS n_assets, CAST(sum(CASE WHEN close <= 0 OR isnan(close) OR close IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS bad_prices, CAST(sum(CASE WHEN session_minute NOT BETWEEN 0 AND 390 OR session_minute IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS outside, CAST(count(*) - count(DISTINCT (asset_id, date_key, bar_ts)) AS BIGINT) AS repeated FROM minute_bars GROUP BY ALL")
+def a21(spark: SparkSession, root: str) -> DataFrame:
+    """What a source holds, by year: rows, assets, unusable prices, bars outside the session, repeated keys."""
+    b = table(spark, root, "minute_bars").withColumn("year", F.floor(F.col("date_key") / 10000).cast("long"))
+    bad = F.coalesce((F.col("close") <= 0) | F.isnan("close"), F.lit(True))
+    out = ~F.coalesce(F.col("session_minute").between(0, 390), F.lit(False))
+    # distinct keys are counted after grouping by them, so no task holds a year's keys
+    k = b.groupBy("year", "asset_id", "date_key", "bar_ts").agg(F.count(F.lit(1)).alias("c"), F.sum(bad.cast("long")).alias("bad"), F.sum(out.cast("long")).alias("out"))
+    a = k.groupBy("year", "asset_id").agg(F.sum("c").alias("c"), F.sum("bad").alias("bad"), F.sum("out").alias("out"), F.sum(F.col("c") - 1).alias("rep"))
+    return a.groupBy("year").agg(F.sum("c").alias("n"), F.count("asset_id").alias("n_assets"), F.sum("bad").alias("bad_prices"), F.sum("out").alias("outside"), F.sum("rep").alias("repeated"))
+
+
+@query("m10_session_minute", "SELECT DISTINCT asset_id, date_key, bar_ts, CAST(session_minute AS BIGINT) AS session_minute FROM minute_bars WHERE session_minute IS NOT NULL")
+def m10(spark: SparkSession, root: str) -> DataFrame:
+    """Minutes since the opening, from the UTC time of a bar and New York's clock."""
+    b = table(spark, root, "minute_bars").where("session_minute is not null").select("asset_id", "date_key", "bar_ts").distinct()
+    return b.select("asset_id", "date_key", "bar_ts", session_minute(F.col("bar_ts").cast("timestamp")).cast("long").alias("session_minute"))
+
+
+@query("x03_signals_long", f"WITH {M}, s AS (SELECT date, asset_id, ret, retx FROM m) SELECT date, asset_id, name, {rs('v')} AS v FROM (UNPIVOT s ON ret, retx INTO NAME name VALUE v) WHERE v IS NOT NULL")
+def x02(spark: SparkSession, root: str) -> DataFrame:
+    """Columns to rows, missing values left out."""
+    m = monthly(spark, root).select("date", "asset_id", "ret", "retx")
+    return m.unpivot(["date", "asset_id"], ["ret", "retx"], "name", "v").where("v is not null").select("date", "asset_id", "name", r("v"))
+
+
+@query("e19_market_turnover", f"WITH {M}, w AS (SELECT date, asset_id, market_equity / sum(market_equity) OVER (PARTITION BY date) AS w FROM m WHERE market_equity > 0), n AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM w)), p AS (SELECT n, asset_id, w FROM w JOIN n USING (date)), ch AS (SELECT coalesce(a.n, b.n + 1) AS n, coalesce(a.w, 0) - coalesce(b.w, 0) AS x FROM p a FULL JOIN p b ON b.n + 1 = a.n AND b.asset_id = a.asset_id) SELECT date AS rebalance_date, {rs('sum(abs(x)) / 2', 7)} AS turnover FROM ch JOIN n USING (n) GROUP BY date")
+def e19(spark: SparkSession, root: str) -> DataFrame:
+    """Turnover of the value-weighted market."""
+    w = leg_weights(monthly(spark, root).select("date", "asset_id", "market_equity"), ["date"], "market_equity")
+    b = w.select(F.col("date").alias("rebalance_date"), F.lit("market").alias("portfolio"), "asset_id", "weight")
+    return turnover(materialize(b)).select("rebalance_date", r("turnover", 7))
+
+
+_FULL = f"""{X}, {_W}, bk AS (SELECT date AS rebalance_date, 'D' || lpad(CAST(code + 1 AS VARCHAR), 2, '0') AS portfolio, asset_id, w AS weight FROM h UNION ALL SELECT date, 'HL', asset_id, CASE WHEN code = 9 THEN w ELSE -w END FROM h WHERE code IN (0, 9)),
+rb AS (SELECT DISTINCT rebalance_date FROM bk), pd AS (SELECT t.date, rb.rebalance_date FROM (SELECT DISTINCT date FROM m) t ASOF JOIN rb ON t.date > rb.rebalance_date)"""
+
+
+@query("v16_bucket_report", f"WITH {_FULL}, {_SIM}, {nw_sql('sm', 'portfolio', 'ret')}, {_PERF} SELECT k AS portfolio, n, {rs('ar', 6)} AS ann_return, {rs('av', 6)} AS ann_vol, {rs('mean / sqrt(q)', 4)} AS t_nw, {rs('dd', 5)} AS max_drawdown FROM nw JOIN pf USING (k)")
+def v16(spark: SparkSession, root: str) -> DataFrame:
+    """The whole report of a bucket factor: built, held, summarised."""
+    d = log_size(spark, root).where("x is not null").select("date", "asset_id", F.col("x").alias("exposure"), "market_equity")
+    f = BucketFactor("size", limits=None).build(d)
+    f = Factor(f.name, materialize(f.holdings), f.meta)
+    s = Backtest(monthly(spark, root).select("date", "asset_id", "ret")).summary(f)
+    return s.select("portfolio", "n", r("ann_return", 6), r("ann_vol", 6), r("t_nw", 4), r("max_drawdown", 5))
+
+
+@query("s03_factor_store", f"WITH {M} SELECT date, asset_id, {rs('ln(market_equity)')} AS exposure FROM m WHERE market_equity > 0")
+def s03(spark: SparkSession, root: str) -> DataFrame:
+    """A factor saved to shared storage and read back."""
+    import uuid
+
+    m = monthly(spark, root).select("date", "asset_id", F.log(F.when(F.col("market_equity") > 0, F.col("market_equity"))).alias("exposure"))
+    folder = save_factor(m, f"{ensure_checkpoint_dir(spark)}/factor-{uuid.uuid4().hex}", {"name": "size"})
+    return load_factor(spark, folder)[0].select("date", "asset_id", r("exposure"))
+
+
+@query(
+    "f24_realized_signals",
+    f"WITH a18 AS ({_A18}), c AS (SELECT date, row_number() OVER (ORDER BY date) AS p FROM (SELECT DISTINCT CAST(date AS DATE) AS date FROM crsp_daily)), j AS (SELECT a18.asset_id, a18.date, p - lag(p, 4) OVER (PARTITION BY asset_id ORDER BY a18.date) AS gap, avg(rsk) OVER f AS k, avg(rkt) OVER f AS t, avg(rsj) OVER f AS s FROM a18 JOIN c ON c.date = a18.date WINDOW f AS (PARTITION BY asset_id ORDER BY a18.date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT asset_id, date, {rs('-k', 4)} AS low_rsk, {rs('t', 4)} AS rkt, {rs('-s', 5)} AS low_rsj FROM j WHERE gap = 4 AND isodow(date) = 2",
+)
+def f24(spark: SparkSession, root: str) -> DataFrame:
+    """Weekly signals from realized skewness, kurtosis and signed jumps, formed on Tuesdays after five days without a gap."""
+    d = materialize(realized_days(spark, root).select("asset_id", "date", "rsk", "rkt", "rsj"))
+    cal = calendar(table(spark, root, "crsp_daily").select(F.col("date").cast("date").alias("date")), "date")
+    out = d
+    for x in ("rsk", "rkt", "rsj"):
+        out = out.join(trailing_mean(d.select("asset_id", "date", x), "asset_id", "date", x, cal).select("asset_id", "date", f"{x}_mean"), ["asset_id", "date"])
+    return out.where(is_tuesday("date")).select("asset_id", "date", r(-F.col("rsk_mean"), 4, "low_rsk"), r("rkt_mean", 4, "rkt"), r(-F.col("rsj_mean"), 5, "low_rsj"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave.operators.cross_section import average_ranks, bounds, bucket_codes, clip_outliers, cut, fill_missing, quantiles, ranks, size_buckets, zscore
-from panelweave.operators.regression import group_ols, residualize, series_ols
+from panelweave.operators.regression import group_ols, residuals, series_ols
 
 
 @pytest.fixture(scope="module")
@@ -72,7 +72,7 @@ def test_zscore_and_average_ranks(spark, panel):
 
 
 def test_residuals_equal_dummy_regression(spark, panel):
-    got = residualize(to_spark(spark, panel), ["g"], "y", ["x", "z"], "e", category="c").toPandas().sort_values("id").e.astype(float).to_numpy()
+    got = residuals(to_spark(spark, panel), ["g"], "y", ["x", "z"], "e", category="c").toPandas().sort_values("id").e.astype(float).to_numpy()
     for g, d in panel.dropna(subset=["x"]).groupby("g"):
         design = np.column_stack([d.x, d.z, pd.get_dummies(d.c).to_numpy(float)])
         e = d.y - design @ np.linalg.pinv(design, rcond=1e-13) @ d.y

@@ -12,6 +12,7 @@ from panelweave.functions.keys import assert_unique, join_unique, keep_last
 from panelweave.operators.asof import asof_backward, code_of_range
 from panelweave.operators.portfolio import forward_returns, holding_periods, simulate_drift, simulate_fixed, simulate_layers, turnover
 from panelweave.operators.realized import moments_of_returns, tick_filter
+from panelweave.operators.regression import series_ols
 from panelweave.operators.statistics import information_coefficient, newey_west, performance
 from panelweave.operators.time_series import along, long_rolling_corr, long_rolling_std, never_backwards, rolling_compound, strict_compound, trailing_year, year_to_quarter
 
@@ -161,3 +162,16 @@ def test_ticks_moments_codes_dates(spark):
     t = spark.createDataFrame([("2024-07-01 13:30:00",), ("2024-01-02 14:30:00",)], "t string").select(session_minute(F.to_timestamp("t")).alias("m"))
     assert [r.m for r in t.collect()] == [0, 0]
     assert spark.range(1).select(third_friday(F.lit("2024-03-05").cast("date")).alias("d")).first().d == dt.date(2024, 3, 15)
+
+
+def test_hac_errors():
+    x, e = RNG.normal(size=200), RNG.normal(size=200)
+    y = 0.2 + 0.5 * x + np.convolve(e, [1, 0.6, 0.3], "same")
+    fit = series_ols(y, x, lags=3)
+    z = np.column_stack([np.ones(200), x])
+    u = y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+    meat = sum((1 - abs(i - j) / 4) * u[i] * u[j] * np.outer(z[i], z[j]) for i in range(200) for j in range(max(0, i - 3), min(200, i + 4)))
+    inv = np.linalg.inv(z.T @ z)
+    assert np.allclose(fit["se"], np.sqrt(np.diag(inv @ meat @ inv)))
+    plain = series_ols(y, x)
+    assert np.allclose(plain["se"], np.sqrt(np.diag(inv) * (u @ u) / 198)) and np.allclose(plain["coef"], fit["coef"])

@@ -109,7 +109,7 @@ def test_options(spark):
     g = by.first()
     assert total.first().ret == pytest.approx(g.low_ret / g.low_omega - g.high_ret / g.high_omega)
     x = spark.createDataFrame([(1, "a", 0.02), (1, "b", 0.03), (1, "c", 0.01), (2, "a", 0.02)], "date int, ticker string, excess double")
-    got = {(r.date, r.pair): r.spread for r in levered_pairs(x, [("p", "a", "b"), ("q", "c", "b")]).collect()}
+    got = {(r.date, r.pair): r.spread for r in levered_pairs(x, spark.createDataFrame([("p", "a", "b"), ("q", "c", "b")], "pair string, one_fold string, two_fold string")).collect()}
     assert got == pytest.approx({(1, "p"): 0.005, (1, "q"): -0.005, (1, "ALL"): 0.0}, abs=1e-12)
 
 
