@@ -110,7 +110,7 @@ def merge_digests(digests: DataFrame, by: list[str], size: int = SIZE, fan: int
     """
     buckets = max(1, int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     own = F.pmod(F.xxhash64(*by), F.lit(buckets))
-    some = _merged(digests.select(*by, "_means", "_weights"), by, [own, F.pmod(F.xxhash64("_means"), F.lit(fan))], size)
+    some = _merged(digests.select(*by, "_means", "_weights"), by, [own, F.pmod(F.spark_partition_id(), F.lit(fan))], size)
     return _merged(some, by, [own], size)
 
 
@@ -149,8 +149,9 @@ def certified_percentiles(df: DataFrame, coarse: list[str], fine: list[str], val
     both = same(low.alias("a"), high.select(*coarse, F.col("estimates").alias("_high"), F.col("n_values").alias("_hn")).alias("b"), coarse).select(*[F.col(f"a.{c}") for c in by], F.col("estimates").alias("_low"), F.col("n_values").alias("_ln"), "_high", "_hn")
     v = F.col(f"`{value}`").cast("double")
     rows = df.select(*by, v.alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
-    # both sides salted: a group that holds a third of all rows is counted by SALTS tasks, then added up
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    # both sides salted: a group that holds a third of all rows is counted by SALTS tasks, then added up; the input partition
+    # as salt stays the same when a task is repeated
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int"))
     copies = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     near = same(salted.alias("a"), copies.alias("b"), [*by, "_salt"])
     at = range(len(probs))

@@ -52,7 +52,6 @@ CLUSTER = 4000
 LEVELS = 4
 
 _CODE = re.compile(r"(?<!`)`(?!`)[^`\n]+(?<!`)`(?!`)")
-_SUSPECT = re.compile("[^\x00-\x7f]{2}|�")
 _TOKEN = re.compile("[\x00-\x7f]+|[^\x00-\x7f]")
 _LATIN = re.compile("[A-Za-z]")
 
@@ -68,6 +67,10 @@ def _readings(codec: str) -> dict[str, int]:
     return out
 
 
+#: Two neighbours that some encoding's bytes may look like, or a lost character; text without is clean.
+_SUSPECT = re.compile("[%s]{2}|%s" % (re.escape("".join(sorted({c for _, r in PAIRS for c in _readings(r)}))), LOST))
+
+
 def _cyrillic(c: str) -> bool:
     return "Ѐ" <= c <= "ӿ"
 

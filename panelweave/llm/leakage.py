@@ -28,14 +28,24 @@ def _counts(docs: DataFrame, vocabulary) -> dict[int, int]:  # noqa: ANN001
     """Corpus count of each vocabulary word: counted per task, added up by word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen = vocabulary.value, Counter()
+        ids, seen, kept = vocabulary.value, Counter(), Counter()
+
+        def sift() -> None:
+            """Words of the vocabulary stay; other words, of which there is no end, are forgotten."""
+            few, many = (seen, ids) if len(seen) < len(ids) else (ids, seen)
+            for w in few:
+                if w in many:
+                    kept[ids[w]] += seen[w]
+            seen.clear()
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(words(t))
-        found = [(ids[w], n) for w, n in seen.items() if w in ids] if len(seen) < len(ids) else [(i, seen[w]) for w, i in ids.items() if w in seen]
-        if found:
-            a, c = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(c, pa.int64())], names=["term", "n"])
+                if len(seen) > 100_000:
+                    sift()
+        sift()
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array(list(kept.values()), pa.int64())], names=["term", "n"])
 
     return {r[0]: r[1] for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
 

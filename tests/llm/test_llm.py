@@ -255,3 +255,15 @@ def test_passages_and_words():
     assert not m.garbled("A plain text with `cafÃ©` in code.") and m.garbled("`cafÃ©` and cafÃ©")
     assert m.restore("rÃ©sumÃ© `Ã©` isnâ€™t") == ("résumé `Ã©` isn’t", ["utf-8>cp1252"], True)
     assert isinstance(m.chars, CharModel)
+
+
+def test_very_long_texts():
+    m = Model({"u" + c: 50 for c in "éüè’“”Ã©¼â€™œ次に新しいテーブルを変更するとエラーになります。何回も試しましたが、設定は変わりません"} | {"ua": 100_000})
+    plain = "次に新しいテーブルを変更するとエラーになります。" * 700
+    assert m.spans(plain) == []
+    assert m.garbled(plain + " cafÃ©")
+    bad = sloppy(plain.encode("utf-8"), "cp1252")
+    back = m.restore(bad)[0]
+    assert abs(len(back) - len(plain)) < 100 and sum(a == b for a, b in zip(back[:3000], plain)) > 2900
+    words_ = "rÃ©sumÃ© isnâ€™t " * 3000
+    assert m.restore(words_)[0] == "résumé isn’t " * 3000
