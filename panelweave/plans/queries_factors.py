@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from panelweave.functions.dates import formation_year, next_month_end
 from panelweave.functions.nulls import finite, positive
 from panelweave.operators.asof import asof_backward, calendar, code_of_range, next_in_calendar
-from panelweave.operators.cross_section import breakpoints, bucket_codes, size_buckets
+from panelweave.operators.cross_section import breakpoints, bucket_codes, share, size_buckets
 from panelweave.operators.portfolio import high_minus_low, leg_weights, simulate_fixed, value_weighted
 from panelweave.operators.time_series import along, long_rolling_corr, long_rolling_std, rolling_compound, rolling_std, strict_compound
 from panelweave.plans.panels import SAMPLE, daily, is_financial, june_accounts, june_formation, link, monthly, monthly_accounts, quarters
 from panelweave.operators.allocation import eigenrisk_concentration, risk_parity
 from panelweave.operators.regression import rolling_residual
-from panelweave.plans.queries_cross import rank_weights
+from panelweave.plans.queries_cross import _EDGE, rank_weights
 from panelweave.plans.queries_panel import _LINKED, _PUBLIC, _RANGES, _SAMPLE, june_sql
 from panelweave.plans.registry import D, L, M, q_sql, query, r, rs
 from panelweave.session import materialize, table
@@ -422,7 +422,28 @@ def decile_spread(spark: SparkSession, root: str, signal: DataFrame, k: int = 10
     return simulate_fixed(materialize(book.unionByName(hl).drop("code")), m)
 
 
-@query("f36_test_assets")
+_ASSETS = {
+    "size": ("CASE WHEN market_equity > 0 THEN -ln(market_equity) END", ""),
+    "momentum": ("CASE WHEN count(ret) OVER f = 11 THEN CASE WHEN min(1 + ret) OVER f <= 0 THEN -1 ELSE product(1 + ret) OVER f - 1 END END", _roll(12, 2)),
+    "low_vol": ("CASE WHEN count(ret) OVER f >= 8 THEN -stddev_samp(ret) OVER f END", f"WINDOW f AS ({_BY} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"),
+}
+
+
+def deciles_sql(name: str, x: str, frame: str) -> tuple[str, str]:
+    """Tables and query of the ten value-weighted portfolios of a signal."""
+    n = name
+    parts = f"""e_{n} AS (SELECT date, asset_id, {rs('v', 7)} AS x FROM (SELECT date, asset_id, {x} AS v FROM m {frame}) WHERE v IS NOT NULL AND {_SAMPLE}),
+k_{n} AS (SELECT e.*, m.market_equity, row_number() OVER (PARTITION BY e.date ORDER BY e.x, e.asset_id) AS rk, count(*) OVER (PARTITION BY e.date) AS n FROM e_{n} e JOIN m ON m.date = e.date AND m.asset_id = e.asset_id),
+c_{n} AS (SELECT *, CASE WHEN n >= 10 THEN (SELECT count(*) FROM (SELECT unnest({[share(j, 10) for j in range(1, 10)]}::DOUBLE[]) AS p) WHERE rk > {_EDGE}) END AS code FROM k_{n}),
+w_{n} AS (SELECT date AS rd, asset_id, code, market_equity / sum(market_equity) OVER (PARTITION BY date, code) AS w FROM c_{n} WHERE code IS NOT NULL AND market_equity > 0),
+p_{n} AS (SELECT t.date, r.rd FROM (SELECT DISTINCT date FROM m) t ASOF JOIN (SELECT DISTINCT rd FROM w_{n}) r ON t.date > r.rd)"""
+    return parts, f"SELECT p.date, '{n}:D' || lpad(CAST(code + 1 AS VARCHAR), 2, '0') AS portfolio, {rs('sum(w * m.ret)', 7)} AS ret FROM w_{n} w JOIN p_{n} p USING (rd) JOIN m ON m.date = p.date AND m.asset_id = w.asset_id WHERE m.ret IS NOT NULL GROUP BY ALL"
+
+
+_DEC = [deciles_sql(n, x, f) for n, (x, f) in _ASSETS.items()]
+
+
+@query("f36_test_assets", f"WITH {M}, {', '.join(a for a, _ in _DEC)} {' UNION ALL '.join(b for _, b in _DEC)}")
 def f36(spark: SparkSession, root: str) -> DataFrame:
     """Ten portfolios on each of three characteristics."""
     w = along("asset_id", "date")
