@@ -83,8 +83,8 @@ def postings(docs: DataFrame, vocabulary, wanted, reach: int) -> DataFrame:  # n
     return docs.select("doc_id", "text").mapInArrow(index, f"term int, doc_id {dict(docs.dtypes)['doc_id']}, pos int, around array<int>")
 
 
-def _anchors(items: dict, ids: dict[bytes, int], counts: dict[int, int], run: int) -> list[tuple]:
-    """(term, item, pos, around) for the rarest term of every run of words; runs with a term the corpus lacks can't occur."""
+def _anchors(items: dict, ids: dict[bytes, int], counts: dict[int, int], run: int, altered: int) -> list[tuple]:
+    """(term, item, pos, around) for the altered + 1 rarest terms of every run of words, less those that the corpus lacks: if no more than `altered` words of the run are missing, one of them is there."""
     out = []
     for item, ws in items.items():
         own = np.array([ids[w] for w in ws], dtype="int32")
@@ -93,22 +93,25 @@ def _anchors(items: dict, ids: dict[bytes, int], counts: dict[int, int], run: in
         padded[run - 1 : run - 1 + len(own)] = own
         picks = set()
         for s in range(len(own) - run + 1):
-            f = freq[s : s + run]
-            if f.min() > 0:
-                picks.add(s + int(f.argmin()))
+            rarest = s + np.argsort(freq[s : s + run], kind="stable")[: altered + 1]
+            picks.update(int(p) for p in rarest if freq[p] > 0)
         out += [(int(own[p]), item, p, [int(x) for x in padded[p : p + 2 * run - 1]]) for p in sorted(picks)]
     return out
 
 
-def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, sweep_words: int = SWEEP_WORDS) -> DataFrame:
+def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, sweep_words: int = SWEEP_WORDS, altered: int | None = None) -> DataFrame:
     """(doc_id, item_id, doc_pos, item_pos, run_words, shared_words, kind): alignments of corpus texts with items.
 
     docs (doc_id, text), items (item_id, text). First the corpus count of each item word; then every run of `run` item
-    words is filed under its rarest word, and a positional index of just these words is read from the corpus, each posting
-    with the words around it. Posting and item lists are intersected with their offset taken off: kind 'phrase' if the
+    words is filed under its altered + 1 rarest words, and a positional index of just these words is read from the corpus,
+    each posting with the words around it. Posting and item lists are intersected with their offset taken off: kind 'phrase' if the
     run of equal words through the anchor has at least `run` words, 'proximity' if at least `run` different words of the
     item's passage stand around the anchor in any order.
 
+    altered is the number of words of a run that may be missing from the corpus text; by default run // 2 - 1, since of the
+    two runs that end and begin at the middle of a passage with `run` shared words one misses no more. 0 is enough for all
+    phrases, and then proximity matches are only those around a run's rarest word.
+
     Items come in sweeps of about sweep_words words, so what is sent to tasks is bounded whatever their number; postings
     are never grouped, and no corpus text leaves its task but the words around an anchor.
 
@@ -117,6 +120,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, sweep_wor
     """
     spark = docs.sparkSession
     reach, parts = run - 1, []
+    altered = run // 2 - 1 if altered is None else altered
     sizes = items.select(F.sum(F.length("text"))).collect()[0][0] or 0
     sweeps = max(1, -(-sizes // (4 * sweep_words)))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, doc_pos int, item_pos int, run_words int, shared_words int, kind string"
@@ -128,7 +132,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, sweep_wor
         if not ids:
             continue
         vocabulary = spark.sparkContext.broadcast(ids)
-        anchors = _anchors(own, ids, _counts(docs, vocabulary), run)
+        anchors = _anchors(own, ids, _counts(docs, vocabulary), run, altered)
         if not anchors:
             continue
         want = np.zeros(len(ids), dtype=bool)

@@ -51,7 +51,7 @@ def p7_packed(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with at least twelve consecutive words of a benchmark item."""
-    hits = leaked_passages(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark").select("item_id", "text"))
+    hits = leaked_passages(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark").select("item_id", "text"), altered=0)
     return hits.where("kind = 'phrase'").select("doc_id", "item_id").distinct()
 
 

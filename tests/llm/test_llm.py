@@ -180,6 +180,16 @@ def test_leaks_proximity_and_empty(spark):
     assert leaked_passages(docs.limit(0), items).count() == 0 == leaked_passages(docs, items.limit(0)).count()
 
 
+@pytest.mark.parametrize("elsewhere", ["", "w9"])
+@pytest.mark.parametrize("missing", [[9], [4, 9, 14]])
+def test_leaks_with_replaced_words(spark, missing, elsewhere):
+    ws = [f"w{i}" for i in range(20)]
+    post = ["other" if i in missing else w for i, w in enumerate(ws)]
+    docs = spark.createDataFrame([(1, " ".join(post)), (2, " ".join(ws[:4] + ws[5:9] + ws[10:14])), (3, elsewhere), (4, " ".join(ws[:11]))], "doc_id long, text string")
+    got = leaked_passages(docs, spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.kind) for r in got} == {(1, "proximity"), (2, "proximity")}
+
+
 CLEAN = [
     "Der Schlüssel für die größere Tür fehlt, möglicherweise müsst ihr ihn prüfen.",
     "J’ai essayé à côté de la fenêtre, c’est étrange « cassée », 20 € hélas.",
