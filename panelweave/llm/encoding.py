@@ -67,8 +67,10 @@ def _readings(codec: str) -> dict[str, int]:
     return out
 
 
-#: Two neighbours that some encoding's bytes may look like, or a lost character; text without is clean.
-_SUSPECT = re.compile("[%s]{2}|%s" % (re.escape("".join(sorted({c for _, r in PAIRS for c in _readings(r)}))), LOST))
+#: Two neighbours that some encoding's bytes may look like, a control character of the upper half or a lost character.
+_SUSPECT = re.compile("[%s]{2}|[\x80-\x9f]|%s" % (re.escape("".join(sorted({c for _, r in PAIRS for c in _readings(r)}))), LOST))
+#: A Shift-JIS character whose second byte is ASCII. Text without this and without suspicion is clean.
+_SHIFTED = re.compile("[%s][@-~]" % re.escape("".join(sorted({c for w, r in PAIRS if w == "shift_jis" for c, b in _readings(r).items() if 0x81 <= b <= 0x9F or 0xE0 <= b <= 0xFC}))))
 
 
 def _cyrillic(c: str) -> bool:
@@ -98,6 +100,8 @@ class CharModel:
         self.case = {ab: math.log((n + 1) / (sum(m for k, m in case.items() if k[0] == ab[0]) + 4)) for ab, n in ((a + b, case.get(a + b, 0)) for a in "ul" for b in "ul")}
 
     def score(self, c: str, before: str) -> float:
+        if "\x80" <= c <= "\x9f":  # where a corpus has them, they come from wrong readings
+            return UNSEEN
         one = max(self.single.get(c, UNSEEN), EVERYDAY if _everyday(c) else HAN if "一" <= c <= "龥" else UNSEEN)
         if before and _cyrillic(c) and _cyrillic(before):
             a, b = before.lower(), c.lower()
@@ -144,6 +148,7 @@ class Model:
         self.cost = [SWITCH if w == "utf-8" else SWITCH_OTHER for w, _ in PAIRS] + [0.0, 0.0]  # the last two: clean (-2), lost (-1)
         self.lone = [w in ("cp1251", "koi8_r", "cp866") for w, _ in PAIRS]
         self.cache: dict = {}
+        self.shifted: dict[str, bool] = {}
 
     def unit(self, s: int, tokens: list[str], i: int) -> tuple[str, int] | None:
         """The original character that begins at token i under pair s, and how many tokens it takes."""
@@ -187,19 +192,34 @@ class Model:
         self.cache[key] = got
         return got
 
+    def _marks(self, text: str) -> list[int]:
+        """Where suspicious characters stand; a Shift-JIS character with an ASCII byte counts if it is likelier than what stands there, as one of a span must be."""
+        at = {m.start() for m in _SUSPECT.finditer(text)}
+        for m in _SHIFTED.finditer(text):
+            if m.start() not in at and self._shifted(m.group()):
+                at.add(m.start())
+        return sorted(at)
+
+    def _shifted(self, two: str) -> bool:
+        if two not in self.shifted:
+            units = [self.unit(s, list(two), 0) for s, (w, _) in enumerate(PAIRS) if w == "shift_jis"]
+            self.shifted[two] = any(u and self.chars.score(u[0], "") > self.chars.score(two[0], "") for u in units)
+        return self.shifted[two]
+
     def spans(self, raw: str) -> list[tuple[int, int, int, str]]:
         """(start, end, state, restored) of the most likely labelling; state -1 is lost characters, with what stands there.
 
         Inline code, a pair of single backticks on one line, is passed over."""
         text = _CODE.sub(lambda m: "\0" * len(m.group()), raw) if "`" in raw else raw
-        if not _SUSPECT.search(text):
+        marks = self._marks(text)
+        if not marks:
             return []
         # Stretches free of suspicion cost and gain nothing: only clusters around suspicious characters are decoded. A long
         # cluster is cut, where there is a gap if possible, so that the lattice in memory is bounded for any text.
         out: list[tuple[int, int, int, str]] = []
         first = last = None
         done = 0
-        for at in [m.start() for m in _SUSPECT.finditer(text)]:
+        for at in marks:
             if first is not None and (at - last > 40 or (at - first > CLUSTER and at - last > 2) or at - first > 4 * CLUSTER):
                 end = min(at, last + 14)
                 out += self._decode(text, raw, max(done, first - 12), end)

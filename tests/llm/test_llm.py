@@ -267,6 +267,14 @@ def test_passages_and_words():
     assert isinstance(m.chars, CharModel)
 
 
+def test_shift_jis_with_ascii_bytes():
+    m = Model({"u" + c: 50 for c in "éüè’“”…テストサイウィキソース行に新しい"} | {"ua": 10_000})
+    for word in ("テスト", "サイト", "ウィキ", "ソース", "行"):
+        bad = sloppy(word.encode("shift_jis"), "cp1252")
+        assert m.garbled(f"see {bad} here") and m.restore(f"see {bad} here")[0] == f"see {word} here"
+    assert not m.garbled("It’s a café, l’été… “No”, the function ƒ(x) and naïve Zoë.")
+
+
 def test_very_long_texts():
     m = Model({"u" + c: 50 for c in "éüè’“”Ã©¼â€™œ次に新しいテーブルを変更するとエラーになります。何回も試しましたが、設定は変わりません"} | {"ua": 100_000})
     plain = "次に新しいテーブルを変更するとエラーになります。" * 700
