@@ -38,6 +38,7 @@ PAIRS = [
     ("cp1251", "koi8_r"),
     ("cp866", "cp1251"),
     ("cp866", "cp1252"),
+    ("cp1252", "latin-1"),
 ]
 LOST = "�"
 #: Costs in nats: entering or leaving the state of a pair written in UTF-8, whose bytes vouch for each other, or of another pair; a Latin letter inside a span of a pair that writes Cyrillic or Japanese; at most that much for one stretch of ASCII.
@@ -156,7 +157,9 @@ class Model:
         lead = table.get(tokens[i])
         if lead is None:
             return None
-        if self.lone[s]:
+        if written == "cp1252":  # differs from what was read in the control characters only
+            longest = shortest = 1 if lead <= 0x9F else 0
+        elif self.lone[s]:
             longest = shortest = 1
         elif written == "utf-8":
             longest = shortest = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0

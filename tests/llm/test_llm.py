@@ -275,6 +275,12 @@ def test_shift_jis_with_ascii_bytes():
     assert not m.garbled("It’s a café, l’été… “No”, the function ƒ(x) and naïve Zoë.")
 
 
+def test_western_controls():
+    m = Model({"u" + c: 50 for c in "éüè’“”…€™"} | {"ua": 10_000})
+    assert m.restore("It\x92s \x93quoted\x94 for 5 \x80") == ("It’s “quoted” for 5 €", ["cp1252>latin-1"], True)
+    assert m.restore("itâ\x80\x99s")[1] == ["utf-8>latin-1"]
+
+
 def test_very_long_texts():
     m = Model({"u" + c: 50 for c in "éüè’“”Ã©¼â€™œ次に新しいテーブルを変更するとエラーになります。何回も試しましたが、設定は変わりません"} | {"ua": 100_000})
     plain = "次に新しいテーブルを変更するとエラーになります。" * 700
