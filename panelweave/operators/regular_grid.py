@@ -1,4 +1,4 @@
-"""Irregular readings onto a regular grid of cells."""
+"""Irregular readings onto a regular grid of cells: everything here is read off a cumulative counter."""
 
 from __future__ import annotations
 
@@ -7,99 +7,107 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _known(source: list[str]) -> Column:
+    ok = F.lit(True)
+    for s in source:
+        ok &= F.col(f"`{s}`").isNotNull()
+    return ok
+
+
+def counter_grid(readings: DataFrame, source: list[str], time: str, counter: str, cells: int, width: int, start: float | None = None, reach: float | None = None) -> DataFrame:
+    """Increments of a cumulative counter per cell: (source..., slot_no, increment, covered, last_time), all cells of each source.
+
+    Consecutive readings are differenced; a reading below the one before it means that the counter was reset, and it counts
+    from zero. An increment belongs to the time since the reading before, or at most to the last `reach` of it, and is spread
+    over the cells in proportion to the overlap. Time that no increment belongs to is uncovered: before the first reading
+    (unless the counter is known to be zero at `start`), after the last, and in a gap what lies further back than `reach`.
+    covered is the covered share of the cell; a cell with none has covered 0 and a null increment. last_time is the time of the
+    last reading, or start, at or before the cell's beginning.
+
+    Repeated readings shrink on the map side to one per source and time, so a source brings its distinct times to a task.
+
+    Defined cases: rows with a null source, time or counter, or NaN, are ignored; of several at the same time the greatest
+    counts; a reading at or before start only says where the counter stood; time outside the grid is cut off; an empty
+    table gives an empty grid.
+    """
+    t, c = F.col(f"`{time}`").cast("double"), F.col(f"`{counter}`").cast("double")
+    ok = _known(source) & t.isNotNull() & ~F.isnan(t) & c.isNotNull() & ~F.isnan(c)
+    one = readings.where(ok).groupBy(*source, t.alias("_t")).agg(F.max(c).alias("_c"))
+    w = W.partitionBy(*source).orderBy("_t")
+    first = F.lit(None if start is None else float(start)).cast("double")
+    d = one.select(*source, F.coalesce(F.lag("_t").over(w), first).alias("_a"), "_t", F.coalesce(F.lag("_c").over(w), F.when(first.isNotNull(), 0.0)).alias("_p"), "_c", F.lead("_t").over(w).alias("_n"))
+    gain = F.when(F.col("_c") < F.col("_p"), F.col("_c")).otherwise(F.col("_c") - F.col("_p"))
+    step = lambda a, z, x: F.struct(a.alias("a"), z.alias("z"), x.alias("x"))
+    own = step(F.col("_a"), F.col("_t"), gain)
+    rest = F.when(F.col("_n").isNull(), step(F.col("_t"), F.lit(float(cells * width)), F.lit(None).cast("double")))
+    d = d.select(*source, F.explode(F.array_compact(F.array(own, rest))).alias("_g")).select(*source, "_g.*")
+    lo = F.greatest(F.floor(F.coalesce("a", F.lit(0.0)) / width), F.lit(0)).cast("int")
+    hi = F.least(F.ceil(F.col("z") / width) - 1, F.lit(cells - 1)).cast("int")
+    d = d.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("_s", F.explode(F.sequence("_lo", "_hi")))
+    begin = F.col("a") if reach is None else F.greatest(F.col("a"), F.col("z") - F.lit(float(reach)))
+    begin = F.when(F.col("x").isNotNull(), begin)
+    over = F.greatest(F.least(F.col("z"), (F.col("_s") + 1) * F.lit(float(width))) - F.greatest(begin, F.col("_s") * F.lit(float(width))), F.lit(0.0))
+    over = F.when(begin.isNotNull(), over).otherwise(0.0)
+    d = d.select(*source, "_s", over.alias("_o"), F.when(over > 0, F.col("x") * over / (F.col("z") - begin)).alias("_x"), F.when(F.col("a") <= F.col("_s") * width, F.col("a")).alias("_l"))
+    out = d.groupBy(*source, "_s").agg(F.sum("_x").alias("increment"), (F.sum("_o") / width).alias("covered"), F.max("_l").alias("last_time"))
+    return out.select(*source, F.col("_s").alias("slot_no"), "increment", "covered", "last_time")
+
+
+def _ordinals(readings: DataFrame, source: list[str], time: str, *more: Column) -> DataFrame:
+    """Distinct reading times of each source with their number, read when the unit of time that they stand for is over."""
+    one = readings.groupBy(*source, F.col(f"`{time}`").alias("_m")).agg(*more) if more else readings.select(*source, F.col(f"`{time}`").alias("_m")).distinct()
+    return one.withColumns({"_k": F.row_number().over(W.partitionBy(*source).orderBy("_m")), "_end": F.col("_m") + 1})
+
+
 def reading_gaps(readings: DataFrame, source: list[str], time: str, cells: int, width: int, also_occupied: Column | None = None) -> DataFrame:
     """The cells that no reading reaches: (source..., slot_no, from_minute), from_minute being the last reading before, or -1.
 
-    Readings are a counter that rises by one at each: consecutive readings are differenced, the step between them covers
-    the cells from one to the other, and those strictly between lie uncovered. Per source and cell the readings first
-    shrink, map-side, to the last of each cell, so a source brings at most `cells` rows to a task, however many it sent.
+    The number of readings so far is a counter that rises by one in each unit of time with a reading. On its grid the cells
+    with nothing covered are those without a reading, and the last reading before is the counter's.
 
     also_occupied: a predicate on rows that fill the last cell without being readings (a closing auction).
-    Rows with a null source or time are no readings.
+    Defined cases: rows with a null source or time are no readings; a source without a reading has no cells.
     """
-    is_reading = F.col(f"`{time}`").between(0, cells * width - 1)
-    extra = F.lit(False) if also_occupied is None else F.coalesce(also_occupied, F.lit(False)) & ~F.coalesce(is_reading, F.lit(False))
-    known = F.lit(True)
-    for s in source:
-        known &= F.col(f"`{s}`").isNotNull()
-    rows = readings.where(known & (is_reading | extra))
-    slot = F.when(extra, cells - 1).otherwise(F.floor(F.col(f"`{time}`") / width)).cast("int")
-    per_cell = rows.groupBy(*source, slot.alias("_slot")).agg(F.max(F.when(~extra, F.col(f"`{time}`"))).cast("int").alias("_last"))
-    w = W.partitionBy(*source).orderBy("_slot")
-    steps = per_cell.select(
-        *source,
-        "_slot",
-        F.max("_last").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_from"),
-        F.lag("_slot").over(w).alias("_before"),
-        F.coalesce(F.lead("_slot").over(w), F.lit(cells)).alias("_next"),
-        F.max("_last").over(W.partitionBy(*source)).alias("_any"),
-    ).where("_any is not null")
-    follow = F.struct((F.col("_slot") + 1).alias("a"), (F.col("_next") - 1).alias("b"), F.coalesce("_from", F.lit(-1)).alias("f"))
-    lead_in = F.when(F.col("_before").isNull(), F.struct(F.lit(0).alias("a"), (F.col("_slot") - 1).alias("b"), F.lit(-1).alias("f")))
-    runs = steps.select(*source, F.explode(F.array_compact(F.array(lead_in, follow))).alias("_g")).where("_g.a <= _g.b")
-    return runs.select(*source, F.explode(F.sequence("_g.a", "_g.b")).alias("slot_no"), F.col("_g.f").alias("from_minute"))
+    is_reading = F.coalesce(F.col(f"`{time}`").between(0, cells * width - 1), F.lit(False))
+    known = readings.where(_known(source))
+    grid = counter_grid(_ordinals(known.where(is_reading), source, time), source, "_end", "_k", cells, width, start=0, reach=1)
+    empty = grid.where("covered = 0")
+    if also_occupied is not None:
+        filled = known.where(F.coalesce(also_occupied, F.lit(False)) & ~is_reading).select(*source).distinct().withColumn("slot_no", F.lit(cells - 1))
+        empty = empty.join(filled, [*source, "slot_no"], "left_anti")
+    return empty.select(*source, "slot_no", (F.col("last_time") - 1).cast("int").alias("from_minute"))
 
 
 def gauge_grid(readings: DataFrame, source: list[str], time: str, cells: int, width: int, first: str, last: str, order: str, closing: tuple[str, int] | None = None) -> DataFrame:
     """The full row of cells per source: (source..., slot_no, price, state, from_minute).
 
-    price is the last reading of `last` in the cell; a cell without one takes the last before it ('filled'), before the
-    first reading there is only `first` of that reading, marked 'leading'. Cells with a reading are 'observed'. `order`
-    decides between repeated readings of one time: the greatest counts (nulls lowest), then the greatest price.
+    The number of readings so far is laid onto the grid as a counter; its sum up to a cell is the number of the reading that
+    holds there. price is the `last` of that reading: of one in the cell ('observed') or before it ('filled', nothing of the
+    cell covered); before the first reading there is only `first` of that reading, marked 'leading'. `order` decides between
+    repeated readings of one time: the greatest counts (nulls lowest), then the greatest price.
     closing: (column, time): that column's value at that time replaces the last cell's price ('auction').
+
+    Defined cases: readings without a positive `last` are none; a source without a reading has no cells.
     """
     ok = lambda c: F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) & (F.col(f"`{c}`") > 0)
     t = F.col(f"`{time}`")
-    usable = t.between(0, cells * width - 1) & ok(last)
-    auction = F.lit(False) if closing is None else (t == closing[1]) & ok(closing[0])
-    value = F.when(auction & ~usable, F.col(f"`{closing[0]}`") if closing else None).otherwise(F.col(f"`{last}`"))
-    slot = F.when(usable, F.floor(t / width)).otherwise(cells).cast("int")
-    known = F.lit(True)
-    for s in source:
-        known &= F.col(f"`{s}`").isNotNull()
-    key = F.struct(t.alias("t"), F.col(f"`{order}`").alias("o"), value.alias("p"))
-    early = F.struct((-t).alias("t"), F.col(f"`{order}`").alias("o"), F.when(ok(first), F.col(f"`{first}`")).alias("p"))
-    per_cell = readings.where(known & F.coalesce(usable | auction, F.lit(False))).groupBy(*source, slot.alias("_slot")).agg(F.max(key).alias("_x"), F.max(early).alias("_y"))
-    per_source = per_cell.groupBy(*source).agg(
-        F.map_from_entries(F.collect_list(F.struct("_slot", F.struct(F.col("_x.t").alias("t"), F.col("_x.p").alias("p"))))).alias("_m"),
-        F.min_by("_y", F.when(F.col("_slot") < cells, F.col("_slot"))).alias("_y"),
-        F.min("_slot").alias("_least"),
-    ).where(F.col("_least") < cells)
-    grid = per_source.select(*source, "_y", F.element_at("_m", cells).alias("_auc"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda s: F.struct(s.alias("s"), F.element_at("_m", s).alias("x")))).alias("_c"))
-    w = W.partitionBy(*source).orderBy(F.col("_c.s"))
-    before = F.last(F.col("_c.x"), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    g = grid.withColumn("_b", before)
-    last_cell = (F.col("_c.s") == cells - 1) & F.col("_auc").isNotNull()
-    return g.select(
-        *source,
-        F.col("_c.s").alias("slot_no"),
-        F.when(last_cell, F.col("_auc.p")).otherwise(F.coalesce("_c.x.p", "_b.p", "_y.p")).alias("price"),
-        F.when(last_cell, "auction").when(F.col("_c.x").isNotNull(), "observed").when(F.col("_b").isNotNull(), "filled").otherwise("leading").alias("state"),
-        F.coalesce(F.col("_b.t"), F.lit(-1)).alias("from_minute"),
-    )
-
-
-def counter_grid(readings: DataFrame, source: list[str], time: str, counter: str, cells: int, width: int) -> DataFrame:
-    """Increments of a cumulative counter per cell: (source..., slot_no, increment, covered).
-
-    Consecutive readings are differenced; a reading below the one before it means the counter was reset, and it counts
-    from zero. An increment belongs to the time since the reading before and is spread over the cells in proportion to the
-    overlap. covered is the share of the cell that lies between the first and the last reading; a cell with none is
-    marked by covered 0 and a null increment. Readings with a null time or counter, or NaN, are ignored; of several at the
-    same time the greatest counts.
-    """
-    t, c = F.col(f"`{time}`").cast("double"), F.col(f"`{counter}`").cast("double")
-    known = t.isNotNull() & c.isNotNull() & ~F.isnan(c)
-    for s in source:
-        known &= F.col(f"`{s}`").isNotNull()
-    one = readings.where(known).groupBy(*source, t.alias("_t")).agg(F.max(c).alias("_c"))
-    w = W.partitionBy(*source).orderBy("_t")
-    d = one.select(*source, F.lag("_t").over(w).alias("_a"), F.col("_t").alias("_z"), F.lag("_c").over(w).alias("_p"), "_c").where("_a is not null")
-    d = d.withColumn("_inc", F.when(F.col("_c") < F.col("_p"), F.col("_c")).otherwise(F.col("_c") - F.col("_p")))
-    lo, hi = F.greatest(F.floor(F.col("_a") / width), F.lit(0)), F.least(F.ceil(F.col("_z") / width) - 1, F.lit(cells - 1))
-    parts = d.withColumns({"_lo": lo.cast("int"), "_hi": hi.cast("int")}).where("_lo <= _hi").withColumn("_s", F.explode(F.sequence("_lo", "_hi")))
-    over = F.least(F.col("_z"), (F.col("_s") + 1) * F.lit(float(width))) - F.greatest(F.col("_a"), F.col("_s") * F.lit(float(width)))
-    cell = parts.withColumn("_ov", over).groupBy(*source, "_s").agg(F.sum(F.col("_inc") * F.col("_ov") / (F.col("_z") - F.col("_a"))).alias("_i"), F.sum("_ov").alias("_c"))
-    full = one.select(*source).distinct().select(*source, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_s"))
-    out = full.join(cell, [*source, "_s"], "left")
-    return out.select(*source, F.col("_s").alias("slot_no"), F.col("_i").alias("increment"), (F.coalesce("_c", F.lit(0.0)) / width).alias("covered"))
+    usable = F.coalesce(t.between(0, cells * width - 1) & ok(last), F.lit(False))
+    known = readings.where(_known(source))
+    latest = lambda c: F.struct(F.col(f"`{order}`").alias("o"), F.col(f"`{c}`").alias("p"))
+    opens = F.struct(F.col(f"`{order}`").alias("o"), F.when(ok(first), F.col(f"`{first}`")).alias("p"))
+    one = _ordinals(known.where(usable), source, time, F.max(latest(last)).getField("p").alias("_p"), F.max(opens).getField("p").alias("_f"))
+    # at most one price per unit of time
+    row = one.groupBy(*source).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_p"))), lambda x: x["_p"]).alias("_ps"), F.min_by("_f", "_k").alias("_f"))
+    grid = counter_grid(one, source, "_end", "_k", cells, width, start=0, reach=1).join(row, source)
+    held = F.round(F.sum(F.coalesce("increment", F.lit(0.0))).over(W.partitionBy(*source).orderBy("slot_no").rowsBetween(W.unboundedPreceding, 0))).cast("int")
+    grid = grid.withColumn("_h", held)
+    closed = F.lit(False)
+    if closing is not None:
+        auction = known.where(F.coalesce((t == closing[1]) & ok(closing[0]), F.lit(False))).groupBy(*source).agg(F.max(latest(closing[0])).getField("p").alias("_auction"))
+        grid = grid.join(auction, source, "left")
+        closed = (F.col("slot_no") == cells - 1) & F.col("_auction").isNotNull()
+    price = F.when(F.col("_h") > 0, F.try_element_at("_ps", F.col("_h"))).otherwise(F.col("_f"))
+    state = F.when(F.col("covered") > 0, "observed").when(F.col("_h") > 0, "filled").otherwise("leading")
+    if closing is not None:
+        price, state = F.when(closed, F.col("_auction")).otherwise(price), F.when(closed, "auction").otherwise(state)
+    return grid.select(*source, "slot_no", price.alias("price"), state.alias("state"), (F.col("last_time") - 1).cast("int").alias("from_minute"))

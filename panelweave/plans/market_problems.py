@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.nulls import finite
@@ -118,17 +119,32 @@ def p6_prices(spark: SparkSession, root: str) -> DataFrame:
     return g.select("asset_id", F.col("date_key").cast("long").alias("date_key"), F.col("slot_no").cast("long").alias("slot_no"), "price", "state", F.col("from_minute").cast("long").alias("from_minute"))
 
 
-def p6_volume(spark: SparkSession, root: str) -> DataFrame:
-    """Volume per slot from the running volume counter of each source, spread over the time between readings."""
-    from pyspark.sql import Window as W
+def _volumes(spark: SparkSession, root: str) -> DataFrame:
+    """One volume per source and minute, read at the minute's end."""
+    bars = table(spark, root, "minute_bars").select("asset_id", "date_key", "session_minute", "volume").where("asset_id is not null and date_key is not null and session_minute between 0 and 389 and volume >= 0 and not isnan(volume)")
+    return bars.groupBy("asset_id", "date_key", (F.col("session_minute") + 1).alias("t")).agg(F.max("volume").alias("volume"))
+
 
-    bars = table(spark, root, "minute_bars").select("asset_id", "date_key", "session_minute", "volume").where("session_minute between 0 and 389 and volume >= 0 and not isnan(volume)")
-    one = bars.groupBy("asset_id", "date_key", "session_minute").agg(F.max("volume").alias("volume"))
-    w = W.partitionBy("asset_id", "date_key").orderBy("session_minute").rowsBetween(W.unboundedPreceding, 0)
-    g = counter_grid(one.withColumn("running", F.sum("volume").over(w)), ["asset_id", "date_key"], "session_minute", "running", SLOTS, SLOT_MINUTES)
+def _volume_grid(readings: DataFrame, counter: str) -> DataFrame:
+    g = counter_grid(readings, ["asset_id", "date_key"], "t", counter, SLOTS, SLOT_MINUTES, start=0)
     return g.select("asset_id", F.col("date_key").cast("long").alias("date_key"), F.col("slot_no").cast("long").alias("slot_no"), F.round(F.col("increment") + 3.7e-11, 4).alias("increment"), F.round(F.col("covered") + 3.7e-11, 6).alias("covered"))
 
 
+def p6_volume(spark: SparkSession, root: str) -> DataFrame:
+    """Volume per slot from the running volume counter of each source, spread over the time between readings; it adds up to the source's volume."""
+    w = W.partitionBy("asset_id", "date_key").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    return _volume_grid(_volumes(spark, root).withColumn("running", F.sum("volume").over(w)), "running")
+
+
+def p6_resets(spark: SparkSession, root: str) -> DataFrame:
+    """The same from a counter that really falls: it starts anew whenever the source was silent for over 15 minutes, and nothing but its fall tells."""
+    w = W.partitionBy("asset_id", "date_key").orderBy("t")
+    v = _volumes(spark, root).withColumn("anew", (F.col("t") - F.lag("t").over(w) > 15).cast("int"))
+    v = v.withColumn("part", F.sum(F.coalesce("anew", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    since = W.partitionBy("asset_id", "date_key", "part").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    return _volume_grid(v.withColumn("running", F.sum("volume").over(since)), "running")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_figures": p1_figures,
@@ -138,6 +154,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_prices": p6_prices,
     "p6_volume": p6_volume,
+    "p6_resets": p6_resets,
 }
 
 _LINKED = f"""linked AS (
@@ -166,6 +183,20 @@ _READ = "session_minute BETWEEN 0 AND 389 AND close > 0 AND NOT isnan(close)"
 _SRC = f"""src AS (SELECT DISTINCT asset_id, date_key FROM minute_bars WHERE {_READ}),
 cells AS (SELECT asset_id, date_key, unnest(generate_series(0, 77)) AS slot_no FROM src),
 rd AS (SELECT DISTINCT asset_id, date_key, session_minute AS m FROM minute_bars WHERE {_READ})"""
+
+
+def _counter_sql(running: str) -> str:
+    return f"""WITH v AS (SELECT asset_id, date_key, session_minute + 1 AS t, max(volume) AS volume FROM minute_bars WHERE session_minute BETWEEN 0 AND 389 AND volume >= 0 AND NOT isnan(volume) AND asset_id IS NOT NULL AND date_key IS NOT NULL GROUP BY ALL),
+g0 AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY asset_id, date_key ORDER BY t) > 15, FALSE)::INT AS anew FROM v),
+g1 AS (SELECT *, sum(anew) OVER (PARTITION BY asset_id, date_key ORDER BY t) AS part FROM g0),
+n AS (SELECT asset_id, date_key, t, {running} AS c FROM g1),
+s AS (SELECT asset_id, date_key, t, coalesce(lag(t) OVER w, 0) AS a, c - CASE WHEN lag(c) OVER w <= c THEN lag(c) OVER w ELSE 0 END AS x FROM n WINDOW w AS (PARTITION BY asset_id, date_key ORDER BY t)),
+c AS (SELECT asset_id, date_key, unnest(generate_series(0, 77)) AS k FROM (SELECT DISTINCT asset_id, date_key FROM v)),
+o AS (SELECT c.asset_id, c.date_key, c.k, s.x / (s.t - s.a)::DOUBLE AS rate, least(s.t, c.k * 5 + 5) - greatest(s.a, c.k * 5) AS w FROM c JOIN s ON s.asset_id = c.asset_id AND s.date_key = c.date_key AND s.a < c.k * 5 + 5 AND s.t > c.k * 5),
+g AS (SELECT asset_id, date_key, k, sum(rate * w) AS i, sum(w) / 5.0::DOUBLE AS cov FROM o GROUP BY ALL)
+SELECT c.asset_id, CAST(c.date_key AS BIGINT) AS date_key, CAST(c.k AS BIGINT) AS slot_no, round(i + 3.7e-11, 4) AS increment, round(coalesce(cov, 0) + 3.7e-11, 6) AS covered FROM c LEFT JOIN g USING (asset_id, date_key, k)"""
+
+
 ORACLE = {
     "p1_found": _P1 + " SELECT * FROM found",
     "p1_figures": _P1 + f", fig AS (SELECT gvkey, strftime(datadate, '%Y-%m-%d') AS datadate, strftime(available_date, '%Y-%m-%d') AS available_date, {_FIG} FROM compustat_quarterly GROUP BY ALL) SELECT found.*, {', '.join(ACCOUNT_ITEMS)} FROM found LEFT JOIN fig USING (gvkey, datadate, available_date)",
@@ -183,12 +214,8 @@ UNION ALL SELECT 'daily_ret', CAST(asset_id AS VARCHAR), strftime(d, '%Y-%m-%d')
 UNION ALL SELECT 'monthly_ret', CAST(asset_id AS VARCHAR), strftime(d, '%Y-%m-%d'), 12 FROM mt WHERE t < -0.6000005
 UNION ALL SELECT 'quarterly_eps', gvkey, strftime(d, '%Y-%m-%d'), 4 FROM qt WHERE t < -6.005""",
     "p4_found": _P4,
-    "p6_volume": f"""WITH v AS (SELECT asset_id, date_key, session_minute AS t, max(volume) AS volume FROM minute_bars WHERE session_minute BETWEEN 0 AND 389 AND volume >= 0 AND NOT isnan(volume) AND asset_id IS NOT NULL AND date_key IS NOT NULL GROUP BY ALL),
-s AS (SELECT *, lag(t) OVER (PARTITION BY asset_id, date_key ORDER BY t) AS a FROM v),
-c AS (SELECT asset_id, date_key, unnest(generate_series(0, 77)) AS k FROM (SELECT DISTINCT asset_id, date_key FROM v)),
-o AS (SELECT c.asset_id, c.date_key, c.k, s.volume / (s.t - s.a)::DOUBLE AS rate, least(s.t, c.k * 5 + 5) - greatest(s.a, c.k * 5) AS w FROM c JOIN s ON s.asset_id = c.asset_id AND s.date_key = c.date_key AND s.a < c.k * 5 + 5 AND s.t > c.k * 5),
-g AS (SELECT asset_id, date_key, k, sum(rate * w) AS i, sum(w) / 5.0::DOUBLE AS cov FROM o GROUP BY ALL)
-SELECT c.asset_id, CAST(c.date_key AS BIGINT) AS date_key, CAST(c.k AS BIGINT) AS slot_no, round(i + 3.7e-11, 4) AS increment, round(coalesce(cov, 0) + 3.7e-11, 6) AS covered FROM c LEFT JOIN g USING (asset_id, date_key, k)""",
+    "p6_volume": _counter_sql("sum(volume) OVER (PARTITION BY asset_id, date_key ORDER BY t)"),
+    "p6_resets": _counter_sql("sum(volume) OVER (PARTITION BY asset_id, date_key, part ORDER BY t)"),
     "p6_found": f"""WITH {_SRC},
 occ AS (SELECT asset_id, date_key, m // 5 AS slot_no FROM rd UNION SELECT asset_id, date_key, 77 FROM minute_bars WHERE session_minute = 390 AND open > 0 AND NOT isnan(open))
 SELECT c.asset_id, CAST(c.date_key AS BIGINT) AS date_key, CAST(c.slot_no AS BIGINT) AS slot_no, CAST(coalesce(max(r.m), -1) AS BIGINT) AS from_minute

@@ -133,3 +133,53 @@ def test_counter_grid_resets_and_spreads(spark):
     assert [got[1, i].covered for i in range(4)] == pytest.approx([1.0, 1.0, 0.4, 0.0])
     assert got[1, 3].increment is None and all(got[2, i].covered == 0 for i in range(4))
     assert np.isclose(sum(got[1, i].increment or 0 for i in range(4)), 24.0)
+
+
+def test_counter_grid_against_brute_force(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for s in range(12):
+        times = sorted(rng.sample(range(1, 60), rng.randrange(1, 12)))
+        level = 0.0
+        values = []
+        for _ in times:
+            level = rng.random() * 5 if rng.random() < 0.3 else level + rng.random() * 9
+            values.append(level)
+        reach, before, at = 4, 0.0, 0
+        per = [[0.0, 0.0, 0] for _ in range(12)]
+        for t, c in zip(times, values):
+            gain = c if c < before else c - before
+            lo = max(at, t - reach)
+            for u in range(lo, t):
+                per[u // 5][0] += gain / (t - lo)
+                per[u // 5][1] += 1 / 5
+            before, at = c, t
+        for k in range(12):
+            per[k][2] = max([0] + [t for t in times if t <= k * 5])
+            want[s, k] = per[k]
+        rows += [(s, float(t), c) for t, c in zip(times, values)]
+    df = spark.createDataFrame(rows + rows[:7] + [(None, 1.0, 1.0), (50, None, 1.0), (51, 2.0, None), (52, 2.0, float("nan"))], "s int, t double, increment double")
+    got = {(r.s, r.slot_no): r for r in counter_grid(df, ["s"], "t", "increment", 12, 5, start=0, reach=4).collect()}
+    assert got.keys() == want.keys()
+    for key, (x, c, last) in want.items():
+        assert got[key].covered == pytest.approx(c) and (got[key].increment or 0.0) == pytest.approx(x) and got[key].last_time == last
+        assert (got[key].increment is None) == (c == 0)
+    assert counter_grid(df.limit(0), ["s"], "t", "increment", 12, 5).count() == 0
+
+
+def test_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from panelweave import session
+
+    assert session.at_most(spark.range(5), 5) and not session.at_most(spark.range(6), 5)
+    kept = session.stored(spark.range(9).withColumn("x", F.lit("a")), "id")
+    assert kept.where("id < 3").count() == 3 and kept.inputFiles()[0].startswith("file:")
+    class Bare:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+        getConf = lambda self: {}
+    class Session:
+        sparkContext = Bare()
+    defined = type("D", (), {"isDefined": lambda self: False})
+    Bare._jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: defined()})()})()
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
