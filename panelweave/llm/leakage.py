@@ -1,153 +1,137 @@
-"""Held-out items in a corpus, through a positional index of the corpus restricted to the items' rarest words."""
+"""Held-out items in a corpus, through a stored positional index of the items' rarest words."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelweave.session import at_most, broadcast_if_small, stored
+
 #: Consecutive words that make a leak.
 RUN = 12
-#: Words of items handled in one sweep over the corpus; more items take more sweeps, none is left out.
-SWEEP_WORDS = 1_000_000
-
-_WORD = re.compile(rb"[0-9a-z]+")
-
-
-def words(text: str | None) -> list[bytes]:
-    """Maximal runs of ASCII letters and digits in lower case; bytes keep other letters from being folded into ASCII."""
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
-
-
-def _counts(docs: DataFrame, vocabulary) -> dict[int, int]:  # noqa: ANN001
-    """Corpus count of each vocabulary word: counted per task, added up by word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen, kept = vocabulary.value, Counter(), Counter()
-
-        def sift() -> None:
-            """Words of the vocabulary stay; other words, of which there is no end, are forgotten."""
-            few, many = (seen, ids) if len(seen) < len(ids) else (ids, seen)
-            for w in few:
-                if w in many:
-                    kept[ids[w]] += seen[w]
-            seen.clear()
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(words(t))
-                if len(seen) > 100_000:
-                    sift()
-        sift()
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array(list(kept.values()), pa.int64())], names=["term", "n"])
-
-    return {r[0]: r[1] for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect()}
-
-
-def postings(docs: DataFrame, vocabulary, wanted, reach: int) -> DataFrame:  # noqa: ANN001
-    """(term, doc_id, pos, around): where the wanted terms stand, with the terms from pos - reach to pos + reach, -1 if not in the vocabulary."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, want = vocabulary.value, wanted.value
-        span = np.arange(2 * reach + 1)
-        for b in batches:
-            kind = b.schema.field(0).type
-            terms, docs_at, pos, around = [], [], [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                ws = words(t)
-                if not ws:
-                    continue
-                row = np.full(len(ws) + 2 * reach, -1, dtype="int32")
-                row[reach : reach + len(ws)] = [ids.get(w, -1) for w in ws]
-                own = row[reach : reach + len(ws)]
-                at = np.flatnonzero((own >= 0) & want[own])
-                if len(at):
-                    terms.append(own[at])
-                    docs_at.append(np.full(len(at), k))
-                    pos.append(at)
-                    around.append(row[at[:, None] + span])
-            if terms:
-                flat = pa.array(np.concatenate(around).ravel(), pa.int32())
-                size = 2 * reach + 1
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), flat)
-                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms), pa.int32()), b.column(0).take(pa.array(np.concatenate(docs_at))).cast(kind), pa.array(np.concatenate(pos), pa.int32()), lists], names=["term", "doc_id", "pos", "around"])
-                for i in range(0, out.num_rows, 20_000):
-                    yield out.slice(i, 20_000)
-
-    return docs.select("doc_id", "text").mapInArrow(index, f"term int, doc_id {dict(docs.dtypes)['doc_id']}, pos int, around array<int>")
-
-
-def _anchors(items: dict, ids: dict[bytes, int], counts: dict[int, int], run: int, altered: int) -> list[tuple]:
-    """(term, item, pos, around) for the altered + 1 rarest terms of every run of words, less those that the corpus lacks: if no more than `altered` words of the run are missing, one of them is there."""
-    out = []
-    for item, ws in items.items():
-        own = np.array([ids[w] for w in ws], dtype="int32")
-        freq = np.array([counts.get(int(i), 0) for i in own])
-        padded = np.full(len(own) + 2 * (run - 1), -1, dtype="int32")
-        padded[run - 1 : run - 1 + len(own)] = own
-        picks = set()
-        for s in range(len(own) - run + 1):
-            rarest = s + np.argsort(freq[s : s + run], kind="stable")[: altered + 1]
-            picks.update(int(p) for p in rarest if freq[p] > 0)
-        out += [(int(own[p]), item, p, [int(x) for x in padded[p : p + 2 * run - 1]]) for p in sorted(picks)]
-    return out
-
-
-def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, sweep_words: int = SWEEP_WORDS, altered: int | None = None) -> DataFrame:
-    """(doc_id, item_id, doc_pos, item_pos, run_words, shared_words, kind): alignments of corpus texts with items.
-
-    docs (doc_id, text), items (item_id, text). First the corpus count of each item word; then every run of `run` item
-    words is filed under its altered + 1 rarest words, and a positional index of just these words is read from the corpus,
-    each posting with the words around it. Posting and item lists are intersected with their offset taken off: kind 'phrase' if the
-    run of equal words through the anchor has at least `run` words, 'proximity' if at least `run` different words of the
-    item's passage stand around the anchor in any order.
-
-    altered is the number of words of a run that may be missing from the corpus text; by default run // 2 - 1, since of the
-    two runs that end and begin at the middle of a passage with `run` shared words one misses no more. 0 is enough for all
-    phrases, and then proximity matches are only those around a run's rarest word.
-
-    Items come in sweeps of about sweep_words words, so what is sent to tasks is bounded whatever their number; postings
-    are never grouped, and no corpus text leaves its task but the words around an anchor.
-
-    Defined cases: null or short texts match nothing; items with under `run` words can't leak; repeated documents or items
-    give repeated alignments.
+#: Posting lists that are intersected for a run, besides those that may fail for altered words.
+LISTS = 2
+#: Places by which two words of a passage may be shifted against each other and still be near.
+BAND = 2
+#: Rows up to which a table of terms or anchors is broadcast (some tens of MB); beyond, the same joins shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Characters of items up to which their words are broadcast.
+BROADCAST_CHARS = 10_000_000
+
+
+def words(text: Column) -> Column:
+    """Maximal runs of ASCII letters and digits in lower case. Only ASCII is matched before letters are lowered, so no other letter is folded into it."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9A-Za-z]+)"), F.lit(1)), F.lower)
+
+
+def _terms(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def corpus_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, n): how often each term of the vocabulary stands in the corpus. Added up on the map side either way."""
+    tokens = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if at_most(vocabulary, BROADCAST_ROWS):
+        tokens = tokens.join(F.broadcast(vocabulary), "term", "left_semi")
+        return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term", "left_semi")
+
+
+def anchors(item_words: DataFrame, counts: DataFrame, run: int, altered: int) -> DataFrame:
+    """(item, item_pos, term): of each run of item words the rarest that the corpus has, so many that LISTS stay when `altered` are missing.
+
+    Words that the corpus lacks are among the missing; a run with more of them than that cannot be met.
+    """
+    n = F.coalesce("n", F.lit(0))
+    frame = W.partitionBy("item").orderBy("item_pos").rowsBetween(0, run - 1)
+    runs = item_words.join(counts, "term", "left").select("item", F.collect_list(F.struct(n.alias("n"), "item_pos", "term")).over(frame).alias("r")).where(F.size("r") == run)
+    runs = runs.withColumn("there", F.array_sort(F.filter("r", lambda x: x["n"] > 0))).withColumn("lacking", run - F.size("there")).where(F.col("lacking") <= altered)
+    return runs.select("item", F.explode(F.slice("there", F.lit(1), altered + LISTS - F.col("lacking"))).alias("a")).select("item", "a.item_pos", "a.term").distinct()
+
+
+def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, doc_id, pos): the postings of the terms, stored in order of terms in each file. No text is shuffled while the terms can be broadcast."""
+    tokens = docs.select("doc_id", F.posexplode(_terms(F.col("text"))).alias("pos", "term"))
+    return stored(tokens.join(broadcast_if_small(terms, BROADCAST_ROWS), "term", "left_semi").select("term", "doc_id", "pos"), "term", "doc_id", "pos")
+
+
+def intersect(index: DataFrame, anchored: DataFrame, run: int, band: int) -> DataFrame:
+    """(doc_id, item, cell): where at least LISTS posting lists of one run meet once their offsets are taken off.
+
+    The offset of a hit is its place in the document less that in the item. With band 1 a cell is one offset; else cell c
+    takes the offsets from c * band to (c + 2) * band - 1, so that offsets up to `band` apart share a cell.
+    """
+    hits = index.join(broadcast_if_small(anchored, BROADCAST_ROWS), "term")
+    cell = F.floor((F.col("pos") - F.col("item_pos")) / F.lit(band)).cast("int")
+    cells = F.array(cell) if band == 1 else F.array(cell, cell - 1)
+    hits = hits.select("doc_id", "item", "item_pos", F.explode(cells).alias("cell"))
+    # a group has at most the words of one item
+    met = hits.groupBy("doc_id", "item", "cell").agg(F.array_sort(F.collect_set("item_pos")).alias("at")).where(F.size("at") >= LISTS)
+    near = F.exists(F.sequence(F.lit(LISTS - 1), F.size("at") - 1), lambda k: F.get("at", k) - F.get("at", k - (LISTS - 1)) < run)
+    return met.where(near).select("doc_id", "item", "cell")
+
+
+def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, altered: int = 3, band: int = BAND) -> DataFrame:
+    """(doc_id, item_id, kind, doc_pos, item_pos, run_words, shared_words): every document with wording of an item, one row a pair.
+
+    docs (doc_id, text), items (item_id, text). kind 'phrase': `run` or more consecutive words of the item stand in the
+    document in the same order with no other word between; run_words is the longest such run and doc_pos, item_pos its first
+    place (from 0). kind 'proximity' (unless altered is 0): no phrase, but of some `run` consecutive words of the item all
+    except `altered` stand in the document within one cell of offsets (see intersect), so words may be replaced, left out or
+    put in; item_pos is the first of them, doc_pos where the cell begins there, run_words 0. shared_words is
+    the greatest number of item words in one cell.
+
+    Method: the item words are counted in the corpus; each run of item words is filed under its rarest words; the postings
+    of these words are stored as a positional index; posting and item lists are intersected with their offsets taken off, which
+    by the pigeonhole principle misses no match; the candidates are compared word by word. The corpus is read three times,
+    whatever the number of items; items are tables throughout, and nothing but row counts reaches the driver.
+
+    Defined cases: null ids, null and short texts match nothing; an item with under `run` words can't leak; repeated
+    documents or items count once, several texts under one id match if one of them does; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    reach, parts = run - 1, []
-    altered = run // 2 - 1 if altered is None else altered
-    sizes = items.select(F.sum(F.length("text"))).collect()[0][0] or 0
-    sweeps = max(1, -(-sizes // (4 * sweep_words)))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, doc_pos int, item_pos int, run_words int, shared_words int, kind string"
-    for k in range(sweeps):
-        part = items.where(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(sweeps)) == k)) if sweeps > 1 else items.where("item_id is not null")
-        own = {(i, r[0]): words(r[1]) for i, r in enumerate(part.select("item_id", "text").collect())}
-        own = {key: ws for key, ws in own.items() if len(ws) >= run}
-        ids = {w: i for i, w in enumerate(sorted({w for ws in own.values() for w in ws}))}
-        if not ids:
-            continue
-        vocabulary = spark.sparkContext.broadcast(ids)
-        anchors = _anchors(own, ids, _counts(docs, vocabulary), run, altered)
-        if not anchors:
-            continue
-        want = np.zeros(len(ids), dtype=bool)
-        want[[a[0] for a in anchors]] = True
-        rows = [(t, key[1], p, around) for t, key, p, around in anchors]
-        filed = spark.createDataFrame(rows, f"term int, item_id {dict(items.dtypes)['item_id']}, item_pos int, item_around array<int>")
-        parts.append(postings(docs, vocabulary, spark.sparkContext.broadcast(want), reach).join(F.broadcast(filed), "term"))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    same = F.array_join(F.zip_with("around", "item_around", lambda a, b: F.when((a == b) & (a >= 0), "1").otherwise("0")), "")
-    left = F.length(F.regexp_extract(F.substring("_same", 1, reach), "1*$", 0))
-    right = F.length(F.regexp_extract(F.substring("_same", run, run), "^1*", 0))
-    shared = F.size(F.array_remove(F.array_intersect("around", "item_around"), -1))
-    hit = both.withColumn("_same", same).withColumns({"run_words": left + right, "shared_words": shared}).where((F.col("run_words") >= run) | (F.col("shared_words") >= run))
-    return hit.select("doc_id", "item_id", F.col("pos").alias("doc_pos"), "item_pos", "run_words", "shared_words", F.when(F.col("run_words") >= run, "phrase").otherwise("proximity").alias("kind"))
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    own = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    own = stored(own.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= run))
+    item_words = own.select("item", F.posexplode(F.transform("item_words", lambda w: F.xxhash64(w))).alias("item_pos", "term"))
+    counts = corpus_counts(docs, item_words.select("term").distinct())
+    anchored = stored(anchors(item_words, counts, run, altered))
+    band = band if altered else 1
+    index = positional_index(docs, anchored.select("term").distinct())
+    met = stored(intersect(index, anchored, run, band))
+    texts = docs.join(broadcast_if_small(met.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
+    small = (own.agg(F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)))).first()[0] or 0) <= BROADCAST_CHARS
+    both = met.join(F.broadcast(own) if small else own, "item").join(texts, "doc_id")
+    return _compared(both, run, altered, band)
+
+
+def _let(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value), with value computed once: inside a lambda a plain expression is evaluated again at every use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _compared(both: DataFrame, run: int, altered: int, band: int) -> DataFrame:
+    """The exact check: words of document and item at the offsets of each cell."""
+    n = F.size("item_words")
+    places = F.sequence(F.lit(0), n - 1)
+    stands = lambda i, offset: F.get("doc_words", i + offset) == F.get("item_words", i)  # noqa: E731  null beyond the document
+
+    def longest(offset: Column) -> Column:
+        breaks = F.concat(F.array(F.lit(-1)), F.filter(places, lambda i: ~F.coalesce(stands(i, offset), F.lit(False))), F.array(n))
+        run_at = lambda b, k: F.struct((F.get(b, k) - F.get(b, k - 1) - 1).alias("run_words"), (-offset - F.get(b, k - 1) - 1).alias("doc"), (-F.get(b, k - 1) - 1).alias("item"))
+        return _let(breaks, lambda b: F.array_max(F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda k: run_at(b, k))))  # of equal ones the first in the document
+
+    reach = 2 * band if altered else 1
+    near_by = F.sequence(F.col("cell") * band, F.col("cell") * band + reach - 1)
+    need = run - altered
+    window = lambda m: F.get(F.filter(F.sequence(F.lit(0), F.size(m) - need), lambda k: F.get(m, k + need - 1) - F.get(m, k) < run), F.lit(0))
+    near = lambda m, k: F.when(k.isNotNull(), F.struct(F.size(m).alias("shared_words"), (-F.greatest(F.get(m, k) + F.col("cell") * band, F.lit(0))).alias("doc"), (-F.get(m, k)).alias("item")))
+    in_cell = F.filter(places, lambda i: F.exists(near_by, lambda o: stands(i, o)))
+    both = both.withColumn("near", _let(in_cell, lambda m: F.when(F.size(m) >= need, _let(window(m), lambda k: near(m, k))))).where("near is not null")
+    # a phrase has all its words in one cell, so it is looked for where a window was met
+    best = F.array_max(F.transform(F.sequence(F.col("cell") * band, F.col("cell") * band + band - 1), longest))
+    both = both.select("doc_id", "item_id", "near", best.alias("best"))
+    pairs = both.groupBy("doc_id", "item_id").agg(F.max(F.when(F.col("best.run_words") >= run, F.col("best"))).alias("p"), F.max("near").alias("near"))
+    at = lambda c: -F.coalesce(F.col(f"p.{c}"), F.col(f"near.{c}"))
+    kind = F.when(F.col("p").isNotNull(), "phrase").otherwise("proximity")
+    return pairs.select("doc_id", "item_id", kind.alias("kind"), at("doc").alias("doc_pos"), at("item").alias("item_pos"), F.coalesce("p.run_words", F.lit(0)).alias("run_words"), F.col("near.shared_words").alias("shared_words"))

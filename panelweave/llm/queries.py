@@ -51,13 +51,13 @@ def p7_packed(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with at least twelve consecutive words of a benchmark item."""
-    hits = leaked_passages(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark").select("item_id", "text"), altered=0)
-    return hits.where("kind = 'phrase'").select("doc_id", "item_id").distinct()
+    return leaked_passages(table(spark, root, "documents"), table(spark, root, "benchmark"), altered=0).select("doc_id", "item_id")
 
 
 def p8_passages(spark: SparkSession, root: str) -> DataFrame:
-    """Exact phrase and proximity matches with their places."""
-    return leaked_passages(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark").select("item_id", "text"))
+    """Exact phrase and proximity matches."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return leaked_passages(table(spark, root, "documents"), table(spark, root, "benchmark")).select("doc_id", "item_id", "kind", long("run_words"), long("shared_words"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -81,6 +81,8 @@ QUERIES = {
     "p9_restored": p9_restored,
 }
 
+_WORDS = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS ws FROM benchmark WHERE text IS NOT NULL)"""
 _FAR = "DATE '2262-04-11'"
 ORACLE = {
     "p2_found": f"""WITH linked AS (SELECT DISTINCT l.asset_id, c.available_date FROM compustat_quarterly c JOIN ccm_link l ON c.gvkey = l.gvkey AND c.datadate BETWEEN l.linkdt AND coalesce(l.linkenddt, {_FAR})),
@@ -93,9 +95,18 @@ SELECT pair_kind, asset_id, strftime(date, '%Y-%m-%d') AS month_end, strftime(d,
     "p5_certified": f"""WITH b AS (SELECT date, exchange_code, market_equity FROM (SELECT DISTINCT asset_id, date, exchange_code, market_equity FROM crsp_monthly) WHERE market_equity IS NOT NULL AND isfinite(market_equity)),
 g AS (SELECT 'month' AS scope, exchange_code, date, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 'overall', exchange_code, CAST(NULL AS DATE), count(*) FROM b GROUP BY exchange_code)
 SELECT scope, exchange_code, date, q, n AS n_values, TRUE AS certified FROM g, (SELECT CAST(unnest({PROBS}) AS DOUBLE) AS q)""",
-    "p8_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+    "p8_found": f"""{_WORDS},
 dg AS (SELECT doc_id, array_to_string(ws[k:k + 11], ' ') AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 11)) AS k FROM w WHERE len(ws) >= 12)),
 ig AS (SELECT DISTINCT item_id, array_to_string(ws[k:k + 11], ' ') AS g FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws) - 11)) AS k FROM i WHERE len(ws) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p8_passages": f"""{_WORDS},
+dw AS (SELECT doc_id, ws[k] AS w, k - 1 AS pos FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS k FROM w)),
+iw AS (SELECT item_id, ws[k] AS w, k - 1 AS ip FROM (SELECT item_id, ws, unnest(generate_series(1, len(ws))) AS k FROM i WHERE len(ws) >= 12)),
+h AS (SELECT doc_id, item_id, pos - ip AS o, ip FROM dw JOIN iw USING (w)),
+f AS (SELECT doc_id, item_id, o, count(*) AS n FROM (SELECT *, ip - row_number() OVER (PARTITION BY doc_id, item_id, o ORDER BY ip) AS g FROM h) GROUP BY doc_id, item_id, o, g HAVING count(*) >= 12),
+p AS (SELECT doc_id, item_id, max(n) AS run_words FROM f GROUP BY ALL),
+c AS (SELECT DISTINCT doc_id, item_id, CAST(floor(o / 2.0) AS BIGINT) - b AS cell, ip FROM h, (VALUES (0), (1)) t(b)),
+d AS (SELECT *, ip - lag(ip, 8) OVER (PARTITION BY doc_id, item_id, cell ORDER BY ip) AS span, count(*) OVER (PARTITION BY doc_id, item_id, cell) AS n FROM c),
+x AS (SELECT doc_id, item_id, max(n) AS shared_words FROM d WHERE span < 12 GROUP BY ALL)
+SELECT doc_id, item_id, CASE WHEN run_words IS NULL THEN 'proximity' ELSE 'phrase' END AS kind, coalesce(run_words, 0) AS run_words, shared_words FROM x LEFT JOIN p USING (doc_id, item_id)""",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.digest import certified_percentiles, compress, estimates, merge_digests, partial_digests
 from panelweave.llm.encoding import CharModel, Model, garbled_texts, restored_texts
-from panelweave.llm.leakage import leaked_passages, words
+from panelweave.llm.leakage import leaked_passages
+from panelweave.llm.leakage import words as word_column
 from panelweave.llm.nearest import nearest_days, nearest_in_series
 from panelweave.llm.packing import differencing, fill_windows, pack_texts
 
@@ -126,9 +127,22 @@ def test_pack_texts(spark):
     assert pack_texts(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_words_are_ascii_only():
-    assert words("Ab-cK9 Ünd İx_1") == [b"ab", b"c", b"9", b"nd", b"x", b"1"]
-    assert words(None) == [] == words("")
+def words(text):
+    """Independent of the operator: character by character."""
+    out, now = [], ""
+    for c in (text or "") + " ":
+        if c.isascii() and c.isalnum():
+            now += c.lower()
+        elif now:
+            out.append(now)
+            now = ""
+    return out
+
+
+def test_words_are_ascii_only(spark):
+    texts = ["Ab-cK9 Ünd İx_1", "\u212aelvin ſ Kb", None, "", "a", " a  b "]
+    got = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(word_column(F.col("text")).alias("w")).collect()]
+    assert got == [words(t) for t in texts]
 
 
 def brute(docs, items, run):
@@ -143,8 +157,27 @@ def brute(docs, items, run):
     return out
 
 
-@pytest.mark.parametrize("sweep", [1_000_000, 20])
-def test_leaks_match_brute_force(spark, sweep):
+def cells(docs, items, run=12, altered=3, band=2):
+    """Pairs by definition: of some run of item words all but `altered` stand at offsets of one cell."""
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for i, u in items:
+            x = words(u)
+            hits = {}
+            for k, a in enumerate(x):
+                for p, b in enumerate(w):
+                    if a == b:
+                        for c in ((p - k) // band, (p - k) // band - 1):
+                            hits.setdefault(c, set()).add(k)
+            if len(x) >= run and any(sum(k in h for k in range(s, s + run)) >= run - altered for h in hits.values() for s in range(len(x) - run + 1)):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 3])
+def test_leaks_match_brute_force(spark, rows, monkeypatch):
+    monkeypatch.setattr("panelweave.llm.leakage.BROADCAST_ROWS", rows)  # 3: every join by a shuffle
     rng = random.Random(6)
     common = ["the", "of", "and", "a"]
     vocab = common * 6 + [f"w{i}" for i in range(60)]
@@ -162,11 +195,18 @@ def test_leaks_match_brute_force(spark, sweep):
             at = rng.randrange(len(w) + 1)
             w[at:at] = [c.upper() + rng.choice([",", " -", ""]) for c in cut]
         docs.append((d, " ".join(w)))
-    docs += [(500, None), (501, ""), (502, item[2] * 2), (502, item[2])]
-    got = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), sweep_words=sweep)
-    found = {(r.doc_id, r.item_id) for r in got.where("kind = 'phrase'").collect()}
-    assert found == brute([d for d in docs if d[1]], [i for i in items if i[1] and i[0] is not None], 12)
-    assert {r.kind for r in got.collect()} <= {"phrase", "proximity"}
+    docs += [(500, None), (501, ""), (502, item[2] * 2), (502, item[2]), (None, item[2])]
+    got = leaked_passages(spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"), ).collect()
+    usable = [d for d in docs if d[1] and d[0] is not None], [i for i in items if i[1] and i[0] is not None]
+    assert {(r.doc_id, r.item_id) for r in got if r.kind == "phrase"} == brute(*usable, 12)
+    assert {(r.doc_id, r.item_id) for r in got} == cells(*usable) and len(got) == len(cells(*usable))
+    text, item_of = dict(docs), dict(items[:19])
+    for r in got:
+        if r.kind == "phrase" and r.doc_id < 500:
+            w, x = words(text[r.doc_id]), words(item_of[r.item_id])
+            assert w[r.doc_pos : r.doc_pos + r.run_words] == x[r.item_pos : r.item_pos + r.run_words]
+    only = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), altered=0).collect()
+    assert {(r.doc_id, r.item_id) for r in only} == brute(*usable, 12) and {r.kind for r in only} == {"phrase"}
 
 
 def test_leaks_proximity_and_empty(spark):
@@ -187,7 +227,7 @@ def test_leaks_with_replaced_words(spark, missing, elsewhere):
     post = ["other" if i in missing else w for i, w in enumerate(ws)]
     docs = spark.createDataFrame([(1, " ".join(post)), (2, " ".join(ws[:4] + ws[5:9] + ws[10:14])), (3, elsewhere), (4, " ".join(ws[:11]))], "doc_id long, text string")
     got = leaked_passages(docs, spark.createDataFrame([(1, " ".join(ws))], "item_id long, text string")).collect()
-    assert {(r.doc_id, r.kind) for r in got} == {(1, "proximity"), (2, "proximity")}
+    assert {(r.doc_id, r.kind) for r in got} == {(1, "proximity"), (2, "proximity"), (4, "proximity")}
 
 
 CLEAN = [
