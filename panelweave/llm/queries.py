@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm.digest import certified_percentiles
-from panelweave.llm.encoding import garbled_texts, restored_texts
+from panelweave.llm.encoding import GARBLINGS, garbled_texts, planted, restored_texts
 from panelweave.llm.leakage import leaked_passages
 from panelweave.llm.nearest import nearest_days, nearest_in_series
 from panelweave.llm.packing import pack_texts
@@ -70,6 +70,18 @@ def p9_restored(spark: SparkSession, root: str) -> DataFrame:
     return restored_texts(table(spark, root, "documents"))
 
 
+#: Texts that are certainly as they were written: besides ASCII only these letters, and no inline code.
+PLAIN = "^[\\x00-_a-\\x7F" + "äöüßÄÖÜéèêàçñóúíáãõâôûîœ¿¡’“”–…«»ぁ-んァ-ヶ一-龠。、ー" + "]*$"
+
+
+def p9_check(spark: SparkSession, root: str) -> DataFrame:
+    """Every plain text with letters beyond ASCII, garbled in several ways and restored; the SQL has the texts as they were."""
+    docs = table(spark, root, "documents")
+    bad = planted(docs.where(F.col("text").rlike(PLAIN) & F.col("text").rlike("[^\\x00-\\x7F]")))
+    out = restored_texts(bad.select(F.concat_ws(":", "garbling", "doc_id").alias("doc_id"), "text"), corpus=docs)
+    return out.select(F.substring_index("doc_id", ":", 1).alias("garbling"), F.substring_index("doc_id", ":", -1).cast("long").alias("doc_id"), F.md5("restored").alias("text_md5"), "complete")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p5_percentiles": p5_percentiles,
@@ -79,6 +91,7 @@ QUERIES = {
     "p8_passages": p8_passages,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
+    "p9_check": p9_check,
 }
 
 _WORDS = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL),
@@ -109,4 +122,6 @@ c AS (SELECT DISTINCT doc_id, item_id, CAST(floor(o / 2.0) AS BIGINT) - b AS cel
 d AS (SELECT *, ip - lag(ip, 8) OVER (PARTITION BY doc_id, item_id, cell ORDER BY ip) AS span, count(*) OVER (PARTITION BY doc_id, item_id, cell) AS n FROM c),
 x AS (SELECT doc_id, item_id, max(n) AS shared_words FROM d WHERE span < 12 GROUP BY ALL)
 SELECT doc_id, item_id, CASE WHEN run_words IS NULL THEN 'proximity' ELSE 'phrase' END AS kind, coalesce(run_words, 0) AS run_words, shared_words FROM x LEFT JOIN p USING (doc_id, item_id)""",
+    "p9_check": f"""SELECT garbling, doc_id, md5(text) AS text_md5, TRUE AS complete FROM documents, (VALUES {', '.join(f"('{g}')" for g in GARBLINGS)}) g(garbling)
+WHERE regexp_matches(text, '{PLAIN}') AND regexp_matches(text, '[^\\x00-\\x7F]')""",
 }

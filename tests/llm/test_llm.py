@@ -331,3 +331,50 @@ def test_very_long_texts():
     assert abs(len(back) - len(plain)) < 100 and sum(a == b for a, b in zip(back[:3000], plain)) > 2900
     words_ = "rÃ©sumÃ© isnâ€™t " * 3000
     assert m.restore(words_)[0] == "résumé isn’t " * 3000
+
+
+def counted(spark):
+    from panelweave.llm.encoding import char_counts
+
+    extra = ["La fenêtre était fermée, l'été dernier, à côté du café préféré.", "Der größte Schlüssel fällt natürlich über die Tür, schön.", "Он прочитал файл и проверил таблицу, а потом всё удалил. У меня получилось. Почему нельзя сделать иначе?"]
+    return char_counts(spark.createDataFrame([(t,) for t in corpus() + extra * 60], "text string"))
+
+
+def test_any_number_of_levels(spark):
+    m = Model(counted(spark))
+    for t in CLEAN[:2] + CLEAN[4:5]:
+        bad = t[:30]
+        for _ in range(7):
+            bad = sloppy(bad.encode("utf-8"), "cp1252")
+        assert m.restore(bad) == (t[:30], ["utf-8>cp1252"], True)
+
+
+def test_what_cannot_be_restored_is_not_called_complete(spark):
+    m = Model(counted(spark))
+    for t, w, r in [("먼저 파일을 읽고 나서 표를 확인해야 합니다", "euc_kr", "cp1252"), ("Πρέπει πρώτα να διαβάσετε το αρχείο και μετά", "cp1253", "cp1252"), ("首先需要读取文件然后检查表格谢谢", "gb18030", "latin-1")]:
+        bad = sloppy(t.encode(w), r)
+        assert m.garbled(bad)
+        back, _, complete = m.restore(bad)
+        assert back == t or not complete
+
+
+def test_other_pages(spark):
+    m = Model(counted(spark))
+    russian = "Почему нельзя прочитать файл? У меня получилось проверить таблицу."
+    for w, r in [("iso8859_5", "latin-1"), ("koi8_r", "cp1252"), ("cp1251", "koi8_r"), ("mac_cyrillic", "cp1252"), ("cp866", "cp1251")]:
+        assert m.restore(sloppy(russian.encode(w), r)) [0] == russian, (w, r)
+    french = "La fenêtre était fermée, l'été dernier, à côté du café préféré."
+    for w, r in [("cp1252", "mac_roman"), ("cp1252", "cp437"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252")]:
+        assert m.restore(sloppy(french.encode(w), r))[0] == french, (w, r)
+    for t in CLEAN:
+        assert not m.garbled(t), t
+
+
+def test_planted_texts(spark):
+    from panelweave.llm.encoding import GARBLINGS, planted
+
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(corpus())], "doc_id long, text string, garbling int")
+    clean = [t for t in CLEAN[:4]]
+    bad = planted(docs.where("doc_id < 4")).withColumn("doc_id", F.col("doc_id") * 100).drop("garbling")
+    got = [(r.doc_id // 100, r.restored, r.complete) for r in restored_texts(bad, corpus=docs).collect()]
+    assert sorted(got) == sorted((i, t, True) for i, t in enumerate(clean) for _ in GARBLINGS)
