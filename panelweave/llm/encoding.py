@@ -304,34 +304,36 @@ class Model:
         Inline code, a pair of single backticks on one line, is passed over. If several pairs occur, the text is labelled again with
         the most frequent one preferred. latin: whether pairs of Latin code pages are considered.
         """
-        text = _CODE.sub(lambda m: "\0" * len(m.group()), raw) if "`" in raw else raw
-        marks, pages = self._marks(text, latin)
-        if not marks:
-            return []
-        out = self._clusters(text, raw, marks, pages, self.cost)
+        text, marks, pages = self._looked_at(raw, latin)
+        out = [x for part in self._clusters(text, raw, marks, pages, self.cost) for x in part]
         sizes = Counter()
         for a, b, s, _ in out:
             sizes[s] += b - a
         del sizes[-1]
         if len(sizes) > 1:
             most = max(sizes, key=lambda s: (sizes[s], -s))
-            out = self._clusters(text, raw, marks, pages, [c + (ODD_ONE if s != most and s < len(PAIRS) else 0.0) for s, c in enumerate(self.cost)])
+            cost = [c + (ODD_ONE if s != most and s < len(PAIRS) else 0.0) for s, c in enumerate(self.cost)]
+            out = [x for part in self._clusters(text, raw, marks, pages, cost) for x in part]
         return out
 
-    def _clusters(self, text: str, raw: str, marks: list[int], pages: bool, cost: list[float]) -> list[tuple[int, int, int, str]]:
+    def _looked_at(self, raw: str, latin: bool = True) -> tuple[str, list[int], bool]:
+        text = _CODE.sub(lambda m: "\0" * len(m.group()), raw) if "`" in raw else raw
+        return text, *self._marks(text, latin)
+
+    def _clusters(self, text: str, raw: str, marks: list[int], pages: bool, cost: list[float]) -> Iterator[list[tuple[int, int, int, str]]]:
         # Stretches free of suspicion cost and gain nothing: only clusters around suspicious characters are decoded. A long
         # cluster is cut, where there is a gap if possible, so that the lattice in memory is bounded for any text.
-        out: list[tuple[int, int, int, str]] = []
         first = last = None
         done, gap = 0, LATIN_GAP if pages else GAP
         for at in marks:
             if first is not None and (at - last > gap or (at - first > CLUSTER and at - last > 2) or at - first > 4 * CLUSTER):
                 end = min(at, last + 14)
-                out += self._decode(text, raw, max(done, first - 12), end, cost, pages)
+                yield self._decode(text, raw, max(done, first - 12), end, cost, pages)
                 first, done = None, end
             first = at if first is None else first
             last = at
-        return out + self._decode(text, raw, max(done, first - 12), min(len(text), last + 14), cost, pages)
+        if first is not None:
+            yield self._decode(text, raw, max(done, first - 12), min(len(text), last + 14), cost, pages)
 
     def _decode(self, text: str, raw: str, lo: int, hi: int, cost: list[float], pages: bool) -> list[tuple[int, int, int, str]]:
         # a token is a stretch of ASCII or one other character; a stretch is cut after its first character, which may be the second byte of a Shift-JIS character
@@ -449,7 +451,8 @@ class Model:
         """Whether a span outside inline code is garbled."""
         if not text or text.isascii():
             return False
-        return bool(self.spans(text))
+        plain, marks, pages = self._looked_at(text)
+        return any(self._clusters(plain, text, marks, pages, self.cost))  # the first span is enough
 
     def _believed(self, s: int, restored: str) -> bool:
         """Whether restored text reads like text. UTF-8 bytes vouch for themselves; other pairs turn any bytes into something."""
