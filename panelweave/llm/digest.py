@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.session import stored
+
 #: Clusters per digest at most; at the median a cluster holds pi / (2 * SIZE) of the values, towards the ends ever less.
 SIZE = 500
 #: Share of ranks by which a percentile may be off, besides half a rank.
 RANK_ERROR = 0.01
 FLUSH_ROWS = 1_000_000
-#: Tasks among which the counting of one group may be spread.
-SALTS = 16
+#: Groups whose estimates are broadcast to where the values are read; of more groups, the values are shuffled to them.
+BROADCAST_GROUPS = 100_000
+#: Values of one group that a task counts in the second way; a larger group is spread over more tasks.
+SALT_ROWS = 4_000_000
 
 
 def compress(codes: np.ndarray, means: np.ndarray, weights: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,6 +138,9 @@ def estimates(digests: DataFrame, by: list[str], probs: list[float]) -> DataFram
 def certified_percentiles(df: DataFrame, coarse: list[str], fine: list[str], value: str, probs: list[float], size: int = SIZE) -> DataFrame:
     """Percentiles of value per (coarse, fine) group and, merged from those digests, per coarse group, with their certificate.
 
+    Digests travel, values don't: the second pass broadcasts the estimates, if there are not too many groups, counts in the
+    tasks that read the values, and shuffles counts. The digests are stored, so nothing is digested twice.
+
     Columns: coarse..., fine... (null for the coarse groups), is_coarse, q, n_values, estimate, rank_error, error_bound,
     certified. A second pass over all values counts those below and not above each estimate; rank_error is how far q * n
     lies outside these two counts, as a share of n, and certified says that it is within RANK_ERROR + 0.5 / n.
@@ -142,18 +149,23 @@ def certified_percentiles(df: DataFrame, coarse: list[str], fine: list[str], val
     have no row; ties count as one stretch of ranks.
     """
     by = [*coarse, *fine]
-    digests = merge_digests(partial_digests(df, by, value, size), by, size)
+    digests = stored(merge_digests(partial_digests(df, by, value, size), by, size))
     low = estimates(digests, by, probs)
     high = estimates(merge_digests(digests.select(*coarse, "_means", "_weights"), coarse, size), coarse, probs)
     same = lambda a, b, on: a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on])
     both = same(low.alias("a"), high.select(*coarse, F.col("estimates").alias("_high"), F.col("n_values").alias("_hn")).alias("b"), coarse).select(*[F.col(f"a.{c}") for c in by], F.col("estimates").alias("_low"), F.col("n_values").alias("_ln"), "_high", "_hn")
+    both = stored(both)
     v = F.col(f"`{value}`").cast("double")
     rows = df.select(*by, v.alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
-    # both sides salted: a group that holds a third of all rows is counted by SALTS tasks, then added up; the input partition
-    # as salt stays the same when a task is repeated
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int"))
-    copies = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = same(salted.alias("a"), copies.alias("b"), [*by, "_salt"])
+    groups, most = both.agg(F.count(F.lit(1)), F.max("_ln")).first()
+    if groups <= BROADCAST_GROUPS:
+        near = same(rows.alias("a"), F.broadcast(both).alias("b"), by)
+    else:
+        # both sides salted by the input partition, which stays the same when a task is repeated
+        salts = -(-most // SALT_ROWS)
+        salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int"))
+        copies = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        near = same(salted.alias("a"), copies.alias("b"), [*by, "_salt"])
     at = range(len(probs))
     count = lambda e, op, i: F.sum((F.col("_v") < F.col(e)[i] if op == "l" else F.col("_v") <= F.col(e)[i]).cast("long")).alias(f"{e}{op}{i}")
     counted = near.groupBy(*[F.col(f"b.{c}").alias(c) for c in by]).agg(*[count(e, op, i) for e in ("_low", "_high") for op in "le" for i in at], *[F.first(c).alias(c) for c in ("_low", "_ln", "_high", "_hn")])

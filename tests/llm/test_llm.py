@@ -11,7 +11,7 @@ from panelweave.llm.digest import certified_percentiles, compress, estimates, me
 from panelweave.llm.encoding import CharModel, Model, garbled_texts, restored_texts
 from panelweave.llm.leakage import leaked_passages
 from panelweave.llm.leakage import words as word_column
-from panelweave.llm.nearest import nearest_days, nearest_in_series
+from panelweave.llm.nearest import nearest_in_series, nearest_times
 from panelweave.llm.packing import differencing, fill_windows, pack_texts
 
 DAY = dt.date(2020, 1, 1)
@@ -21,27 +21,56 @@ def day(n):
     return DAY + dt.timedelta(days=n)
 
 
-@pytest.mark.parametrize("range_days", [30, 4000])
-def test_nearest_matches_brute_force(spark, range_days):
+@pytest.mark.parametrize("wide", [2, 4000])
+def test_nearest_matches_brute_force(spark, wide):
     rng = random.Random(1)
     left = [(rng.choice("abcd"), day(rng.randrange(900))) for _ in range(300)] + [(None, day(1)), ("a", None)]
     right = [(rng.choice("abc"), day(rng.randrange(900))) for _ in range(60)] + [("a", None), (None, day(1))]
-    to = lambda rows, c: spark.createDataFrame(rows + rows[:9], f"k string, {c} date")
-    got = {tuple(r) for r in nearest_days(to(left, "t"), to(right, "u"), "k", "t", "u", 12, range_days).collect()}
+    to = lambda rows, c: spark.createDataFrame([(*r, 1) for r in rows + rows[:9]], f"k string, {c} date, _t int")
+    twelve = dt.timedelta(12)
+    got = {tuple(r) for r in nearest_times(to(left, "t"), to(right, "u"), "k", "t", "u", twelve, wide).collect()}
     want = set()
     for k, t in left:
         near = [(abs((u - t).days), u) for kk, u in right if k and t and u and kk == k and abs((u - t).days) <= 12]
         if near:
             want.add((k, t, min(near)[1]))
     assert got == want
-    assert nearest_days(to(left, "t").limit(0), to(right, "u"), "k", "t", "u", 12).count() == 0
-    assert nearest_days(to(left, "t"), to(right, "u").limit(0), "k", "t", "u", 12).count() == 0
+    assert nearest_times(to(left, "t").limit(0), to(right, "u"), "k", "t", "u", twelve).count() == 0
+    assert nearest_times(to(left, "t"), to(right, "u").limit(0), "k", "t", "u", twelve).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_nearest_by_the_microsecond(spark, kind):
+    rng = random.Random(2)
+    at = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(microseconds=rng.randrange(40_000_000))
+    left, right = [(rng.choice([1, 2, 3]), at()) for _ in range(200)], [(rng.choice([1, 2]), at()) for _ in range(80)]
+    far = dt.timedelta(microseconds=250_001)
+    frame = lambda rows, c: spark.createDataFrame(rows, f"k long, {c} timestamp_ntz").withColumn(c, F.col(c).cast(kind))
+    got = {(r[0], str(r[1]), str(r[2])) for r in nearest_times(frame(left, "t"), frame(right, "u"), "k", "t", "u", far).select("k", F.col("t").cast("string"), F.col("u").cast("string")).collect()}
+    want = set()
+    for k, t in left:
+        near = [(abs(u - t), u) for kk, u in right if kk == k and abs(u - t) <= far]
+        if near:
+            want.add((k, t, min(near)[1]))
+    clean = lambda x: x.strftime("%Y-%m-%d %H:%M:%S.%f").rstrip("0").rstrip(".")
+    assert got == {(k, clean(t), clean(u)) for k, t, u in want}
+
+
+def test_nearest_beyond_one_axis():
+    import pyarrow as pa
+
+    from panelweave.llm.nearest import _matcher
+
+    year = 365 * 86_400_000_000
+    left = pa.table({"_e": pa.array(range(9), pa.int64()), "_t": pa.array([k * 9000 * year for k in range(9)], pa.int64())})
+    right = pa.table({"_e": pa.array(range(9), pa.int64()), "_t": pa.array([k * 9000 * year + (5 if k % 2 else 10**9) for k in range(9)], pa.int64())})
+    assert _matcher(100)(left, right)["_e"].to_pylist() == [1, 3, 5, 7]
 
 
 def test_nearest_in_series_keeps_rows(spark):
     left = spark.createDataFrame([(1, day(5), 9), (1, day(5), 9), (2, day(50), 9)], "id int, t date, u2 int")
     series = spark.createDataFrame([(day(3), 1.0), (day(7), 1.0)], "u date, v double")
-    assert [tuple(r) for r in nearest_in_series(left, series, "t", "u", 3).select("id", "u").collect()] == [(1, day(3))] * 2
+    assert [tuple(r) for r in nearest_in_series(left, series, "t", "u", dt.timedelta(3)).select("id", "u").collect()] == [(1, day(3))] * 2
 
 
 def test_digest_error_and_merging():
@@ -378,3 +407,27 @@ def test_planted_texts(spark):
     bad = planted(docs.where("doc_id < 4")).withColumn("doc_id", F.col("doc_id") * 100).drop("garbling")
     got = [(r.doc_id // 100, r.restored, r.complete) for r in restored_texts(bad, corpus=docs).collect()]
     assert sorted(got) == sorted((i, t, True) for i, t in enumerate(clean) for _ in GARBLINGS)
+
+
+def test_bundles_and_roundtrip(spark):
+    from panelweave.llm.packing import bundles, sequence_texts
+
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 1, 3, 40, 200]) for _ in range(900)]
+    made = bundles(sizes, 32)
+    assert [i for b in made for i in b] == list(range(900)) and all(len(b) == 1 or sum(sizes[i] for i in b) <= 32 for b in made)
+    assert len(made) <= 2 * sum(sizes) / 32 + 1
+    texts = ["Zoë's naïve café 次に 🙂 " * n for n in (0, 1, 2, 90, 700)] + ["x"] * 300 + [None]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, tokens int")
+    placed = pack_texts(docs, "doc_id", "text", capacity=256, batch_windows=8)
+    got = {r.doc_id: (r.text, r.fits) for r in sequence_texts(docs, placed, capacity=256).collect()}
+    assert got == {i: (t or "", True) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("groups", [100_000, 1])
+def test_percentiles_counted_either_way(spark, groups, monkeypatch):
+    monkeypatch.setattr("panelweave.llm.digest.BROADCAST_GROUPS", groups)
+    monkeypatch.setattr("panelweave.llm.digest.SALT_ROWS", 100)
+    df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("c"), (F.col("id") % 2).alias("d"), F.col("id").cast("double").alias("v")).repartition(5)
+    got = certified_percentiles(df, ["c"], ["d"], "v", [0.5]).collect()
+    assert len(got) == 6 and all(r.certified for r in got) and {r.n_values for r in got if r.is_coarse} == {1000, 2000}
