@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelweave.session import broadcast_if_small
+
 
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, order: list[str], span: str | None = None) -> DataFrame:
     """Every left row with the latest right row of the same `by` at or before its time; right columns are null where there is none.
@@ -59,20 +61,24 @@ def calendar(dates: DataFrame, column: str) -> DataFrame:
 
 
 def next_in_calendar(events: DataFrame, cal: DataFrame, time: str, column: str, strict: bool = False) -> DataFrame:
-    """events with the position of the first calendar day at or after (strict: after) their time."""
-    prev = cal.select(F.col("position").alias("position"), F.col(column).alias("_hi"), F.lag(column).over(W.orderBy(column)).alias("_lo"))
+    """events with the position of the first calendar day at or after (strict: after) their time; those after the last day are dropped."""
+    w = W.orderBy(column)  # one row per calendar day
+    prev = cal.select("position", F.col(column).alias("_hi"), F.lag(column).over(w).alias("_lo"), F.lit(0).alias("_one"))
     # days between two calendar days are spelled out, so that an equality join finds the position
-    lo = F.coalesce(F.date_add("_lo", 0 if strict else 1), F.date_sub("_hi", 40))
+    lo = F.coalesce(F.date_add("_lo", 0 if strict else 1), F.date_sub("_hi", 1))
     hi = F.date_sub("_hi", 1) if strict else F.col("_hi")
     days = prev.select("position", F.explode(F.sequence(lo, hi)).alias("_day"))
-    return events.join(F.broadcast(days), events[time] == F.col("_day")).drop("_day")
+    # a day before the calendar begins is as good as the day before it
+    first = prev.groupBy("_one").agg(F.date_sub(F.min("_hi"), 1).alias("_first"))
+    e = events.withColumn("_one", F.lit(0)).join(F.broadcast(first), "_one").withColumn("_day", F.greatest(F.col(time).cast("date"), F.when(F.col(time).isNotNull(), F.col("_first"))))
+    return e.join(F.broadcast(days), "_day").drop("_day", "_one", "_first")
 
 
-def code_of_range(df: DataFrame, ranges: DataFrame, code: str, low: str, high: str, label: str, order: str, width: int = 10_000) -> DataFrame:
+def code_of_range(df: DataFrame, ranges: DataFrame, code: str, low: str, high: str, label: str, order: str) -> DataFrame:
     """df with the label of the range its code lies in; later ranges (by `order`) win; others are dropped.
 
-    Ranges are spelled out by code (codes are small integers below `width`), so the join is one of equality.
+    Ranges, a table of a user's making, are spelled out by code, so the join is one of equality; it is broadcast if that makes at most a million codes.
     """
-    each = ranges.select(F.explode(F.sequence(F.greatest(F.col(low), F.lit(0)), F.least(F.col(high), F.lit(width)))).alias("_code"), F.struct(F.col(order).alias("o"), F.col(label).alias("l")).alias("x"))
-    one = each.groupBy("_code").agg(F.max("x.o").alias("_o"), F.max_by("x.l", "x.o").alias(label))
-    return df.join(F.broadcast(one.drop("_o")), df[code].cast("long") == F.col("_code")).drop("_code")
+    each = ranges.where(F.col(low) <= F.col(high)).select(F.explode(F.sequence(F.col(low).cast("long"), F.col(high).cast("long"))).alias("_code"), F.col(order).alias("_o"), F.col(label).alias(label))
+    one = each.groupBy("_code").agg(F.max_by(label, "_o").alias(label))
+    return df.join(broadcast_if_small(one), df[code].cast("long") == F.col("_code")).drop("_code")

@@ -1,4 +1,9 @@
-"""Operators on the cross-section of one date (or date and category)."""
+"""Operators on the cross-section of one date (or date and category).
+
+A cross-section has one row per asset, so its size is bounded by the assets of a date and one task may sort it: `bounded` is true
+by default. For groups without such a bound (an exchange over all dates, the whole table) pass bounded=False: the exact
+result is the same, and no group, and no run of equal values, has to fit one task.
+"""
 
 from __future__ import annotations
 
@@ -9,49 +14,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.nulls import finite
+from panelweave.session import broadcast_if_small, stored
 
-#: Rows up to which a group may be sorted by one task; larger ones are split by value.
-GROUP_ROWS = 2_000_000
-#: Pieces a larger group is split into.
-PIECES = 64
 #: A standard deviation up to this counts as none.
 FLAT = 1e-12
+#: Widths of outlier limits (fixed values): standard deviations, scaled MADs, interquartile ranges.
+WIDTHS = {"std": 3.0, "mad": 3.5, "iqr": 1.5}
+#: Other names of the methods (fixed values).
+METHODS = {"mean_std": "std", "zscore": "std", "median_mad": "mad", "absolute_median": "mad", "box": "iqr", "boxplot": "iqr", "box_plot": "iqr", "percentile": "quantile"}
 
 
-def largest_group(df: DataFrame, by: list[str]) -> int:
-    """Rows of the largest group; one pass over the keys, combined on the map side."""
-    return df.groupBy(*by).count().agg(F.max("count")).collect()[0][0] or 0
-
-
-def ranks(df: DataFrame, by: list[str], x: str, ties: list[str], limit: int | None = None) -> DataFrame:
+def ranks(df: DataFrame, by: list[str], x: str, ties: list[str], bounded: bool = False) -> DataFrame:
     """df with _rank (1.. within the group by x, then by ties; null where x is) and _n (values in the group).
 
-    A group beyond `limit` rows is cut by value into PIECES: approximate cut points, counts per piece, and an exact rank as
-    the rank in the piece plus the counts below. The result is the same either way.
+    Bounded groups are one window each. Others are sorted as a whole, by range partitions over group, value and ties, and
+    stored: a row's rank is its place in its part of the group plus the values in the parts before, of which only the counts are
+    put together. Parts are as many as shuffle partitions, so they grow in number with the session's, not in size with a group.
     """
-    limit = GROUP_ROWS if limit is None else limit
     has = F.col(x).isNotNull()
-    if largest_group(df, by) <= limit:
+    if bounded:
         w = W.partitionBy(*by)
         ordered = w.orderBy(F.col(x).asc_nulls_last(), *ties)
         return df.withColumns({"_rank": F.when(has, F.row_number().over(ordered)).cast("long"), "_n": F.count(x).over(w)})
-    cuts = df.where(has).groupBy(*by).agg(F.percentile_approx(x, [i / PIECES for i in range(1, PIECES)], 1000).alias("_cuts"), F.count(x).alias("_n"))
-    placed = df.alias("l").join(cuts.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left").select("l.*", "_cuts", "_n")
-    placed = placed.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
-    below = placed.where(has).groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_c"))
-    below = below.select(*by, "_piece", (F.sum("_c").over(W.partitionBy(*by).orderBy("_piece")) - F.col("_c")).alias("_below"))
-    own = placed.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_piece").orderBy(F.col(x).asc_nulls_last(), *ties)))
-    out = own.alias("l").join(below.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_piece"]], "left")
-    return out.select(*[f"l.{c}" for c in df.columns], F.when(has, F.col("_k") + F.col("_below")).cast("long").alias("_rank"), F.coalesce("l._n", F.lit(0)).alias("_n"))
-
-
-def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], names: list[str], limit: int | None = None) -> DataFrame:
+    order = [*by, F.col(x).asc_nulls_last(), *ties]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    s = s.withColumn("_part", F.shiftright("_id", 33))
+    some = s.groupBy(*by, "_part").agg(F.min("_id").alias("_first"), F.count(x).alias("_c"))
+    w = W.partitionBy(*by)
+    some = some.select(*by, "_part", "_first", (F.sum("_c").over(w.orderBy("_part")) - F.col("_c")).alias("_below"), F.sum("_c").over(w).alias("_n"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_part"]]
+    out = s.alias("l").join(broadcast_if_small(some).alias("r"), on)
+    return out.select(*[f"l.{c}" for c in df.columns], F.when(has, F.col("_id") - F.col("_first") + F.col("_below") + 1).alias("_rank"), "_n")
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, probs: list[float], names: list[str], bounded: bool = False) -> DataFrame:
     """(by..., names...): exact quantiles with linear interpolation; groups without values have nulls."""
-    limit = GROUP_ROWS if limit is None else limit
-    if largest_group(df, by) <= limit:
+    if bounded:
         q = F.percentile(F.col(x), F.array(*[F.lit(float(p)) for p in probs]))
         return df.groupBy(*by).agg(q.alias("_q")).select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    r = ranks(df.select(*by, x), by, x, [], limit)
+    r = ranks(df.select(*by, x), by, x, [])
     at = lambda p: F.lit(p) * (F.col("_n") - 1)
     picks = []
     for p, n in zip(probs, names):
@@ -68,21 +70,26 @@ def moments(df: DataFrame, by: list[str], x: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
 
 
-def bounds(df: DataFrame, by: list[str], x: str, method: str, scale: float = 3.0, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
-    """(by..., lo, hi): limits by 'std', 'mad' (median +- scale * 1.4826 MAD), 'iqr' or 'quantile'. No scale, no limit (null)."""
+def bounds(df: DataFrame, by: list[str], x: str, method: str, scale: float | None = None, lower: float | None = 0.01, upper: float | None = 0.99, bounded: bool = True) -> DataFrame:
+    """(by..., lo, hi): limits by 'std', 'mad' (median +- scale * 1.4826 MAD), 'iqr' or 'quantile', or another name in METHODS.
+
+    scale is the method's of WIDTHS unless given; lower or upper None is no limit but the least or greatest value. No spread, no limit (null).
+    """
+    method = METHODS.get(method.lower(), method.lower())
     if method == "quantile":
-        return quantiles(df, by, x, [lower, upper], ["lo", "hi"])
+        return quantiles(df, by, x, [0.0 if lower is None else lower, 1.0 if upper is None else upper], ["lo", "hi"], bounded)
+    scale = WIDTHS.get(method) if scale is None else scale
     if method == "std":
         m = moments(df, by, x)
         centre, width = F.col("mean"), F.col("std") * scale
     elif method == "iqr":
-        m = quantiles(df, by, x, [0.25, 0.75], ["q1", "q3"])
+        m = quantiles(df, by, x, [0.25, 0.75], ["q1", "q3"], bounded)
         ok = F.col("q3") > F.col("q1")
         return m.select(*by, F.when(ok, F.col("q1") - scale * (F.col("q3") - F.col("q1"))).alias("lo"), F.when(ok, F.col("q3") + scale * (F.col("q3") - F.col("q1"))).alias("hi"))
     elif method == "mad":
-        med = quantiles(df, by, x, [0.5], ["med"])
+        med = quantiles(df, by, x, [0.5], ["med"], bounded)
         dev = with_group(df.select(*by, x), med, by).select(*by, F.abs(F.col(x) - F.col("med")).alias("_d"))
-        m = with_group(quantiles(dev, by, "_d", [0.5], ["mad"]), med, by)
+        m = with_group(quantiles(dev, by, "_d", [0.5], ["mad"], bounded), med, by)
         centre, width = F.col("med"), F.col("mad") * 1.4826 * scale
     else:
         raise ValueError(f"unknown method {method!r}")
@@ -94,7 +101,7 @@ def with_group(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     return df.join(stats.dropna(subset=by), by, "left")
 
 
-def clip_outliers(df: DataFrame, by: list[str], x: str, method: str = "quantile", action: str = "clip", **kw: float) -> DataFrame:
+def clip_outliers(df: DataFrame, by: list[str], x: str, method: str = "quantile", action: str = "clip", **kw: float | bool | None) -> DataFrame:
     """Values beyond their group's limits: 'clip'/'winsorize' them, 'drop' the rows, or only 'flag'; always adds <x>_outlier."""
     d = with_group(df, bounds(df, by, x, method, **kw), by)
     out = F.coalesce((F.col(x) < F.col("lo")) | (F.col(x) > F.col("hi")), F.lit(False))
@@ -133,43 +140,52 @@ def edge(n: Column, j: int, k: int) -> Column:
     return F.when(t >= 0.5, (a + 2) - (1 - t)).otherwise((a + 1) + t)
 
 
-def bucket_codes(df: DataFrame, by: list[str], x: str, k: int, ties: list[str], out: str = "code", min_count: int | None = None) -> DataFrame:
+def bucket_codes(df: DataFrame, by: list[str], x: str, k: int, ties: list[str], out: str = "code", min_count: int | None = None, bounded: bool = True) -> DataFrame:
     """Equal-count buckets 0..k-1 by first-come ranks; null where x is null or the group has under min_count (k) values."""
-    r = ranks(df, by, x, ties)
+    r = ranks(df, by, x, ties, bounded)
     code = reduce(lambda s, j: s + (F.col("_rank") > edge(F.col("_n"), j, k)).cast("int"), range(1, k), F.lit(0))
     return r.withColumn(out, F.when(F.col("_rank").isNotNull() & (F.col("_n") >= (k if min_count is None else min_count)), code)).drop("_rank", "_n")
 
 
-def average_ranks(df: DataFrame, by: list[str], x: str, out: str, pct: bool = False) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], x: str, out: str, pct: bool = False, bounded: bool = True) -> DataFrame:
     """Ranks with ties sharing their average; pct: as a share of the group's values."""
+    if bounded:
+        w = W.partitionBy(*by)
+        mean = F.rank().over(w.orderBy(F.col(x).asc_nulls_last())) + (F.count(F.lit(1)).over(W.partitionBy(*by, x)) - 1) / 2.0
+        rank = F.when(F.col(x).isNotNull(), mean / F.count(x).over(w) if pct else mean)
+        return df.withColumn(out, rank)
     at = ranks(df.select(*by, x).where(F.col(x).isNotNull()), by, x, []).groupBy(*by, x).agg(F.avg("_rank").alias("_r"), F.max("_n").alias("_t"))
     return df.join(at, [*by, x], "left").withColumn(out, F.col("_r") / F.col("_t") if pct else F.col("_r")).drop("_r", "_t")
 
 
-def fill_missing(df: DataFrame, x: str, method: str, by: list[str] | None = None, order: str | None = None, value: float | None = None, limit: int | None = None) -> DataFrame:
+def fill_missing(df: DataFrame, x: str, method: str, by: list[str] | None = None, order: str | None = None, value: float | None = None, limit: int | None = None, universe: str | None = None, bounded: bool = True) -> DataFrame:
     """x with missing values filled, and <x>_was_missing.
 
     'mean' and 'median' take the group's (by); 'zero', 'value'; 'ffill' and 'bfill' carry along `order` within by, at most
     `limit` rows far, counting every row present; 'drop' removes the rows; 'flag' only marks.
+    universe: a boolean column; rows outside (false or null) have no value, before or after, give none and are not counted.
     """
+    inside = F.lit(True) if universe is None else F.coalesce(F.col(universe), F.lit(False))
+    df = df if universe is None else df.withColumn(x, F.when(inside, F.col(x)))
     gone = F.col(x).isNull()
     d = df.withColumn(f"{x}_was_missing", gone)
+    filled = lambda v: F.when(inside, F.coalesce(F.col(x), v))
     if method in ("mean", "median"):
-        s = df.groupBy(*by).agg(F.avg(x).alias("_f")) if method == "mean" else quantiles(df, by, x, [0.5], ["_f"])
-        return with_group(d, s, by).withColumn(x, F.coalesce(x, "_f")).drop("_f")
+        s = df.groupBy(*by).agg(F.avg(x).alias("_f")) if method == "mean" else quantiles(df, by, x, [0.5], ["_f"], bounded)
+        return with_group(d, s, by).withColumn(x, filled(F.col("_f"))).drop("_f")
     if method in ("zero", "value"):
-        return d.withColumn(x, F.coalesce(x, F.lit(0.0 if method == "zero" else value)))
+        return d.withColumn(x, filled(F.lit(0.0 if method == "zero" else value)))
     if method in ("ffill", "bfill"):
         if not by or not order:
             raise ValueError("ffill and bfill need an entity and an order")
         w = W.partitionBy(*by).orderBy(F.col(order) if method == "ffill" else F.col(order).desc())
         run = w.rowsBetween(W.unboundedPreceding, 0)
-        d = d.withColumns({"_f": F.last(x, ignorenulls=True).over(run), "_at": F.row_number().over(w)})
+        d = d.withColumns({"_f": F.last(x, ignorenulls=True).over(run), "_at": F.sum(inside.cast("int")).over(run)})
         d = d.withColumn("_src", F.max(F.when(~gone, F.col("_at"))).over(run))
         ok = F.lit(True) if limit is None else (F.col("_at") - F.col("_src")) <= limit
-        return d.withColumn(x, F.when(gone & ok, F.col("_f")).otherwise(F.col(x))).drop("_f", "_at", "_src")
+        return d.withColumn(x, F.when(gone & ok & inside, F.col("_f")).otherwise(F.col(x))).drop("_f", "_at", "_src")
     if method == "drop":
-        return d.where(~gone)
+        return d.where(~gone & inside)
     if method == "flag":
         return d
     raise ValueError(f"unknown method {method!r}")
@@ -182,10 +198,10 @@ def demean(df: DataFrame, by: list[str], xs: list[str]) -> DataFrame:
     return d.withColumns({x: F.col(x) - F.col(f"_m_{x}") for x in xs}).drop(*[f"_m_{x}" for x in xs])
 
 
-def breakpoints(df: DataFrame, by: list[str], spec: dict[str, tuple[str, list[float]]], reference: Column, min_reference: int = 1) -> DataFrame:
+def breakpoints(df: DataFrame, by: list[str], spec: dict[str, tuple[str, list[float]]], reference: Column, min_reference: int = 1, bounded: bool = True) -> DataFrame:
     """Quantiles over the reference rows of each group: spec maps a prefix to (column, probs), giving <prefix>_0, <prefix>_1, ..."""
     ref = df.where(reference)
-    if largest_group(ref, by) <= GROUP_ROWS:
+    if bounded:
         q = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(f"_{n}") for n, (c, probs) in spec.items()]
         out = ref.groupBy(*by).agg(F.count(F.lit(1)).alias("_ref"), *q).where(F.col("_ref") >= min_reference)
         return out.select(*by, *[F.col(f"_{n}")[i].alias(f"{n}_{i}") for n, (_, probs) in spec.items() for i in range(len(probs))])

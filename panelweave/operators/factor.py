@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.asof import calendar
 from panelweave.operators.cross_section import bucket_codes, winsorize
-from panelweave.operators.portfolio import forward_returns, holdings_diagnostics, leg_weights, simulate_drift, simulate_fixed, spread, turnover
-from panelweave.operators.statistics import ic_summary, information_coefficient, performance, univariate_fit
+from panelweave.operators.portfolio import forward_returns, holdings_diagnostics, leg_weights, simulate_drift, simulate_fixed, sorted_legs, spread, turnover
+from panelweave.operators.statistics import fama_macbeth, ic_summary, information_coefficient, newey_west, performance, univariate_fit
 
 HOLDING_COLUMNS = ["rebalance_date", "hold_start", "hold_end", "asset_id", "portfolio", "leg", "weight"]
 
@@ -42,6 +43,8 @@ class BucketFactor:
     min_count: int | None = None
     limits: tuple[float, float] | None = (0.01, 0.99)
     label: str = "D"
+    long_codes: tuple[int, ...] | None = None
+    short_codes: tuple[int, ...] | None = None
 
     def universe(self, panel: DataFrame) -> DataFrame:
         return panel.where("date is not null and asset_id is not null")
@@ -56,6 +59,9 @@ class BucketFactor:
 
     def weights(self, grouped: DataFrame) -> DataFrame:
         w = leg_weights(grouped, ["date", "portfolio"], self.weighting)
+        if self.long_codes is not None or self.short_codes is not None:  # legs of several buckets
+            legs = sorted_legs(grouped, ["date"], "code", list(self.long_codes or ()), list(self.short_codes or ()), self.weighting, "HL")
+            return w.withColumn("leg", F.lit("portfolio")).unionByName(legs)
         high, low = (1, -1) if self.top_is_long else (-1, 1)
         side = F.when(F.col("code") == self.buckets - 1, high).when(F.col("code") == 0, low)
         hl = spread(w.withColumn("side", side), ["date"], "side", "HL").withColumn("leg", F.when(F.col("side") > 0, "long").otherwise("short")).drop("side")
@@ -103,3 +109,24 @@ class Backtest:
 
     def fit(self, exposure: DataFrame) -> DataFrame:
         return univariate_fit(self._pairs(exposure), ["date"], "exposure", "forward")
+
+    def newey_west(self, factor: Factor, lags: int | None = None) -> DataFrame:
+        """Mean return of each portfolio with its HAC error."""
+        return newey_west(self.simulate(factor), ["portfolio"], "date", "ret", lags)
+
+    def by_year(self, factor: Factor) -> DataFrame:
+        """(portfolio, year, ret, n) of each portfolio."""
+        g = self.simulate(factor).groupBy("portfolio", F.year("date").cast("long").alias("year"))
+        return g.agg((F.product(F.col("ret") + 1) - 1).alias("ret"), F.count(F.lit(1)).alias("n"))
+
+    def ic_decay(self, exposure: DataFrame, horizons: int = 6, kind: str = "pearson") -> DataFrame:
+        """(h, mean_ic, n) of the exposure with the return h return dates later."""
+        cal = F.broadcast(calendar(self.returns, "date"))  # one row per date
+        s = exposure.where("exposure is not null").join(cal, "date").select("date", "asset_id", "exposure", "position", F.explode(F.sequence(F.lit(1), F.lit(horizons))).alias("h"))
+        y = self.returns.where("ret is not null").join(cal, "date").select("asset_id", F.col("ret").alias("forward"), F.col("position").alias("_p"))
+        j = s.withColumn("_p", F.col("position") + F.col("h")).join(y, ["asset_id", "_p"])
+        ic = information_coefficient(j, ["date", "h"], "exposure", "forward", kind).where("ic is not null")
+        return ic.groupBy(F.col("h").cast("long").alias("h")).agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n"))
+
+    def fama_macbeth(self, exposure: DataFrame, min_obs: int = 30) -> DataFrame:
+        return fama_macbeth(self._pairs(exposure), "date", "forward", ["exposure"], min_obs)

@@ -77,7 +77,7 @@ def band_table(t: DataFrame) -> DataFrame:
 def low_leverage_spread(t: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(by underlying, in all): low minus high elasticity halves, each scaled by its own elasticity; underlyings weighted by value."""
     k = ["entry_date", "ticker"]
-    m = quantiles(t, k, "omega", [0.5], ["_med"])
+    m = quantiles(t, k, "omega", [0.5], ["_med"], bounded=True)  # the options of one underlying on one day
     low = F.col("omega") <= F.col("_med")
     g = t.join(m, k).groupBy(*k).agg(_vw("dh_ret", when=low).alias("low_ret"), _vw("dh_ret", when=~low).alias("high_ret"), _vw("omega", when=low).alias("low_omega"), _vw("omega", when=~low).alias("high_omega"), F.count(F.lit(1)).alias("n_options"), F.sum("value").alias("value"))
     g = g.where((F.col("n_options") >= least) & (F.col("low_omega") > 0) & (F.col("high_omega") > 0) & (F.col("value") > 0)).withColumn("ret", F.col("low_ret") / F.col("low_omega") - F.col("high_ret") / F.col("high_omega"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelweave.functions.keys import assert_unique
+
 
 def leg_weights(df: DataFrame, by: list[str], base: str | None = None, out: str = "weight") -> DataFrame:
     """Equal weights, or weights in proportion to a positive base, summing to 1 in each group; other rows are left out."""
@@ -21,10 +23,36 @@ def leg_weights(df: DataFrame, by: list[str], base: str | None = None, out: str
 
 
 def spread(weights: DataFrame, by: list[str], side: str, name: str) -> DataFrame:
-    """Long side +1, short side -1 over all their rows: side holds 1, -1 or null."""
-    d = weights.where(F.col(side).isNotNull())
-    total = d.groupBy(*by, side).agg(F.sum("weight").alias("_total"))
-    return d.join(total, [*by, side]).withColumn("weight", F.col(side) * F.col("weight") / F.col("_total")).drop("_total").withColumn("portfolio", F.lit(name))
+    """Long side +1, short side -1 over all their rows, each side scaled to 1: side holds 1, -1 or null.
+
+    A date on which one side is empty has no spread, rather than an unbalanced one.
+    """
+    d = weights.where(F.col(side).isNotNull() & (F.col("weight") > 0))
+    total = d.groupBy(*by).agg(F.sum(F.when(F.col(side) > 0, F.col("weight"))).alias("_long"), F.sum(F.when(F.col(side) < 0, F.col("weight"))).alias("_short")).where("_long > 0 and _short > 0")
+    own = F.when(F.col(side) > 0, F.col("_long")).otherwise(F.col("_short"))
+    return d.join(total, by).withColumn("weight", F.col(side) * F.col("weight") / own).drop("_long", "_short").withColumn("portfolio", F.lit(name))
+
+
+def sorted_legs(coded: DataFrame, by: list[str], code: str, long: list[int], short: list[int], base: str | None, name: str) -> DataFrame:
+    """Rows of the groups of each leg with weights: a leg is weighted over all of its groups together, +1 and -1 in sum; other groups are left out.
+
+    A leg without rows is empty; the other keeps its weights.
+    """
+    sign = F.when(F.col(code).isin(long), 1).when(F.col(code).isin(short), -1)
+    d = coded.withColumn("_sign", sign).where("_sign is not null")
+    return leg_weights(d, [*by, "_sign"], base).withColumns({"weight": F.col("_sign") * F.col("weight"), "leg": F.when(F.col("_sign") > 0, "long").otherwise("short"), "portfolio": F.lit(name)}).drop("_sign")
+
+
+def assert_layers(members: DataFrame) -> DataFrame:
+    """members (rebalance_date, portfolio, asset_id) themselves; raises ValueError if an asset is in two layers of one rebalance."""
+    return assert_unique(members, ["rebalance_date", "asset_id"], "layers")
+
+
+def layer_spread(layers: DataFrame, coefficients: dict[str, float], name: str) -> DataFrame:
+    """(date, portfolio, ret) of a combination of layer returns (date, portfolio, ret); dates on which a layer of it has no members have return 0."""
+    known = F.create_map(*[F.lit(x) for kv in coefficients.items() for x in kv])
+    d = layers.groupBy("date").agg(F.sum(F.col("ret") * F.coalesce(F.element_at(known, F.col("portfolio")), F.lit(0.0))).alias("_r"), F.count_if(F.col("portfolio").isin(list(coefficients))).alias("_n"))
+    return d.select("date", F.lit(name).alias("portfolio"), F.when(F.col("_n") == len(coefficients), F.col("_r")).otherwise(0.0).alias("ret"))
 
 
 def book_from_holdings(holdings: DataFrame) -> DataFrame:
@@ -124,6 +152,24 @@ def forward_returns(signal_dates: DataFrame, returns: DataFrame) -> DataFrame:
     return r.groupBy("rebalance_date", "asset_id").agg((F.product(F.col("ret") + 1) - 1).alias("forward"))
 
 
+def next_period_returns(signal_dates: DataFrame, returns: DataFrame) -> DataFrame:
+    """(rebalance_date, asset_id, forward): return of the first return date after each signal date; none where there is none later."""
+    first = holding_periods(signal_dates, returns).where("is_first").select("date", "rebalance_date")
+    r = returns.where("ret is not null").join(F.broadcast(first), "date")  # one row per rebalance
+    return r.select("rebalance_date", "asset_id", F.col("ret").alias("forward"))
+
+
+def names(book: DataFrame) -> DataFrame:
+    """(portfolio, first_rebalance, last_rebalance, n_rebalances) of a book."""
+    d = book.select("portfolio", "rebalance_date").distinct()
+    return d.groupBy("portfolio").agg(F.min("rebalance_date").alias("first_rebalance"), F.max("rebalance_date").alias("last_rebalance"), F.count(F.lit(1)).alias("n_rebalances"))
+
+
+def weights_at(book: DataFrame, rebalance_date: str) -> DataFrame:
+    """(portfolio, asset_id, weight) of one rebalance; the date reaches the scan."""
+    return book.where(F.col("rebalance_date") == F.lit(rebalance_date).cast("date")).select("portfolio", "asset_id", "weight")
+
+
 def value_weighted(df: DataFrame, by: list[str], ret: str, weight: str) -> DataFrame:
     """(by..., ret, n_assets): value-weighted mean over rows with a return and a positive weight."""
     ok = F.col(ret).isNotNull() & (F.col(weight) > 0)

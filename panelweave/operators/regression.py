@@ -76,20 +76,27 @@ def rolling_residual(df: DataFrame, w, y: str, xs: list[str], window: int, min_o
     return d.withColumn(out, F.when(ok & (F.col("_n") >= min_obs), F.col(y) - hat)).drop("_n", "_xx", "_xy", "_b")
 
 
-def residuals(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, category: str | None = None, min_obs: int = 20) -> DataFrame:
-    """df with the residual of y on xs (and, absorbed, on category) per group.
+def residuals(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, category: str | list[str] | tuple[str, ...] | None = None, min_obs: int = 20, intercept: bool = True) -> DataFrame:
+    """df with the residual of y on xs (and, absorbed, on the categories) per group.
 
-    Only complete rows of groups with at least min_obs of them have one; a null category is no complete row.
+    Only complete rows of groups with at least min_obs of them have one; a null category is no complete row. One category is
+    absorbed by its means. Several have no closed form: a group's rows, one cross-section, then go to one task, which projects
+    y and xs off the indicators of all categories together.
     """
-    cols = [y, *xs, *([category] if category else [])]
+    cats = [category] if isinstance(category, str) else list(category or [])
+    if cats and not intercept:
+        raise ValueError("categories bring an intercept of their own")
     ok = F.lit(True)
-    for c in cols:
+    for c in [y, *xs, *cats]:
         ok &= F.col(c).isNotNull()
+    if len(cats) > 1:
+        return _absorbed(df, by, y, xs, out, cats, min_obs, ok)
     work = df.withColumns({"_ry": F.when(ok, F.col(y)), **{f"_d{i}": F.when(ok, F.col(x)) for i, x in enumerate(xs)}})
     ds = [f"_d{i}" for i in range(len(xs))]
-    if category:
-        work = demean(work, [*by, category], ["_ry", *ds])
-    fit = group_ols(work, by, "_ry", ds, intercept=category is None, min_obs=min_obs) if xs else work.where("_ry is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.lit(0.0) if category else F.avg("_ry")).alias("alpha")).where(F.col("n") >= min_obs)
+    plain = intercept and not cats
+    if cats:
+        work = demean(work, [*by, *cats], ["_ry", *ds])
+    fit = group_ols(work, by, "_ry", ds, intercept=plain, min_obs=min_obs) if xs else work.where("_ry is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.avg("_ry") if plain else F.lit(0.0)).alias("alpha")).where(F.col("n") >= min_obs)
     d = with_group(work, fit, by)
     hat: Column = F.coalesce("alpha", F.lit(0.0))
     for c in ds:
@@ -98,6 +105,26 @@ def residuals(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, cat
     return d.withColumn(out, res).select(*df.columns, out)
 
 
+def _absorbed(df: DataFrame, by: list[str], y: str, xs: list[str], out: str, cats: list[str], min_obs: int, ok: Column) -> DataFrame:
+    kinds = dict(df.dtypes)
+    keep = [c for c in df.columns if c != out]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` double, _whole boolean"
+
+    def solve_one(pdf: pd.DataFrame) -> pd.DataFrame:
+        res = np.full(len(pdf), np.nan)
+        at = np.flatnonzero(pdf["_whole"].to_numpy())
+        if len(at) >= max(min_obs, 1) and pdf[by].notna().to_numpy().all():
+            full = pdf.iloc[at]
+            indicators = np.column_stack([pd.get_dummies(full[c]).to_numpy(dtype=float) for c in cats])
+            z = full[[y, *xs]].to_numpy(dtype=float)
+            z = z - indicators @ np.linalg.lstsq(indicators, z, rcond=None)[0]
+            yy, xx = z[:, 0], z[:, 1:]
+            res[at] = yy - xx @ solve(xx.T @ xx, xx.T @ yy) if xs else yy
+        return pdf[[*keep]].assign(**{out: pd.Series(res, index=pdf.index).astype("Float64").mask(np.isnan(res)), "_whole": pdf["_whole"]})
+
+    return df.select(*keep, ok.alias("_whole")).groupBy(*by).applyInPandas(solve_one, schema).select(*keep, out)
+
+
 def series_ols(y: np.ndarray, x: np.ndarray, lags: int | None = None) -> dict:
     """One series on its regressors (intercept first): coefficients, standard errors (classical, or HAC with `lags`), t, r2."""
     x = np.column_stack([np.ones(len(y)), x])

@@ -41,23 +41,21 @@ def lag_rule(n: Column) -> Column:
     return F.floor(4 * F.pow(n / 100.0, F.lit(2.0 / 9.0))).cast("int")
 
 
-def newey_west(df: DataFrame, by: list[str], order: str, x: str, lags: int | None = None, most: int = 24) -> DataFrame:
+def newey_west(df: DataFrame, by: list[str], order: str, x: str, lags: int | None = None) -> DataFrame:
     """(by..., n, mean, se, t): mean of a series with its HAC standard error (autocovariances over n).
 
-    The series is x without its nulls. Lagged products are sums over lag columns, so a series is one window, not a join.
+    The series is x without its nulls, in the order of its dates, of which a series has one each; `lags`, or the rule's number
+    for its length, may be anything. A series is one array, its lagged products are sums over slices of it.
     """
-    d = df.where(F.col(x).isNotNull()).select(*by, order, F.col(x).alias("_x"))
-    m = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"))
-    d = d.join(m, by)
-    w = W.partitionBy(*by).orderBy(order)
-    e = d.withColumn("_e", F.col("_x") - F.col("_m"))
-    e = e.withColumns({f"_p{k}": F.col("_e") * F.lag("_e", k).over(w) for k in range(0, most + 1)})
-    s = e.groupBy(*by).agg(F.first("_n").alias("n"), F.first("_m").alias("mean"), *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"_g{k}") for k in range(most + 1)])
-    length = F.lit(lags) if lags is not None else F.least(lag_rule(F.col("n")), F.lit(most))
-    var = F.col("_g0")
-    for k in range(1, most + 1):
-        var = var + F.when(F.lit(k) <= length, 2 * (1 - k / (length + 1.0)) * F.col(f"_g{k}")).otherwise(0.0)
-    lrv = var / F.col("n") / F.col("n")
+    d = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(x).alias("_x")))).alias("_a"), F.avg(x).alias("mean"), F.count(F.lit(1)).alias("n"))
+    length = F.lit(lags).cast("int") if lags is not None else lag_rule(F.col("n"))
+    e = d.select(*by, "n", "mean", F.transform("_a", lambda y: y["_x"] - F.col("mean")).alias("_e"), length.alias("_l"))
+    e = e.select(*by, "n", "mean", "_e", "_l", F.explode(F.sequence(F.lit(0), F.least(F.col("_l"), (F.col("n") - 1).cast("int")))).alias("_k"))
+    part = lambda start: F.slice("_e", start, (F.col("n") - F.col("_k")).cast("int"))
+    g = F.aggregate(F.zip_with(part(F.col("_k") + 1), part(F.lit(1)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(2 * (1 - F.col("_k") / (F.col("_l") + 1.0)))
+    s = e.select(*by, "n", "mean", (weight * g).alias("_g")).groupBy(*by, "n", "mean").agg(F.sum("_g").alias("_v"))
+    lrv = F.col("_v") / F.col("n") / F.col("n")
     se = F.when(lrv > 0, F.sqrt(F.when(lrv > 0, lrv)))
     return s.select(*by, "n", "mean", se.alias("se"), (F.col("mean") / se).alias("t"))
 

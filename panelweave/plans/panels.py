@@ -24,12 +24,13 @@ def is_financial(sic: str | Column) -> Column:
 
 
 def monthly(spark: SparkSession, root: str, primary: bool = True) -> DataFrame:
-    """crsp_monthly with missing values as nulls and one row per (asset_id, date); by default only primary shares."""
+    """crsp_monthly with missing values as nulls and one row per (asset_id, date), of repeated rows the greatest value of each column; by default only primary shares."""
     num = ["ret", "retx", "market_equity", "exchange_code", "dollar_volume", "siccd", "market_equity_security"]
     m = table(spark, root, "crsp_monthly").where("asset_id is not null and date is not null")
     if primary:
         m = m.where("ff_primary_share")
-    return m.select("asset_id", "date", "company_id", "first_trade_date", "ff_primary_share", *[finite(c).alias(c) for c in num]).dropDuplicates(["asset_id", "date"])
+    rest = ["company_id", "first_trade_date", "ff_primary_share"]
+    return m.groupBy("asset_id", "date").agg(*[F.max(c).alias(c) for c in rest], *[F.max(finite(c)).alias(c) for c in num])
 
 
 def daily(spark: SparkSession, root: str) -> DataFrame:

@@ -32,14 +32,14 @@ X = f"{M}, x AS (SELECT date, asset_id, CASE WHEN market_equity > 0 THEN ln(mark
 @query("a02_quantiles", f"WITH {X} SELECT date, {rs(_QC.format('x', 0.05))} AS q05, {rs(_QC.format('x', 0.5))} AS q50, {rs(_QC.format('x', 0.95))} AS q95 FROM x GROUP BY date")
 def a02(spark: SparkSession, root: str) -> DataFrame:
     """Exact quantiles per date."""
-    return quantiles(log_size(spark, root), ["date"], "x", [0.05, 0.5, 0.95], ["q05", "q50", "q95"]).select("date", r("q05"), r("q50"), r("q95"))
+    return quantiles(log_size(spark, root), ["date"], "x", [0.05, 0.5, 0.95], ["q05", "q50", "q95"], bounded=True).select("date", r("q05"), r("q50"), r("q95"))
 
 
 @query("a02_quantiles_split", f"WITH {X} SELECT exchange_code, {rs(_QC.format('x', 0.05))} AS q05, {rs(_QC.format('x', 0.5))} AS q50, {rs(_QC.format('x', 0.95))} AS q95 FROM x WHERE exchange_code IS NOT NULL GROUP BY ALL")
 def a02_split(spark: SparkSession, root: str) -> DataFrame:
     """The same over very large groups, by the way that splits groups by value (A02 under skew)."""
     d = log_size(spark, root).where("exchange_code is not null")
-    return quantiles(d, ["exchange_code"], "x", [0.05, 0.5, 0.95], ["q05", "q50", "q95"], limit=100).select("exchange_code", r("q05"), r("q50"), r("q95"))
+    return quantiles(d, ["exchange_code"], "x", [0.05, 0.5, 0.95], ["q05", "q50", "q95"]).select("exchange_code", r("q05"), r("q50"), r("q95"))
 
 
 @query("a04_moments", f"WITH {X} SELECT date, count(x) AS n, {rs('avg(x)')} AS mean, {rs('stddev_samp(x)')} AS std FROM x GROUP BY date")
@@ -50,8 +50,8 @@ def a04(spark: SparkSession, root: str) -> DataFrame:
 
 _BOUND_SQL = {
     "std": "SELECT date, avg(x) - 3 * stddev_samp(x) AS lo, avg(x) + 3 * stddev_samp(x) AS hi, stddev_samp(x) AS w FROM x GROUP BY date",
-    "iqr": "SELECT date, q1 - 3 * (q3 - q1) AS lo, q3 + 3 * (q3 - q1) AS hi, q3 - q1 AS w FROM (SELECT date, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM x GROUP BY date)",
-    "mad": "SELECT date, med - 3 * 1.4826 * mad AS lo, med + 3 * 1.4826 * mad AS hi, mad AS w FROM (SELECT date, any_value(med) AS med, median(abs(x - med)) AS mad FROM (SELECT *, median(x) OVER (PARTITION BY date) AS med FROM x) GROUP BY date)",
+    "iqr": "SELECT date, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, q3 - q1 AS w FROM (SELECT date, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM x GROUP BY date)",
+    "mad": "SELECT date, med - 3.5::DOUBLE * 1.4826 * mad AS lo, med + 3.5::DOUBLE * 1.4826 * mad AS hi, mad AS w FROM (SELECT date, any_value(med) AS med, median(abs(x - med)) AS mad FROM (SELECT *, median(x) OVER (PARTITION BY date) AS med FROM x) GROUP BY date)",
 }
 for _method, _sql in _BOUND_SQL.items():
 
@@ -135,6 +135,23 @@ def x07_ffill(spark: SparkSession, root: str) -> DataFrame:
     return fill_missing(log_size(spark, root).select("date", "asset_id", "ret"), "ret", "ffill", ["asset_id"], "date", limit=2).select("date", "asset_id", "ret")
 
 
+@query(
+    "x07_universe",
+    f"WITH {X}, u AS (SELECT *, coalesce(exchange_code = 1, FALSE) AS u FROM x), k AS (SELECT *, CASE WHEN u THEN ret END AS v, sum(u::INT) OVER (PARTITION BY asset_id ORDER BY date) AS n FROM u), f AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN n END) OVER (PARTITION BY asset_id ORDER BY date) AS s FROM k) SELECT f.date, f.asset_id, CASE WHEN f.u AND f.v IS NULL AND f.n - f.s <= 2 THEN b.v ELSE f.v END AS ret FROM f LEFT JOIN k b ON b.asset_id = f.asset_id AND b.n = f.s AND b.u",
+)
+def x07_universe(spark: SparkSession, root: str) -> DataFrame:
+    """Carried within a universe: rows outside have no value, give none and are not counted."""
+    d = log_size(spark, root).select("date", "asset_id", "ret", (F.col("exchange_code") == 1).alias("u"))
+    return fill_missing(d, "ret", "ffill", ["asset_id"], "date", limit=2, universe="u").select("date", "asset_id", "ret")
+
+
+@query("x07_universe_median", f"WITH {X}, u AS (SELECT date, asset_id, coalesce(exchange_code = 1, FALSE) AS u, CASE WHEN exchange_code = 1 THEN ret END AS v FROM x) SELECT date, asset_id, {rs('CASE WHEN u THEN coalesce(v, median(v) OVER (PARTITION BY date)) END')} AS ret FROM u")
+def x07_universe_median(spark: SparkSession, root: str) -> DataFrame:
+    """Medians of a universe, inside it."""
+    d = log_size(spark, root).select("date", "asset_id", "ret", (F.col("exchange_code") == 1).alias("u"))
+    return fill_missing(d, "ret", "median", ["date"], universe="u").select("date", "asset_id", r("ret"))
+
+
 _POS = "(p * (n - 1))"
 _EDGE = f"CASE WHEN {_POS} - floor({_POS}) >= 0.5 THEN floor({_POS}) + 2 - (1 - ({_POS} - floor({_POS}))) ELSE floor({_POS}) + 1 + ({_POS} - floor({_POS})) END"
 _CODE = f"""k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY x, asset_id) AS rk, count(*) OVER (PARTITION BY date) AS n FROM x WHERE x IS NOT NULL),
@@ -188,6 +205,26 @@ def x12_multi(spark: SparkSession, root: str) -> DataFrame:
     return residuals(d.select("date", "asset_id", "ret", "x", "lv", "industry"), ["date"], "ret", ["x", "lv"], "ret_neutral", category="industry").where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 6))
 
 
+# Two categories: effects of both, by the normal equations of a two-way table. The SQL repeats the two projections until they settle.
+_SWEEPS = 60
+_P0 = "p0 AS (SELECT date, asset_id, ret AS y, x, industry AS g, exchange_code AS h, count(*) OVER (PARTITION BY date) AS n FROM x WHERE ret IS NOT NULL AND x IS NOT NULL AND industry IS NOT NULL AND exchange_code IS NOT NULL)"
+_TWO = ", ".join(f"s{i} AS (SELECT date, asset_id, g, h, n, y - avg(y) OVER a AS y, x - avg(x) OVER a AS x FROM (SELECT date, asset_id, g, h, n, y - avg(y) OVER b AS y, x - avg(x) OVER b AS x FROM {'p0' if i == 0 else f's{i - 1}'} WINDOW b AS (PARTITION BY date, g)) WINDOW a AS (PARTITION BY date, h))" for i in range(_SWEEPS))
+
+
+@query("x12_two_categories", f"WITH {X}, {_P0}, {_TWO}, b AS (SELECT date, sum(x * y) / nullif(sum(x * x), 0) AS b FROM s{_SWEEPS - 1} GROUP BY date) SELECT date, asset_id, {rs('y - coalesce(b, 0) * x', 4)} AS ret_neutral FROM s{_SWEEPS - 1} JOIN b USING (date) WHERE n >= 20")
+def x12_two(spark: SparkSession, root: str) -> DataFrame:
+    """Residuals on size with industries and exchanges absorbed together."""
+    d = log_size(spark, root).select("date", "asset_id", "ret", "x", "industry", "exchange_code")
+    return residuals(d, ["date"], "ret", ["x"], "ret_neutral", category=["industry", "exchange_code"]).where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 4))
+
+
+@query("x17_no_intercept", f"WITH {X}, p AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM x WHERE ret IS NOT NULL AND x IS NOT NULL), b AS (SELECT date, sum(x * ret) / sum(x * x) AS b FROM p GROUP BY date) SELECT date, asset_id, {rs('ret - b * x', 7)} AS ret_neutral FROM p JOIN b USING (date) WHERE n >= 20")
+def x17(spark: SparkSession, root: str) -> DataFrame:
+    """Residuals through the origin."""
+    d = log_size(spark, root).select("date", "asset_id", "ret", "x")
+    return residuals(d, ["date"], "ret", ["x"], "ret_neutral", intercept=False).where("ret_neutral is not null").select("date", "asset_id", r("ret_neutral", 7))
+
+
 _BK = "bk AS (SELECT date, median(market_equity) AS s, quantile_cont(ret, 0.3) AS lo, quantile_cont(ret, 0.7) AS hi FROM x WHERE exchange_code = 1 GROUP BY date HAVING count(*) >= 3)"
 
 

@@ -12,14 +12,15 @@ from panelweave.functions.dates import formation_year, next_month_end
 from panelweave.functions.nulls import finite, positive
 from panelweave.operators.asof import asof_backward, calendar, code_of_range, next_in_calendar
 from panelweave.operators.cross_section import breakpoints, bucket_codes, share, size_buckets
-from panelweave.operators.portfolio import high_minus_low, leg_weights, simulate_fixed, value_weighted
+from panelweave.operators.portfolio import high_minus_low, leg_weights, simulate_fixed, spread, value_weighted
 from panelweave.operators.time_series import along, long_rolling_corr, long_rolling_std, rolling_compound, rolling_std, strict_compound
 from panelweave.plans.panels import SAMPLE, daily, is_financial, june_accounts, june_formation, link, monthly, monthly_accounts, quarters
 from panelweave.operators.allocation import eigenrisk_concentration, risk_parity
 from panelweave.operators.regression import rolling_residual
 from panelweave.plans.queries_cross import _EDGE, rank_weights
-from panelweave.plans.queries_panel import _LINKED, _PUBLIC, _RANGES, _SAMPLE, june_sql
-from panelweave.plans.registry import D, L, M, q_sql, query, r, rs
+from panelweave.plans.queries_panel import _BEQ, _LINKED, _PUBLIC, _RANGES, _SAMPLE, JUNE, june_sql
+from panelweave.plans.queries_series import f24, t20
+from panelweave.plans.registry import D, L, M, ORACLE, QUERIES, q_sql, query, r, rs
 from panelweave.session import materialize, table
 
 _BY = "PARTITION BY asset_id ORDER BY date"
@@ -254,7 +255,7 @@ def f22(spark: SparkSession, root: str) -> DataFrame:
 _CAR = f"""{M}, {D}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM (SELECT DISTINCT date FROM d)), dl AS (SELECT *, lag(market_equity) OVER ({_BY}) AS lag_me FROM d),
 mk AS (SELECT date, sum(ret * lag_me) / sum(lag_me) AS mkt FROM dl WHERE ret IS NOT NULL AND lag_me > 0 GROUP BY ALL), ab AS (SELECT asset_id, dl.date, ret - mkt AS ab, p FROM dl JOIN cal ON cal.date = dl.date LEFT JOIN mk ON mk.date = dl.date),
 {L}, {q_sql(['atq'])}, qq AS (SELECT * FROM q WHERE {_RDQ} AND date_diff('day', datadate, rdq) BETWEEN 0 AND 180), {_LINKED.replace('FROM q JOIN', 'FROM qq q JOIN')},
-e AS (SELECT lk.asset_id, lk.gvkey, lk.datadate, lk.rdq, (SELECT min(p) FROM cal WHERE cal.date >= lk.rdq) AS p FROM lk WHERE rdq >= (SELECT min(date) - 40 FROM cal)),
+e AS (SELECT lk.asset_id, lk.gvkey, lk.datadate, lk.rdq, (SELECT min(p) FROM cal WHERE cal.date >= lk.rdq) AS p FROM lk),
 car AS (SELECT e.asset_id, e.gvkey, e.datadate, e.rdq, e.p, coalesce(sum(ab), 0) AS car, count(ab) AS n FROM e LEFT JOIN ab ON ab.asset_id = e.asset_id AND ab.p BETWEEN e.p - 2 AND e.p + 1 WHERE e.p >= 2 AND e.p + 2 < (SELECT count(*) FROM cal) GROUP BY ALL HAVING count(ab) >= 2),
 ev AS (SELECT car.*, c2.date AS available_date FROM car JOIN cal c2 ON c2.p = car.p + 2)"""
 
@@ -309,8 +310,12 @@ def f34(spark: SparkSession, root: str) -> DataFrame:
     return value_weighted(d, ["date", "industry"], "ret", "lag_me").select("date", "industry", r("ret", 7))
 
 
-def market_beta(spark: SparkSession, root: str) -> DataFrame:
-    """(date, asset_id, beta): correlation of overlapping three-day log returns over 1,250 days times the ratio of one-year deviations, at month ends."""
+#: Days, and least days, of the correlation and of the deviations in a market beta.
+BETA_DAYS = (1250, 750, 252, 120)
+
+
+def market_beta(spark: SparkSession, root: str, days: tuple[int, int, int, int] = BETA_DAYS) -> DataFrame:
+    """(date, asset_id, beta): correlation of overlapping three-day log returns over five years of days times the ratio of one-year deviations, at month ends."""
     d = daily(spark, root).select("asset_id", "date", "ret", "market_equity")
     w = along("asset_id", "date")
     d = d.withColumn("lag_me", F.coalesce(F.lag("market_equity").over(w), F.col("market_equity")))
@@ -323,8 +328,8 @@ def market_beta(spark: SparkSession, root: str) -> DataFrame:
     f = w.rowsBetween(-2, 0)
     three = lambda c: F.when(F.count(c).over(f) == 3, F.sum(c).over(f))
     j = j.withColumns({"s3": three("s"), "m3": three("m")})
-    j = long_rolling_corr(j, "asset_id", "date", "s3", "m3", 1250, 750, "corr")
-    j = long_rolling_std(long_rolling_std(j, "asset_id", "date", "s", 252, 120, "sd_s"), "asset_id", "date", "m", 252, 120, "sd_m")
+    j = long_rolling_corr(j, "asset_id", "date", "s3", "m3", days[0], days[1], "corr")
+    j = long_rolling_std(long_rolling_std(j, "asset_id", "date", "s", days[2], days[3], "sd_s"), "asset_id", "date", "m", days[2], days[3], "sd_m")
     last = F.row_number().over(W.partitionBy("asset_id", F.last_day("date")).orderBy(F.desc("date")))
     return j.withColumn("_k", last).where("_k = 1").select(F.last_day("date").alias("date"), "asset_id", (F.col("corr") * F.col("sd_s") / F.when(F.col("sd_m") > 0, F.col("sd_m"))).alias("beta"))
 
@@ -345,10 +350,10 @@ def t14(spark: SparkSession, root: str) -> DataFrame:
     return market_beta(spark, root).where("beta is not null").select("date", "asset_id", r("beta", 5))
 
 
-def low_beta(spark: SparkSession, root: str, least: int = 10) -> DataFrame:
+def low_beta(spark: SparkSession, root: str, least: int = 10, days: tuple[int, int, int, int] = BETA_DAYS) -> DataFrame:
     """(date, low_ret, high_ret, beta_low, beta_high, bab): rank weights on shrunk betas; missing returns get no weight back."""
     m = monthly(spark, root)
-    b = market_beta(spark, root).where("beta is not null").withColumn("sb", 0.6 * F.col("beta") + 0.4).join(m.select("date", "asset_id"), ["date", "asset_id"])
+    b = market_beta(spark, root, days).where("beta is not null").withColumn("sb", 0.6 * F.col("beta") + 0.4).join(m.select("date", "asset_id"), ["date", "asset_id"])
     k = rank_weights(materialize(b), "sb")
     t = k.groupBy("date").agg(F.sum(F.col("w_low") * F.col("sb")).alias("beta_low"), F.sum(F.col("w_high") * F.col("sb")).alias("beta_high"))
     k = k.join(t, "date").select(next_month_end("date").alias("date"), "asset_id", "w_low", "w_high", "beta_low", "beta_high")
@@ -365,10 +370,28 @@ t AS (SELECT *, sum(wl * sb) OVER (PARTITION BY date) AS bl, sum(wh * sb) OVER (
 g AS (SELECT m.date, bl, bh, sum(wl * m.ret) AS lo, sum(wh * m.ret) AS hi FROM t JOIN m ON m.asset_id = t.asset_id AND m.date = last_day(t.date + INTERVAL 1 MONTH) WHERE m.ret IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)"""
 
 
-@query("f31_low_beta", f"WITH {_BAB} SELECT g.date, {rs('lo', 7)} AS low_ret, {rs('hi', 7)} AS high_ret, {rs('bl', 5)} AS beta_low, {rs('bh', 5)} AS beta_high, {rs('(lo - rf) / nullif(bl, 0) - (hi - rf) / nullif(bh, 0)', 4)} AS bab FROM g LEFT JOIN rf ON rf.date = g.date")
+_BAB_OUT = f"SELECT g.date, {rs('lo', 7)} AS low_ret, {rs('hi', 7)} AS high_ret, {rs('bl', 5)} AS beta_low, {rs('bh', 5)} AS beta_high, {rs('(lo - rf) / nullif(bl, 0) - (hi - rf) / nullif(bh, 0)', 4)} AS bab FROM g LEFT JOIN rf ON rf.date = g.date"
+
+
+def _bab_columns(d: DataFrame) -> DataFrame:
+    return d.select("date", r("low_ret", 7), r("high_ret", 7), r("beta_low", 5), r("beta_high", 5), r("bab", 4))
+
+
+@query("f31_low_beta", f"WITH {_BAB} {_BAB_OUT}")
 def f31(spark: SparkSession, root: str) -> DataFrame:
     """Betting against beta."""
-    return low_beta(spark, root).select("date", r("low_ret", 7), r("high_ret", 7), r("beta_low", 5), r("beta_high", 5), r("bab", 4))
+    return _bab_columns(low_beta(spark, root))
+
+
+#: Windows short enough for tables of few days, and the SQL with them.
+_SHORT = (60, 30, 40, 20)
+_BAB_SHORT = _BAB.replace("1249 PRECEDING", "59 PRECEDING").replace(">= 750", ">= 30").replace("251 PRECEDING", "39 PRECEDING").replace(">= 120", ">= 20").replace("count(*) >= 10)", "count(*) >= 3)")
+
+
+@query("f31_short_windows", f"WITH {_BAB_SHORT} {_BAB_OUT}")
+def f31_short(spark: SparkSession, root: str) -> DataFrame:
+    """The same over 60 days with three assets enough, so that small tables have months to compare."""
+    return _bab_columns(low_beta(spark, root, 3, _SHORT))
 
 
 def q_factors(spark: SparkSession, root: str) -> DataFrame:
@@ -412,68 +435,144 @@ def f33(spark: SparkSession, root: str) -> DataFrame:
     return q_factors(spark, root).select("date", r("r_me", 7), r("r_ia", 7), r("r_roe", 7))
 
 
-def decile_spread(spark: SparkSession, root: str, signal: DataFrame, k: int = 10, min_count: int | None = None) -> DataFrame:
-    """(date, portfolio, ret, ...): value-weighted buckets of a signal and the top against the bottom one, held to the next signal."""
-    m = monthly(spark, root).select("date", "asset_id", "ret", "market_equity")
-    s = materialize(signal.join(m.select("date", "asset_id", "market_equity"), ["date", "asset_id"]))
-    c = leg_weights(bucket_codes(s, ["date"], "exposure", k, ["asset_id"], min_count=min_count).where("code is not null"), ["date", "code"], "market_equity")
-    book = c.select(F.col("date").alias("rebalance_date"), F.concat(F.lit("D"), F.lpad((F.col("code") + 1).cast("string"), 2, "0")).alias("portfolio"), "asset_id", "weight", "code")
-    hl = book.where(f"code in (0, {k - 1})").withColumns({"portfolio": F.lit("HL"), "weight": F.when(F.col("code") == 0, -F.col("weight")).otherwise(F.col("weight"))})
-    return simulate_fixed(materialize(book.unionByName(hl).drop("code")), m)
+def bucket_returns(signals: DataFrame, returns: DataFrame, k: int = 10, min_count: int | None = None) -> DataFrame:
+    """(date, factor, portfolio, ret) of signals (factor, date, asset_id, exposure) in one plan: value-weighted buckets and the top against the bottom one, held to the next signal date.
+
+    returns: (date, asset_id, ret, market_equity). All signals must have the same rebalance dates.
+    """
+    s = signals.join(returns.select("date", "asset_id", "market_equity"), ["date", "asset_id"])
+    c = leg_weights(bucket_codes(s, ["factor", "date"], "exposure", k, ["asset_id"], min_count=min_count).where("code is not null"), ["factor", "date", "code"], "market_equity")
+    name = lambda p: F.concat(F.col("factor"), F.lit(":"), p)
+    book = materialize(c.select(F.col("date").alias("rebalance_date"), "factor", "code", F.concat(F.lit("D"), F.lpad((F.col("code") + 1).cast("string"), 2, "0")).alias("p"), "asset_id", "weight"))
+    side = F.when(F.col("code") == k - 1, 1).when(F.col("code") == 0, -1)
+    hl = spread(book.withColumn("side", side), ["factor", "rebalance_date"], "side", "HL").select("rebalance_date", name(F.lit("HL")).alias("portfolio"), "asset_id", "weight")
+    whole = book.select("rebalance_date", name(F.col("p")).alias("portfolio"), "asset_id", "weight").unionByName(hl)
+    out = simulate_fixed(whole, returns.select("date", "asset_id", "ret"))
+    return out.select("date", F.substring_index("portfolio", ":", 1).alias("factor"), F.substring_index("portfolio", ":", -1).alias("portfolio"), "ret")
 
 
 _ASSETS = {
-    "size": ("CASE WHEN market_equity > 0 THEN -ln(market_equity) END", ""),
-    "momentum": ("CASE WHEN count(ret) OVER f = 11 THEN CASE WHEN min(1 + ret) OVER f <= 0 THEN -1 ELSE product(1 + ret) OVER f - 1 END END", _roll(12, 2)),
-    "low_vol": ("CASE WHEN count(ret) OVER f >= 8 THEN -stddev_samp(ret) OVER f END", f"WINDOW f AS ({_BY} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"),
+    "size": ("m", "CASE WHEN market_equity > 0 THEN -ln(market_equity) END", "", 7),
+    "momentum": ("m", "CASE WHEN count(ret) OVER f = 11 THEN CASE WHEN min(1 + ret) OVER f <= 0 THEN -1 ELSE product(1 + ret) OVER f - 1 END END", _roll(12, 2), 7),
+    "low_vol": ("m", "CASE WHEN count(ret) OVER f >= 8 THEN -stddev_samp(ret) OVER f END", f"WINDOW f AS ({_BY} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)", 7),
+    "gross_profit": ("ac", RATIOS["f12_gross_profit"][3], "", 6),
+    "asset_growth": ("ac", RATIOS["f15_asset_growth"][3], "", 6),
+    "value": ("(SELECT rebalance_date AS date, asset_id, bm FROM jf)", "bm", "", 7),
 }
 
 
-def deciles_sql(name: str, x: str, frame: str) -> tuple[str, str]:
-    """Tables and query of the ten value-weighted portfolios of a signal."""
+def deciles_sql(name: str, source: str, x: str, frame: str, digits: int) -> tuple[str, str]:
+    """Tables and query of the ten value-weighted portfolios of a signal. Monthly signals rebalance on all of their dates together, as one book does."""
     n = name
-    parts = f"""e_{n} AS (SELECT date, asset_id, {rs('v', 7)} AS x FROM (SELECT date, asset_id, {x} AS v FROM m {frame}) WHERE v IS NOT NULL AND {_SAMPLE}),
+    dates = "w_value" if n == "value" else "wm"
+    parts = f"""e_{n} AS (SELECT date, asset_id, {rs('v', digits)} AS x FROM (SELECT date, asset_id, {x} AS v FROM {source} {frame}) WHERE v IS NOT NULL AND {_SAMPLE}),
 k_{n} AS (SELECT e.*, m.market_equity, row_number() OVER (PARTITION BY e.date ORDER BY e.x, e.asset_id) AS rk, count(*) OVER (PARTITION BY e.date) AS n FROM e_{n} e JOIN m ON m.date = e.date AND m.asset_id = e.asset_id),
 c_{n} AS (SELECT *, CASE WHEN n >= 10 THEN (SELECT count(*) FROM (SELECT unnest({[share(j, 10) for j in range(1, 10)]}::DOUBLE[]) AS p) WHERE rk > {_EDGE}) END AS code FROM k_{n}),
-w_{n} AS (SELECT date AS rd, asset_id, code, market_equity / sum(market_equity) OVER (PARTITION BY date, code) AS w FROM c_{n} WHERE code IS NOT NULL AND market_equity > 0),
-p_{n} AS (SELECT t.date, r.rd FROM (SELECT DISTINCT date FROM m) t ASOF JOIN (SELECT DISTINCT rd FROM w_{n}) r ON t.date > r.rd)"""
-    return parts, f"SELECT p.date, '{n}:D' || lpad(CAST(code + 1 AS VARCHAR), 2, '0') AS portfolio, {rs('sum(w * m.ret)', 7)} AS ret FROM w_{n} w JOIN p_{n} p USING (rd) JOIN m ON m.date = p.date AND m.asset_id = w.asset_id WHERE m.ret IS NOT NULL GROUP BY ALL"
+w_{n} AS (SELECT date AS rd, asset_id, code, market_equity / sum(market_equity) OVER (PARTITION BY date, code) AS w FROM c_{n} WHERE code IS NOT NULL AND market_equity > 0)"""
+    held = f"(SELECT t.date, r.rd FROM (SELECT DISTINCT date FROM m) t ASOF JOIN (SELECT DISTINCT rd FROM {dates}) r ON t.date > r.rd)"
+    return parts, f"SELECT p.date, '{n}:D' || lpad(CAST(code + 1 AS VARCHAR), 2, '0') AS portfolio, {rs('sum(w * m.ret)', 7)} AS ret FROM w_{n} w JOIN {held} p USING (rd) JOIN m ON m.date = p.date AND m.asset_id = w.asset_id WHERE m.ret IS NOT NULL GROUP BY ALL"
 
 
-_DEC = [deciles_sql(n, x, f) for n, (x, f) in _ASSETS.items()]
+_DEC = [deciles_sql(n, *x) for n, x in _ASSETS.items()]
+_WM = "wm AS (" + " UNION ".join(f"SELECT rd FROM w_{n}" for n in _ASSETS if n != "value") + ")"
 
 
-@query("f36_test_assets", f"WITH {M}, {', '.join(a for a, _ in _DEC)} {' UNION ALL '.join(b for _, b in _DEC)}")
-def f36(spark: SparkSession, root: str) -> DataFrame:
-    """Ten portfolios on each of three characteristics."""
+def signals_of(d: DataFrame, columns: dict[str, Column], digits: int) -> DataFrame:
+    """(factor, date, asset_id, exposure) of several signals of one table, in one pass."""
+    wide = in_sample(d.select("date", "asset_id", *[r(x, digits, n) for n, x in columns.items()]))
+    return wide.unpivot(["date", "asset_id"], list(columns), "factor", "exposure").where("exposure is not null")
+
+
+def test_assets(spark: SparkSession, root: str) -> DataFrame:
+    """(date, factor, portfolio, ret): ten portfolios on each of size, value, momentum, volatility, gross profitability and asset growth."""
+    m = monthly(spark, root)
     w = along("asset_id", "date")
+    price = signals_of(m, {"size": -F.log(positive(F.col("market_equity"))), "momentum": strict_compound("ret", w, 11, 2), "low_vol": -rolling_std("ret", w, -11, 0, 8)}, 7)
+    a = monthly_accounts(spark, root, ["atq"], True, ["gross_profit_q_ttm", "atq", "yoy_atq"])
+    ratio = signals_of(a, {"gross_profit": F.expr(RATIOS["f12_gross_profit"][3]), "asset_growth": F.expr(RATIOS["f15_asset_growth"][3])}, 6)
+    value = in_sample(june_formation(spark, root).select(F.lit("value").alias("factor"), F.col("rebalance_date").alias("date"), "asset_id", r("bm", 7, "exposure")))
+    returns = m.select("date", "asset_id", "ret", "market_equity")
+    return bucket_returns(price.unionByName(ratio), returns).unionByName(bucket_returns(value, returns)).where("portfolio <> 'HL'")
+
+
+@query("f36_test_assets", f"WITH {accounts_sql(['gross_profit_q_ttm', 'atq', 'book_equity'], ['atq'])}, {_BEQ}, {JUNE}, {', '.join(a for a, _ in _DEC)}, {_WM} {' UNION ALL '.join(b for _, b in _DEC)}")
+def f36(spark: SparkSession, root: str) -> DataFrame:
+    """Ten portfolios on each of six characteristics."""
+    return test_assets(spark, root).select("date", F.concat_ws(":", "factor", "portfolio").alias("portfolio"), r("ret", 7))
+
+
+_FS_PAIR = "sum(CASE WHEN f_score >= 8 THEN ret END) / count(CASE WHEN f_score >= 8 THEN ret END) - sum(CASE WHEN f_score <= 1 THEN ret END) / count(CASE WHEN f_score <= 1 THEN ret END)"
+
+
+def f_score_returns(spark: SparkSession, root: str, high: int = 8, low: int = 1) -> DataFrame:
+    """(date, ret): scores of `high` and more against `low` and less among the value stocks of June, equal weights, July to June."""
+    g = f22(spark, root).select(F.year("date").cast("long").alias("formation_year"), "asset_id", "f_score")
+    j = lagged(spark, root).where("ret is not null").join(g, ["formation_year", "asset_id"])
+    mean = lambda ok: F.avg(F.when(ok, F.col("ret")))
+    return j.groupBy("date").agg((mean(F.col("f_score") >= high) - mean(F.col("f_score") <= low)).alias("ret")).where("ret is not null")
+
+
+@query("f22_f_score_returns", f"{ORACLE['f22_f_score'].replace('SELECT rebalance_date AS date, asset_id, CAST', ', fs AS (SELECT rebalance_date AS date, asset_id, CAST')}), {_LAG} SELECT lm.date, {rs('avg(CASE WHEN f_score >= 5 THEN ret END) - avg(CASE WHEN f_score <= 4 THEN ret END)', 7)} AS ret FROM lm JOIN fs ON year(fs.date) = lm.fyr AND fs.asset_id = lm.asset_id WHERE ret IS NOT NULL GROUP BY lm.date HAVING count(CASE WHEN f_score >= 5 THEN 1 END) > 0 AND count(CASE WHEN f_score <= 4 THEN 1 END) > 0")
+def f22_returns(spark: SparkSession, root: str) -> DataFrame:
+    """Returns of high against low scores (F22), split at five, so that small tables have both sides."""
+    return f_score_returns(spark, root, 5, 4).select("date", r("ret", 7))
+
+
+def monthly_signals(spark: SparkSession, root: str) -> DataFrame:
+    """(factor, date, asset_id, exposure) of every registered signal that is formed monthly."""
     m = monthly(spark, root)
-    signals = {"size": -F.log(positive(F.col("market_equity"))), "momentum": strict_compound("ret", w, 11, 2), "low_vol": -rolling_std("ret", w, -11, 0, 8)}
-    parts = [decile_spread(spark, root, exposure(m, x)).where("portfolio <> 'HL'").select("date", F.concat(F.lit(f"{n}:"), F.col("portfolio")).alias("portfolio"), r("ret", 7)) for n, x in signals.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    w = along("asset_id", "date")
+    price = signals_of(
+        m,
+        {
+            "size": -F.log(positive(F.col("market_equity"))),
+            "momentum": strict_compound("ret", w, 11, 2),
+            "reversal": -F.col("ret"),
+            "long_reversal": -rolling_compound("ret", w, 48, 13, 36),
+            "intermediate_momentum": rolling_compound("ret", w, 6, 7, 5),
+            "low_volatility": -rolling_std("ret", w, -11, 0, 8),
+            "illiquidity": F.abs("ret") * 1e6 / positive(F.col("dollar_volume")),
+        },
+        7,
+    )
+    cols, yoy = sorted({c for _, cs, _, _ in RATIOS.values() for c in cs}), sorted({c for _, _, ys, _ in RATIOS.values() for c in ys})
+    ratio = signals_of(monthly_accounts(spark, root, yoy, True, [*cols, *[f"yoy_{c}" for c in yoy]]), {n.split("_", 1)[1]: F.expr(x) for n, (_, _, _, x) in RATIOS.items()}, 6)
+    out = price.unionByName(ratio)
+    for name, f in {"low_max": f09, "sue": f21, "low_issuance": t20, "residual_momentum": f06}.items():
+        out = out.unionByName(f(spark, root).select(F.lit(name).alias("factor"), "date", "asset_id", "exposure"))
     return out
 
 
+def traded_series(spark: SparkSession, root: str) -> DataFrame:
+    """(date, factor, ret) of the factors that bring returns of their own: three and q factors, earnings drift, profitability, investment, operating assets, score, beta."""
+    tall = lambda d, names: d.unpivot(["date"], names, "factor", "ret")
+    out = tall(three_factors(spark, root).select("date", "mkt_rf", "smb", "hml"), ["mkt_rf", "smb", "hml"]).unionByName(tall(q_factors(spark, root), ["r_me", "r_ia", "r_roe"]))
+    for name, f in {"pead": f27, "f_score": f_score_returns, **{n.split("_", 1)[1]: QUERIES[n] for n in _ANNUAL}}.items():
+        out = out.unionByName(f(spark, root).select("date", F.lit(name).alias("factor"), "ret"))
+    return out.unionByName(low_beta(spark, root).select("date", F.lit("low_beta").alias("factor"), F.col("bab").alias("ret")))
+
+
 def factor_universe(spark: SparkSession, root: str, least: int = 120) -> DataFrame:
-    """(date, factor, ret): the monthly series of all traded factors with at least `least` months."""
-    ff = three_factors(spark, root).select("date", F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("ret")) for n in ("mkt_rf", "smb", "hml")])).alias("x")).select("date", "x.*")
-    qf = q_factors(spark, root).select("date", F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("ret")) for n in ("r_me", "r_ia", "r_roe")])).alias("x")).select("date", "x.*")
-    m = monthly(spark, root)
-    w = along("asset_id", "date")
-    own = [decile_spread(spark, root, exposure(m, x), 5).where("portfolio = 'HL'").select("date", F.lit(n).alias("factor"), "ret") for n, x in {"momentum": strict_compound("ret", w, 11, 2), "reversal": -F.col("ret"), "low_vol": -rolling_std("ret", w, -11, 0, 8)}.items()]
-    out = ff.unionByName(qf)
-    for x in own:
-        out = out.unionByName(x)
-    out = materialize(out.where("ret is not null"))
+    """(date, factor, ret): one monthly series of every registered factor with at least `least` months.
+
+    Factors with returns of their own come as these; all other signals as the spread of their deciles, in one book per rhythm:
+    monthly, June, and weekly (held over days and compounded to months).
+    """
+    m = monthly(spark, root).select("date", "asset_id", "ret", "market_equity")
+    value = june_formation(spark, root).select(F.lit("value").alias("factor"), F.col("rebalance_date").alias("date"), "asset_id", F.col("bm").alias("exposure"))
+    own = bucket_returns(monthly_signals(spark, root), m).unionByName(bucket_returns(value, m))
+    days = daily(spark, root).select("date", "asset_id", "ret", "market_equity")
+    weekly = f24(spark, root).unpivot(["date", "asset_id"], ["low_rsk", "rkt", "low_rsj"], "factor", "exposure").where("exposure is not null")
+    week = bucket_returns(weekly, days).groupBy("factor", "portfolio", F.last_day("date").alias("date")).agg((F.product(F.col("ret") + 1) - 1).alias("ret"))
+    spreads = own.unionByName(week.select(*own.columns)).where("portfolio = 'HL'").select("date", "factor", "ret")
+    out = materialize(traded_series(spark, root).unionByName(spreads).where("ret is not null"))
     long_enough = out.groupBy("factor").count().where(F.col("count") >= least).select("factor")
-    return out.join(F.broadcast(long_enough), "factor", "left_semi")
+    return out.join(F.broadcast(long_enough), "factor", "left_semi")  # one row per factor
 
 
 @query("f35_factor_universe")
 def f35(spark: SparkSession, root: str) -> DataFrame:
-    """All traded factors in one table."""
+    """Every registered factor in one table."""
     return factor_universe(spark, root).select("date", "factor", r("ret", 7))
 
 
@@ -503,30 +602,45 @@ def a22(spark: SparkSession, root: str) -> DataFrame:
     return eigenrisk_concentration(risk_parity(factor_universe(spark, root))[2]).select("strategy", r("mean", 5), r("median", 5), r("max", 5))
 
 
-@query("m12_bayesian_sdf")
-def m12(spark: SparkSession, root: str) -> DataFrame:
-    """Inclusion probabilities of the traded factors in a Bayesian discount factor.
+def sdf_posterior(spark: SparkSession, root: str, draws: int = 3000, burn: int = 1000):  # noqa: ANN201
+    """(factor names, test assets, posterior) of all traded factors against the industry portfolios; None where the tables are too short.
 
-    Series of months are collected: factors and test assets are a few dozen columns by construction, whatever the panel.
+    Series of months are collected: factors and test assets are a few dozen columns by construction, whatever the panel. Industries with a
+    month missing among the factors' common months are left out.
     """
-    import numpy as np
-
     from panelweave.operators.allocation import prior_scale, spike_and_slab
 
-    fs = factor_universe(spark, root).toPandas().pivot(index="date", columns="factor", values="ret")
-    rs_ = f36(spark, root).toPandas().pivot(index="date", columns="portfolio", values="ret")
-    both = fs.join(rs_, how="inner").dropna()
-    f, a = both[fs.columns].to_numpy(), both[rs_.columns].to_numpy()
-    names = list(fs.columns)
-    schema = "factor string, inclusion double, price double, months long"
-    if len(both) < f.shape[1] + a.shape[1] + 12 or a.shape[1] <= f.shape[1]:
-        return spark.createDataFrame([], schema)
+    f = factor_universe(spark, root).toPandas().pivot(index="date", columns="factor", values="ret").dropna()
+    a = f34(spark, root).toPandas().pivot(index="date", columns="industry", values="ret").reindex(f.index).dropna(axis=1)
+    if a.shape[1] <= f.shape[1] or len(f) <= f.shape[1] + a.shape[1] + 12:
+        return None
+    x, y = f.to_numpy(), a.to_numpy()
     try:
-        psi = prior_scale(f, a)
+        psi = prior_scale(x, y)
     except ValueError:
         psi = 1.0
-    p = spike_and_slab(f, a, draws=1500, burn=500, psi0=psi)
-    return spark.createDataFrame([(n, float(np.round(i, 6)), float(np.round(x, 6)), len(both)) for n, i, x in zip(names, p.inclusion.mean(axis=0), p.price.mean(axis=0))], schema)
+    return list(f.columns), y, spike_and_slab(x, y, draws, burn, psi)
+
+
+@query("m12_bayesian_sdf")
+def m12(spark: SparkSession, root: str) -> DataFrame:
+    """Inclusion probabilities and prices of the traded factors in a Bayesian discount factor."""
+    schema = "factor string, inclusion double, price double, months long"
+    got = sdf_posterior(spark, root)
+    if got is None:
+        return spark.createDataFrame([], schema)
+    names, assets, p = got
+    return spark.createDataFrame([(n, round(float(i), 6), round(float(x), 6), len(assets)) for n, i, x in zip(names, p.inclusion.mean(axis=0), p.price.mean(axis=0))], schema)
+
+
+@query("v20_pricing_diagnostics")
+def v20(spark: SparkSession, root: str) -> DataFrame:
+    """Pricing errors of the averaged discount factor, model size and the difference of the chain's halves."""
+    from panelweave.operators.allocation import pricing_diagnostics
+
+    got = sdf_posterior(spark, root)
+    rows = [] if got is None else [(k, round(v, 6)) for k, v in pricing_diagnostics(got[1], got[2]).items()]
+    return spark.createDataFrame(rows, "name string, value double")
 
 
 @query("e15_group_returns", f"WITH {_FF3} SELECT date, grp, {rs('ret', 7)} AS ret FROM gr")

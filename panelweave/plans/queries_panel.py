@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,13 +17,64 @@ from panelweave.operators.realized import tick_filter
 from panelweave.operators.time_series import trailing_year, year_to_quarter
 from panelweave.plans.panels import daily, fiscal_years, is_financial, june_accounts, june_formation, link, links, monthly, monthly_accounts, public_quarters, quarters
 from panelweave.plans.registry import D, L, M, fin, q_sql, query, r, rs
-from panelweave.session import table
+from panelweave.session import ensure_checkpoint_dir, table
+from panelweave.sources.readers import read_code_ranges, read_csv, read_factor_text, read_glob, write_by_year
 
 
-@query("s01_scan", "SELECT asset_id, date, ret FROM crsp_monthly WHERE date BETWEEN DATE '2015-01-01' AND DATE '2019-12-31'")
+@query("s01_scan", f"SELECT asset_id, date, {fin('ret')} AS ret FROM crsp_monthly WHERE date BETWEEN DATE '2015-01-01' AND DATE '2019-12-31'")
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Columns and dates reach the scan."""
-    return table(spark, root, "crsp_monthly").where("date between date'2015-01-01' and date'2019-12-31'").select("asset_id", "date", "ret")
+    return table(spark, root, "crsp_monthly").where("date between date'2015-01-01' and date'2019-12-31'").select("asset_id", "date", finite("ret").alias("ret"))
+
+
+@query("s10_date_set", "SELECT asset_id, date, market_equity_security FROM crsp_monthly WHERE date IN (SELECT last_day(observation_date) FROM dgs1mo WHERE dgs1mo > 2 AND isfinite(dgs1mo)) AND isfinite(market_equity_security)")
+def date_set(spark: SparkSession, root: str) -> DataFrame:
+    """Rows whose date is in a set that another table gives (S10): a semi join on one row per month, by which the scan can be pruned."""
+    days = table(spark, root, "dgs1mo").where("dgs1mo > 2 and not isnan(dgs1mo) and dgs1mo < double('infinity')").select(F.last_day("observation_date").alias("date")).distinct()
+    m = table(spark, root, "crsp_monthly").select("asset_id", "date", finite("market_equity_security").alias("market_equity_security")).where("market_equity_security is not null")
+    return m.join(F.broadcast(days), "date", "left_semi").select("asset_id", "date", "market_equity_security")  # one row per month
+
+
+@query("s11_many_files", "SELECT CAST(year(CAST(date AS DATE)) AS BIGINT) AS year, count(*) AS n, count(DISTINCT asset_id) AS n_assets FROM crsp_daily GROUP BY ALL")
+def many_files(spark: SparkSession, root: str) -> DataFrame:
+    """A table written as files by year, read back through a pattern of paths and put together by column name."""
+    d = table(spark, root, "crsp_daily").select("asset_id", F.col("date").cast("date").alias("date"))
+    folder = write_by_year(d, "date", f"{ensure_checkpoint_dir(spark)}/by-year-{uuid.uuid4().hex}")
+    out = read_glob(spark, f"{folder}/year=*/*.parquet", folder)
+    return out.groupBy("year", "asset_id").agg(F.count(F.lit(1)).alias("c")).groupBy(F.col("year").cast("long").alias("year")).agg(F.sum("c").alias("n"), F.count("asset_id").alias("n_assets"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s07_csv_scan", f"SELECT asset_id, date, {fin('ret')} AS ret FROM crsp_monthly WHERE {fin('market_equity')} > 1000000")
+def csv_scan(spark: SparkSession, root: str) -> DataFrame:
+    """A table written as CSV and scanned again: columns by name, unreadable numbers null, filtered at the scan."""
+    folder = _scratch(spark, "csv")
+    table(spark, root, "crsp_monthly").select("date", "asset_id", "market_equity", F.coalesce(F.col("ret").cast("string"), F.lit("C")).alias("ret"), "siccd").write.option("header", "true").csv(folder)
+    out = read_csv(spark, folder, "asset_id long, date date, ret double, market_equity double", "not isnan(market_equity) and market_equity > 1000000")
+    return out.select("asset_id", "date", finite("ret").alias("ret"))
+
+
+@query("s12_factor_text", f"SELECT last_day(observation_date) AS date, {rs('avg(dgs1mo) / 100')} AS rate, count(dgs1mo) / 100.0 AS days FROM dgs1mo WHERE isfinite(dgs1mo) GROUP BY ALL")
+def factor_text(spark: SparkSession, root: str) -> DataFrame:
+    """Monthly lines of a text with heads and notes, read back as decimals."""
+    folder = _scratch(spark, "text")
+    m = table(spark, root, "dgs1mo").where("dgs1mo is not null and not isnan(dgs1mo)").groupBy(F.date_format("observation_date", "yyyyMM").alias("m")).agg(F.avg("dgs1mo").alias("a"), F.count("dgs1mo").alias("n"))
+    lines = m.select(F.concat_ws(",", F.concat(F.lit("  "), F.col("m")), F.format_string("  %.12f", "a"), F.col("n").cast("string")).alias("value"))
+    notes = spark.createDataFrame([("This file was made by hand",), (",rate,days",), (" Annual Factors: January-December",), ("  2019,   2.1, 250",)], "value string")
+    notes.unionByName(lines).write.text(folder)
+    return read_factor_text(spark, folder, ["rate", "days"]).select("date", r("rate"), "days")
+
+
+@query("s13_code_ranges", "SELECT * FROM (VALUES (100, 199, '01_Agric'), (2048, 2048, '01_Agric'), (2000, 2046, '02_Food'), (2070, 2079, '02_Food')) t(sic_low, sic_high, industry)")
+def code_ranges(spark: SparkSession, root: str) -> DataFrame:
+    """Numbered heads and code ranges of a text."""
+    folder = _scratch(spark, "ranges")
+    text = " 1 Agric  Agriculture\n          0100-0199 Agric production - crops\n          2048-2048 Prepared feeds\n\n 2 Food   Food Products\n          2000-2046 Food\n          2070-2079 Fats and oils"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+    return read_code_ranges(spark, folder, 2).select("sic_low", "sic_high", "industry")
 
 
 @query("s08_daily_clean", f"WITH {D} SELECT asset_id, date, symbol, ret, price, market_equity, volume FROM d")
@@ -78,6 +131,35 @@ def book_equity_parts(spark: SparkSession, root: str) -> DataFrame:
     return equity_of(quarters(spark, root)).select("gvkey", "datadate", r("be", 6))
 
 
+def common_stock(d: DataFrame, type_: str, subtype: str, us: str, status: str, conditional: str, exchange: str) -> DataFrame:
+    """Common stock of US companies in active, regular trading on one of the three exchanges (fixed values); a missing code is none."""
+    wanted = {type_: ["EQTY"], subtype: ["COM"], us: ["Y"], status: ["A"], conditional: ["RW"], exchange: ["N", "A", "Q"]}
+    for c, values in wanted.items():
+        d = d.where(F.col(c).isin(*values))
+    return d
+
+
+@query("proj09_common_stock", f"WITH {D} SELECT asset_id, date FROM d WHERE asset_id % 10 < 8 AND asset_id % 7 <> 0 AND exchange_code IN (1, 2, 3)")
+def p09(spark: SparkSession, root: str) -> DataFrame:
+    """The common-stock predicate on security codes that stand in for those the tables lack."""
+    pick = lambda good, bad, ok: F.when(ok, good).otherwise(bad)
+    codes = {"kind": F.lit("EQTY"), "sub": pick("COM", "ADR", F.col("asset_id") % 10 < 8), "us": pick("Y", None, F.col("asset_id") % 7 != 0), "state": F.lit("A"), "cond": F.lit("RW")}
+    at = F.when(F.col("exchange_code") == 1, "N").when(F.col("exchange_code") == 2, "A").when(F.col("exchange_code") == 3, "Q")
+    return common_stock(daily(spark, root).withColumns({**codes, "at": at}), "kind", "sub", "us", "state", "cond", "at").select("asset_id", "date")
+
+
+def market_equity(price: Column, shares: Column) -> Column:
+    """Price without its sign times shares; null if either is missing."""
+    return F.abs(price) * shares
+
+
+@query("proj11_market_equity", f"WITH q0 AS (SELECT DISTINCT gvkey, datadate, available_date, {fin('cshoq')} AS sh, {fin('ajexq')} AS p FROM compustat_quarterly) SELECT gvkey, datadate, available_date, {rs('max(abs(-p) * sh)', 6)} AS me FROM q0 GROUP BY ALL")
+def p11(spark: SparkSession, root: str) -> DataFrame:
+    """Market equity from a price that may be marked by a minus sign, and shares."""
+    q = table(spark, root, "compustat_quarterly").select("gvkey", "datadate", "available_date", market_equity(-finite("ajexq"), finite("cshoq")).alias("me"))
+    return q.groupBy("gvkey", "datadate", "available_date").agg(F.max("me").alias("me")).select("gvkey", "datadate", "available_date", r("me", 6))
+
+
 _BARS = "b AS (SELECT asset_id, date_key, session_minute, arg_max(close, (coalesce(loaded_at, TIMESTAMP '1900-01-01'), close)) AS close FROM minute_bars WHERE session_minute BETWEEN 0 AND 389 AND close > 0 AND NOT isnan(close) GROUP BY ALL)"
 
 
@@ -169,6 +251,19 @@ def m08(spark: SparkSession, root: str) -> DataFrame:
     return q.select("gvkey", "datadate", r("cx", 4, "capx_q"), r("ttm", 4, "saleq_ttm"), day.alias("public_from"))
 
 
+_POLICY = f"o AS (SELECT observation_date AS date, max({fin('dgs1mo')}) AS v FROM dgs1mo GROUP BY ALL), u AS (SELECT date, ceil(v * 4) / 4 AS upper, ceil(v * 4) / 4 - 0.25::DOUBLE AS lower FROM o WHERE v IS NOT NULL)"
+
+
+@query("m13_policy_panel", f"WITH {_POLICY}, c AS (SELECT *, upper - lag(upper) OVER (ORDER BY date) AS upper_change, lower - lag(lower) OVER (ORDER BY date) AS lower_change FROM u) SELECT date, upper, lower, (upper + lower) / 2 AS midpoint, coalesce(upper_change, 0) AS upper_change, coalesce(lower_change <> 0 OR upper_change <> 0, FALSE) AS changed FROM c")
+def m13_panel(spark: SparkSession, root: str) -> DataFrame:
+    """Target range, midpoint and changes by day (M13); the quarter-point band around the rate stands for the range, of which there is no table."""
+    o = table(spark, root, "dgs1mo").groupBy(F.col("observation_date").alias("date")).agg(F.max(finite("dgs1mo")).alias("v")).where("v is not null")
+    u = o.select("date", (F.ceil(F.col("v") * 4) / 4).alias("upper")).withColumn("lower", F.col("upper") - 0.25)
+    w = W.orderBy("date")  # one row per calendar day
+    c = u.withColumns({"upper_change": F.coalesce(F.col("upper") - F.lag("upper").over(w), F.lit(0.0)), "_l": F.coalesce(F.col("lower") - F.lag("lower").over(w), F.lit(0.0))})
+    return c.select("date", "upper", "lower", ((F.col("upper") + F.col("lower")) / 2).alias("midpoint"), "upper_change", ((F.col("upper_change") != 0) | (F.col("_l") != 0)).alias("changed"))
+
+
 @query(
     "m13_rate_changes",
     "WITH o AS (SELECT observation_date AS d, max(CASE WHEN isfinite(dgs1mo) THEN dgs1mo END) AS v FROM dgs1mo GROUP BY ALL), p AS (SELECT d, v, lag(v) OVER (ORDER BY d) AS b FROM o WHERE v IS NOT NULL) SELECT d AS observation_date, round((v - b) * 100, 4) + 0.0 AS change_bps, CASE WHEN v > b THEN 'up' ELSE 'down' END AS direction FROM p WHERE v <> b",
@@ -183,7 +278,7 @@ def m13(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "j07_event_days",
     f"""WITH {D}, cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS p FROM (SELECT DISTINCT date FROM d)), {L}, {q_sql(['atq'])}, {_LINKED},
-e AS (SELECT lk.asset_id, lk.datadate, lk.rdq, (SELECT min(p) FROM cal WHERE cal.date >= lk.rdq) AS p FROM lk WHERE rdq IS NOT NULL AND rdq >= (SELECT min(date) - 40 FROM cal))
+e AS (SELECT lk.asset_id, lk.datadate, lk.rdq, (SELECT min(p) FROM cal WHERE cal.date >= lk.rdq) AS p FROM lk WHERE rdq IS NOT NULL)
 SELECT e.asset_id, e.datadate, e.rdq, CAST(o AS BIGINT) AS day_offset, cal.date FROM e, (SELECT unnest([-2, -1, 0, 1]) AS o) JOIN cal ON cal.p = e.p + o""",
 )
 def j07(spark: SparkSession, root: str) -> DataFrame:
@@ -217,7 +312,8 @@ def j06(spark: SparkSession, root: str) -> DataFrame:
     return holding_periods(m.where("month(date) in (3, 6, 9, 12)").select(F.col("date").alias("rebalance_date")), m).select("date", "rebalance_date", "next_rebalance", "is_first")
 
 
-_RANGES = [(0, 999, "01_Agric"), (1000, 1499, "02_Mines"), (1500, 1799, "03_Constr"), (2000, 3999, "04_Manuf"), (2830, 2836, "05_Drugs"), (4000, 4999, "06_Utils"), (5000, 5999, "07_Trade"), (6000, 6999, "08_Money"), (7000, 8999, "09_Services")]
+#: Stand-ins for the 49 published industries, made by rule: two major groups of the classification each, and one that overrules a part.
+_RANGES = [(200 * i, 200 * i + 199, f"{i + 1:02d}_Major{2 * i:02d}") for i in range(50)] + [(2830, 2836, "51_Drugs")]
 
 
 @query("j11_industries", f"WITH {M}, rg(lo, hi, industry, o) AS (VALUES {', '.join(f'({a}, {b}, {c!r}, {i})' for i, (a, b, c) in enumerate(_RANGES))}) SELECT asset_id, date, arg_max(industry, o) AS industry FROM m JOIN rg ON CAST(trunc(siccd) AS BIGINT) BETWEEN lo AND hi GROUP BY ALL")

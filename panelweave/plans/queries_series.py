@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.dates import as_date, is_tuesday, session_minute
 from panelweave.operators.asof import calendar
 from panelweave.operators.factor import Backtest, BucketFactor, Factor
-from panelweave.operators.portfolio import book_from_holdings, forward_returns, holdings_diagnostics, leg_weights, simulate_drift, simulate_fixed, simulate_layers, turnover
+from panelweave.operators.portfolio import assert_layers, book_from_holdings, layer_spread, names, next_period_returns, weights_at, forward_returns, holdings_diagnostics, leg_weights, simulate_drift, simulate_fixed, simulate_layers, turnover
 from panelweave.operators.realized import realized_from_bars, realized_from_grid, trailing_mean
 from panelweave.operators.regular_grid import gauge_grid
 from panelweave.operators.statistics import compare_series, fama_macbeth, ic_summary, information_coefficient, newey_west, performance, univariate_fit
@@ -17,8 +17,9 @@ from panelweave.operators.time_series import along, rolling_compound, rolling_co
 from panelweave.plans.market_problems import CLOSE_MINUTE, SLOT_MINUTES, SLOTS
 from panelweave.plans.market_problems import ORACLE as PROBLEMS
 from panelweave.plans.panels import daily, monthly
+from panelweave.operators.cross_section import share
 from panelweave.plans.queries_cross import X, _W, decile_weights, log_size
-from panelweave.plans.registry import D, M, query, r, rs
+from panelweave.plans.registry import D, M, ORACLE, query, r, rs
 from panelweave.session import ensure_checkpoint_dir, materialize, table
 from panelweave.sources.store import load_factor, save_factor
 
@@ -198,6 +199,48 @@ def e12(spark: SparkSession, root: str) -> DataFrame:
     return forward_returns(_formed(spark, root).select("rebalance_date"), _rets(spark, root)).select("rebalance_date", "asset_id", r("forward", 7))
 
 
+@query("e14_next_period", f"WITH {_BOOK}, fr AS (SELECT rebalance_date, min(date) AS date FROM pd GROUP BY ALL) SELECT rebalance_date, asset_id, ret AS forward FROM fr JOIN m USING (date) WHERE ret IS NOT NULL")
+def e14(spark: SparkSession, root: str) -> DataFrame:
+    """Return of the first date after each signal."""
+    return next_period_returns(_formed(spark, root).select("rebalance_date"), _rets(spark, root))
+
+
+@query("e04_layer_spread", f"WITH {_BOOK}, ly AS (SELECT pd.date, portfolio, sum(m.market_equity * coalesce(m.ret, 0)) / sum(m.market_equity) AS ret FROM bk JOIN pd USING (rebalance_date) JOIN m ON m.date = pd.date AND m.asset_id = bk.asset_id WHERE m.market_equity > 0 AND portfolio <> 'HL' GROUP BY ALL) SELECT date, CASE WHEN count(*) FILTER (portfolio IN ('D01', 'D02', 'D09', 'D10')) = 4 THEN {rs("sum(CASE WHEN portfolio IN ('D09', 'D10') THEN ret / 2 WHEN portfolio IN ('D01', 'D02') THEN -ret / 2 ELSE 0 END)", 7)} ELSE 0 END AS ret FROM ly GROUP BY date")
+def e04(spark: SparkSession, root: str) -> DataFrame:
+    """A spread over layers that are re-weighted every date, nil where one of its layers is empty; each asset in one layer."""
+    members = assert_layers(_formed(spark, root).where("portfolio <> 'HL'").select("rebalance_date", "portfolio", "asset_id"))
+    layers = simulate_layers(members, _rets(spark, root), "market_equity")
+    return layer_spread(layers, {"D01": -0.5, "D02": -0.5, "D09": 0.5, "D10": 0.5}, "HL").select("date", r("ret", 7))
+
+
+@query("e20_book", f"WITH {_BOOK} SELECT portfolio, min(rebalance_date) AS first_rebalance, max(rebalance_date) AS last_rebalance, count(DISTINCT rebalance_date) AS n_rebalances FROM bk GROUP BY portfolio")
+def e20(spark: SparkSession, root: str) -> DataFrame:
+    """Names and rebalances of a book."""
+    return names(_formed(spark, root))
+
+
+@query("e20_weights_at", f"WITH {_BOOK} SELECT portfolio, asset_id, {rs('weight')} AS weight FROM bk WHERE rebalance_date = DATE '2015-06-30'")
+def e20_at(spark: SparkSession, root: str) -> DataFrame:
+    """The weights of one rebalance."""
+    return weights_at(_formed(spark, root), "2015-06-30").select("portfolio", "asset_id", r("weight"))
+
+
+@query("x26_sorted_legs", f"WITH {X}, {_W.split(', h AS')[0]}, g AS (SELECT *, CASE WHEN code >= 7 THEN 1 WHEN code <= 1 THEN -1 END AS side FROM c WHERE code IS NOT NULL AND market_equity > 0) SELECT date, asset_id, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS leg, {rs('side * market_equity / sum(market_equity) OVER (PARTITION BY date, side)')} AS weight FROM g WHERE side IS NOT NULL")
+def x26(spark: SparkSession, root: str) -> DataFrame:
+    """Legs of several groups, each weighted over all of its groups together."""
+    d = log_size(spark, root).where("x is not null").select("date", "asset_id", F.col("x").alias("exposure"), "market_equity")
+    f = BucketFactor("size", limits=None, long_codes=(7, 8, 9), short_codes=(0, 1)).build(d)
+    return f.holdings.where("portfolio = 'HL'").select(F.col("rebalance_date").alias("date"), "asset_id", "leg", r("weight"))
+
+
+@query("x32_quintile_spread", f"WITH {X}, {_W.replace('>= 10 THEN', '>= 5 THEN').replace(str([share(j, 10) for j in range(1, 10)]), str([share(j, 5) for j in range(1, 5)]))} SELECT date, asset_id, 'G' || CAST(code + 1 AS VARCHAR) AS grp, {rs('CASE WHEN code = 0 THEN w WHEN code = 4 THEN -w END')} AS weight FROM h WHERE code IN (0, 4)")
+def x32(spark: SparkSession, root: str) -> DataFrame:
+    """Quintiles of a signal that is bought low and sold high, with their labels."""
+    d = log_size(spark, root).where("x is not null").select("date", "asset_id", F.col("x").alias("exposure"), "market_equity")
+    f = BucketFactor("size", buckets=5, limits=None, top_is_long=False, label="G").build(d)
+    return f.holdings.where("portfolio = 'HL'").select(F.col("rebalance_date").alias("date"), "asset_id", F.when(F.col("leg") == "long", "G1").otherwise("G5").alias("grp"), r("weight"))
+
+
 @query("a11_diagnostics", f"WITH {_BOOK} SELECT rebalance_date, portfolio, count(DISTINCT asset_id) AS n_assets, {rs('sum(abs(weight))')} AS gross, {rs('sum(weight)')} AS net FROM bk GROUP BY ALL")
 def a11(spark: SparkSession, root: str) -> DataFrame:
     """Names, gross and net exposure of each book."""
@@ -262,6 +305,13 @@ def v05(spark: SparkSession, root: str) -> DataFrame:
     return newey_west(ic, ["_s"], "date", "ic").select("n", r("mean"), r("se"), r("t", 5))
 
 
+@query("v05_newey_west_36", f"WITH {_IC}, {nw_sql('ic', '0', 'ic').replace('CAST(floor(4 * pow(n / 100.0::DOUBLE, 2.0::DOUBLE / 9)) AS INTEGER)', '36')} SELECT n, {rs('mean')} AS mean, {rs('sqrt(q)')} AS se, {rs('mean / sqrt(q)', 5)} AS t FROM nw WHERE q > 0")
+def v05_36(spark: SparkSession, root: str) -> DataFrame:
+    """The same with 36 lags."""
+    ic = information_coefficient(pairs(spark, root), ["date"], "x", "fwd").withColumn("_s", F.lit(0))
+    return newey_west(ic, ["_s"], "date", "ic", 36).select("n", r("mean"), r("se"), r("t", 5))
+
+
 @query("v06_ic_summary", f"WITH {_IC}, {nw_sql('ic', '0', 'ic')}, a AS (SELECT avg(ic) AS m, stddev_samp(ic) AS s, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS h FROM ic WHERE ic IS NOT NULL) SELECT n, {rs('m', 7)} AS mean, {rs('s', 7)} AS std, {rs('m / s', 6)} AS ir, {rs('h', 6)} AS hit_rate, {rs('mean / sqrt(q)', 5)} AS t_nw FROM nw, a")
 def v06(spark: SparkSession, root: str) -> DataFrame:
     """Summary of an IC series."""
@@ -386,6 +436,63 @@ def v16(spark: SparkSession, root: str) -> DataFrame:
     return s.select("portfolio", "n", r("ann_return", 6), r("ann_vol", 6), r("t_nw", 4), r("max_drawdown", 5))
 
 
+def _size_factor(spark: SparkSession, root: str) -> tuple[Factor, Backtest]:
+    d = log_size(spark, root).where("x is not null").select("date", "asset_id", F.col("x").alias("exposure"), "market_equity")
+    f = BucketFactor("size", limits=None).build(d)
+    return Factor(f.name, materialize(f.holdings), f.meta), Backtest(monthly(spark, root).select("date", "asset_id", "ret"))
+
+
+_TURN = f"{_FULL}, n AS (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) AS n FROM rb), p AS (SELECT n, portfolio, asset_id, weight FROM bk JOIN n USING (rebalance_date)), ch AS (SELECT coalesce(a.n, b.n + 1) AS n, coalesce(a.portfolio, b.portfolio) AS portfolio, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS w FROM p a FULL JOIN p b ON b.n + 1 = a.n AND b.portfolio = a.portfolio AND b.asset_id = a.asset_id), tn AS (SELECT portfolio AS k, avg(t) AS t FROM (SELECT n, portfolio, sum(abs(w)) / 2 AS t FROM ch JOIN n USING (n) GROUP BY ALL) GROUP BY ALL)"
+
+
+@query("v12_with_turnover", f"WITH {_TURN}, {_SIM}, {nw_sql('sm', 'portfolio', 'ret')}, {_PERF} SELECT k AS portfolio, n, {rs('ar', 6)} AS ann_return, {rs('t', 6)} AS avg_turnover FROM nw JOIN pf USING (k) JOIN tn USING (k)")
+def v12(spark: SparkSession, root: str) -> DataFrame:
+    """The summary with its turnover column."""
+    f, b = _size_factor(spark, root)
+    return b.summary(f).select("portfolio", "n", r("ann_return", 6), r("avg_turnover", 6))
+
+
+@query("v22_by_year", f"WITH {_FULL}, {_SIM} SELECT portfolio, CAST(year(date) AS BIGINT) AS year, {rs('product(1 + ret) - 1', 6)} AS ret, count(*) AS n FROM sm GROUP BY ALL")
+def v22_year(spark: SparkSession, root: str) -> DataFrame:
+    """Calendar years of a built factor."""
+    f, b = _size_factor(spark, root)
+    return b.by_year(f).select("portfolio", "year", r("ret", 6), "n")
+
+
+@query("v22_newey_west", f"WITH {_FULL}, {_SIM}, {nw_sql('sm', 'portfolio', 'ret')} SELECT k AS portfolio, n, {rs('mean', 7)} AS mean, {rs('mean / sqrt(q)', 4)} AS t FROM nw WHERE q > 0")
+def v22_nw(spark: SparkSession, root: str) -> DataFrame:
+    """Mean returns of a built factor with their errors."""
+    f, b = _size_factor(spark, root)
+    return b.newey_west(f).select("portfolio", "n", r("mean", 7), r("t", 4))
+
+
+@query("v22_ic_decay", ORACLE["v07_ic_decay"])
+def v22_decay(spark: SparkSession, root: str) -> DataFrame:
+    """Decay of an exposure's IC."""
+    b = Backtest(monthly(spark, root).select("date", "asset_id", "ret"))
+    x = log_size(spark, root).select("date", "asset_id", F.col("x").alias("exposure"))
+    return b.ic_decay(x, H).select("h", r("mean_ic", 6), "n")
+
+
+@query("v13_series_ols", f"WITH {M}, mk AS (SELECT date, avg(ret) AS x, sum(ret * market_equity) / sum(CASE WHEN ret IS NOT NULL THEN market_equity END) AS y FROM m WHERE market_equity > 0 GROUP BY date), p AS (SELECT * FROM mk WHERE x IS NOT NULL AND y IS NOT NULL), f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, count(*) AS n, avg(x) AS mx, sum(x * x) AS sxx FROM p), e AS (SELECT sum(pow(y - a - b * x, 2)) / any_value(n - 2) AS s2 FROM p, f) SELECT n, {rs('a', 7)} AS alpha, {rs('b', 6)} AS beta, {rs('r2', 6)} AS r2, {rs('sqrt(s2 / (sxx - n * mx * mx))', 6)} AS se_beta FROM f, e")
+def v13(spark: SparkSession, root: str) -> DataFrame:
+    """Least squares of one series on another with classical errors."""
+    m = monthly(spark, root).where("market_equity > 0")
+    s = m.groupBy("date").agg(F.avg("ret").alias("x"), (F.sum(F.col("ret") * F.col("market_equity")) / F.sum(F.when(F.col("ret").isNotNull(), F.col("market_equity")))).alias("y"))
+    # one series of months goes to one task
+    fit = s.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(_series_fit, "n long, alpha double, beta double, r2 double, se_beta double")
+    return fit.select("n", r("alpha", 7), r("beta", 6), r("r2", 6), r("se_beta", 6))
+
+
+def _series_fit(pdf):  # noqa: ANN001, ANN202
+    import pandas as pd
+
+    from panelweave.operators.regression import series_ols
+
+    f = series_ols(pdf["y"].to_numpy(dtype=float), pdf[["x"]].to_numpy(dtype=float))
+    return pd.DataFrame([(f["n"], f["coef"][0], f["coef"][1], f["r2"], f["se"][1])], columns=["n", "alpha", "beta", "r2", "se_beta"])
+
+
 @query("s03_factor_store", f"WITH {M} SELECT date, asset_id, {rs('ln(market_equity)')} AS exposure FROM m WHERE market_equity > 0")
 def s03(spark: SparkSession, root: str) -> DataFrame:
     """A factor saved to shared storage and read back."""

@@ -21,6 +21,18 @@ def read_csv(spark: SparkSession, path: str, schema: str, where: str | None = No
     return out.where(where) if where else out
 
 
+def write_by_year(df: DataFrame, date: str, folder: str) -> str:
+    """Parquet in one folder per year; rows of a year meet before they are written, split over several tasks if there are many."""
+    df.withColumn("year", F.year(date)).repartition("year", F.pmod(F.xxhash64(date), F.lit(8))).write.mode("overwrite").partitionBy("year").parquet(folder)
+    return folder
+
+
+def read_glob(spark: SparkSession, pattern: str, base: str | None = None) -> DataFrame:
+    """All parquet files of a pattern as one table, put together by column name; base is the folder above any partition folders."""
+    r = spark.read.option("mergeSchema", "true")
+    return (r.option("basePath", base) if base else r).parquet(pattern)
+
+
 def read_nested_zip(spark: SparkSession, path: str, columns: list[str], rows: int = 50_000) -> DataFrame:
     """Rows of the first CSV in each zip, also where that zip lies in another; all columns as strings.
 

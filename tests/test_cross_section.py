@@ -20,7 +20,7 @@ def panel():
 
 
 def to_spark(spark, d):
-    return spark.createDataFrame(d.astype(object).where(d.notna(), None), "g int, id int, x double, z double, c int, y double")
+    return spark.createDataFrame(d.astype(object).where(d.notna(), None), "g int, id int, x double, z double, c int, y double" + (", k int" if "k" in d else ""))
 
 
 @pytest.mark.parametrize("n", [3, 7, 10, 11, 29, 57, 100, 271])
@@ -37,21 +37,27 @@ def test_buckets_equal_qcut(spark, n, k):
 
 def test_ranks_split_by_value_equal_plain_ranks(spark, panel):
     df = to_spark(spark, panel)
-    a = {r.id: (r["_rank"], r["_n"]) for r in ranks(df, ["g"], "x", ["id"]).collect()}
-    b = {r.id: (r["_rank"], r["_n"]) for r in ranks(df, ["g"], "x", ["id"], limit=10).collect()}
-    assert a == b
+    df = df.unionByName(spark.range(10_000, 10_400).selectExpr("*").withColumns({c: F.lit(None).cast(t) for c, t in df.dtypes if c != "id"}).withColumns({"g": F.lit(df.first().g), "x": F.lit(0.5)}).select(*[F.col(c).cast(t) for c, t in df.dtypes]))  # a run of equal values
+    a = {r.id: (r["_rank"], r["_n"]) for r in ranks(df, ["g"], "x", ["id"], bounded=True).collect()}
+    b = {r.id: (r["_rank"], r["_n"]) for r in ranks(df, ["g"], "x", ["id"]).collect()}
+    assert a == b and len(a) == df.count()
+    assert ranks(df.limit(0), ["g"], "x", ["id"]).count() == 0
+    avg = lambda bounded: {r.id: r.k for r in average_ranks(df, ["g"], "x", "k", bounded=bounded).collect()}
+    assert avg(True) == avg(False)
 
 
 def test_quantiles_and_bounds(spark, panel):
     df = to_spark(spark, panel)
-    for limit in (None, 10):
-        got = quantiles(df, ["g"], "x", [0.05, 0.5], ["a", "b"], limit=limit).toPandas().set_index("g").sort_index()
+    for bounded in (True, False):
+        got = quantiles(df, ["g"], "x", [0.05, 0.5], ["a", "b"], bounded=bounded).toPandas().set_index("g").sort_index()
         want = panel.groupby("g").x.quantile([0.05, 0.5]).unstack()
         assert np.allclose(got.to_numpy(), want.to_numpy())
     got = bounds(df, ["g"], "x", "mad").toPandas().set_index("g").sort_index()
     med = panel.groupby("g").x.median()
     mad = (panel.x - panel.g.map(med)).abs().groupby(panel.g).median() * 1.4826
-    assert np.allclose(got.hi, med + 3 * mad) and np.allclose(got.lo, med - 3 * mad)
+    assert np.allclose(got.hi, med + 3.5 * mad) and np.allclose(got.lo, med - 3.5 * mad)
+    same = bounds(df, ["g"], "x", "Median_MAD", bounded=False).toPandas().set_index("g").sort_index()
+    assert np.allclose(got.hi, same.hi)
 
 
 def test_no_scale_no_bound(spark):
@@ -80,6 +86,19 @@ def test_residuals_equal_dummy_regression(spark, panel):
     assert np.isnan(got[panel.x.isna()]).all()
 
 
+def test_residuals_with_two_categories(spark, panel):
+    d2 = panel.assign(k=panel.index % 3)
+    got = residuals(to_spark(spark, d2), ["g"], "y", ["x", "z"], "e", category=["c", "k"]).toPandas().sort_values("id").e.astype(float).to_numpy()
+    for g, d in d2.dropna(subset=["x"]).groupby("g"):
+        design = np.column_stack([d.x, d.z, pd.get_dummies(d.c).to_numpy(float), pd.get_dummies(d.k).to_numpy(float)])
+        e = d.y - design @ np.linalg.lstsq(design, d.y, rcond=None)[0]
+        assert np.allclose(got[d.index], e, atol=1e-6)
+    assert np.isnan(got[panel.x.isna()]).all()
+    with pytest.raises(ValueError):
+        residuals(to_spark(spark, d2), ["g"], "y", ["x"], "e", category="c", intercept=False)
+    assert residuals(to_spark(spark, d2).limit(0), ["g"], "y", ["x"], "e", category=["c", "k"]).count() == 0
+
+
 def test_group_ols_and_min_obs(spark, panel):
     f = group_ols(to_spark(spark, panel), ["g"], "y", ["x", "z"], min_obs=30).toPandas().set_index("g")
     for g, d in panel.dropna(subset=["x"]).groupby("g"):

@@ -175,3 +175,46 @@ def test_hac_errors():
     assert np.allclose(fit["se"], np.sqrt(np.diag(inv @ meat @ inv)))
     plain = series_ols(y, x)
     assert np.allclose(plain["se"], np.sqrt(np.diag(inv) * (u @ u) / 198)) and np.allclose(plain["coef"], fit["coef"])
+
+
+def test_spread_needs_both_sides(spark):
+    from panelweave.operators.portfolio import assert_layers, layer_spread, next_period_returns, sorted_legs, spread
+
+    w = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 1, 0.5), (1, 3, -1, 1.0), (2, 1, 1, 1.0), (3, 4, -1, 0.0), (3, 1, 1, 1.0)], "d int, asset_id int, side int, weight double")
+    got = {(r.d, r.asset_id): r.weight for r in spread(w, ["d"], "side", "HL").collect()}
+    assert got == {(1, 1): 0.5, (1, 2): 0.5, (1, 3): -1.0}
+    c = spark.createDataFrame([(1, i, i % 5, float(i + 1)) for i in range(10)], "d int, asset_id int, code int, me double")
+    legs = sorted_legs(c, ["d"], "code", [3, 4], [0], "me", "HL").collect()
+    assert sum(r.weight for r in legs if r.leg == "long") == pytest.approx(1) and sum(r.weight for r in legs if r.leg == "short") == pytest.approx(-1) and len(legs) == 6
+    with pytest.raises(ValueError):
+        assert_layers(spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "rebalance_date int, portfolio string, asset_id int"))
+    layers = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.3), (2, "a", 0.1)], "date int, portfolio string, ret double")
+    assert {r.date: r.ret for r in layer_spread(layers, {"a": -1.0, "b": 1.0}, "s").collect()} == pytest.approx({1: 0.2, 2: 0.0})
+    import datetime as dt
+
+    days = [dt.date(2020, 1, n) for n in (1, 2, 3, 4)]
+    rets = spark.createDataFrame([(d, 1, float(i)) for i, d in enumerate(days)], "date date, asset_id int, ret double")
+    sig = spark.createDataFrame([(days[0],), (days[2],), (days[3],)], "rebalance_date date")
+    assert {r.rebalance_date: r.forward for r in next_period_returns(sig, rets).collect()} == {days[0]: 1.0, days[2]: 3.0}
+
+
+def test_newey_west_with_many_lags(spark):
+    rng = np.random.default_rng(3)
+    y = rng.normal(0.1, 1, 90).cumsum() * 0.05
+    for lags in (0, 36, 200):
+        e = y - y.mean()
+        v = e @ e + 2 * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, min(lags, 89) + 1))
+        r = newey_west(spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(y)] + [(0, 900, None)], "k int, t int, x double"), ["k"], "t", "x", lags).first()
+        assert r.n == 90 and (r.se == pytest.approx(np.sqrt(v) / 90) if v > 0 else r.se is None)
+
+
+def test_next_in_calendar_has_no_bounds(spark):
+    import datetime as dt
+
+    from panelweave.operators.asof import calendar, next_in_calendar
+
+    d = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    cal = calendar(spark.createDataFrame([(d(0),), (d(1),), (d(900),)], "date date"), "date")
+    e = spark.createDataFrame([(k, d(n)) for k, n in enumerate((-5000, -1, 0, 1, 2, 900, 901))] + [(9, None)], "k int, t date")
+    assert {r.k: r.position for r in next_in_calendar(e, cal, "t", "date").collect()} == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2, 5: 2}
+    assert {r.k: r.position for r in next_in_calendar(e, cal, "t", "date", strict=True).collect()} == {0: 0, 1: 0, 2: 1, 3: 2, 4: 2}

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelweave.operators.allocation import allocate, inverse_wishart, matrix_power, prior_scale, risk_parity, shrunk_covariance, spike_and_slab
+from panelweave.operators.allocation import RULES, Spectrum, inverse_wishart, positions, pricing_diagnostics, prior_scale, risk_parity, shrunk_correlation, spike_and_slab
 from panelweave.operators.factor import Backtest, BucketFactor, Factor
 from panelweave.operators.options import band_table, hedge_daily, levered_pairs, low_leverage_spread, roll_pairs, tradable, trades
 from panelweave.operators.regression import rolling_residual
@@ -115,15 +115,23 @@ def test_options(spark):
 
 def test_allocation_kernels():
     m = np.array([[2, 0.4], [0.4, 1]])
-    w = matrix_power(m, -0.5)
-    assert np.allclose(w @ m @ w, np.eye(2))
+    half = np.column_stack([Spectrum(m).filtered(e, -0.5) for e in np.eye(2)])
+    assert np.allclose(half @ m @ half, np.eye(2)) and np.allclose(Spectrum(m).filtered(np.array([1.0, 2.0]), -1), np.linalg.solve(m, [1, 2]))
+    flat = Spectrum(np.array([[1.0, 1.0], [1.0, 1.0]]))
+    assert np.allclose(flat.filtered(np.array([1.0, -1.0]), -1), 0) and np.allclose(flat.filtered(np.array([1.0, 1.0]), -1), 0.5)
     x = RNG.normal(size=(50, 4))
-    s = shrunk_covariance(x)
-    emp = np.cov(x, rowvar=False, ddof=0)
-    rho = s[0, 1] / emp[0, 1]
-    assert 0 <= rho <= 1 and np.trace(s) == pytest.approx(np.trace(emp))
-    weights, shares = allocate(x, 12, 0.03)
-    assert all(v.sum() == pytest.approx(1) for v in shares.values()) and allocate(np.zeros((50, 4)), 12, 0.03) is None
+    s, emp = shrunk_correlation(x), np.cov(x, rowvar=False, ddof=0)
+    assert 0 <= s[0, 1] / emp[0, 1] <= 1 and np.trace(s) == pytest.approx(np.trace(emp))
+    assert np.allclose(shrunk_correlation(np.tile([[1.0], [-1.0]], (9, 3)) * [1, 1, 1])[0, 0], 1)
+    got = positions(x, 12, 0.03)
+    assert list(got) == list(RULES) and all(v.sum() == pytest.approx(1) for _, v in got.values()) and positions(np.zeros((50, 4)), 12, 0.03) == {}
+    # closed forms: risk is the target's, and each rule is its own system of equations
+    scale = x.std(axis=0, ddof=1)
+    z = x / scale
+    c, signal = shrunk_correlation(z), z[-12:].mean(axis=0)
+    for rule, unit in {"equal_risk_signal": signal, "markowitz_clean": np.linalg.solve(c, signal), "markowitz_raw": np.linalg.solve(np.cov(z, rowvar=False), signal)}.items():
+        w = unit / scale
+        assert np.allclose(got[rule][0], w * 0.03 / np.sqrt(unit @ c @ unit))
     draws = np.mean([inverse_wishart(np.random.default_rng(i), 30, m * 30) for i in range(3000)], axis=0)
     assert np.allclose(draws, m * 30 / (30 - 2 - 1), rtol=0.05)
 
@@ -142,12 +150,22 @@ def test_risk_parity(spark):
 
 
 def test_spike_and_slab():
-    f = RNG.normal(0.01, 0.04, (120, 2))
-    r = f[:, :1] @ RNG.normal(1, 0.3, (1, 6)) + RNG.normal(0, 0.02, (120, 6))
-    p = spike_and_slab(f, r, draws=300, burn=100, psi0=prior_scale(f, r, 0.05))
-    assert p.inclusion.shape == (200, 2) and p.price.shape == (200, 2) and p.sdf.shape == (120,) and np.isfinite(p.sdf).all()
-    with pytest.raises(ValueError):
-        spike_and_slab(f, r[:, :2], draws=10, burn=1)
+    rng = np.random.default_rng(5)
+    f = np.column_stack([rng.normal(0.02, 0.04, 240), rng.normal(0.0, 0.04, 240)])
+    r = np.outer(f[:, 0], rng.uniform(0.2, 2, 12)) + np.outer(f[:, 1], rng.uniform(-1, 1, 12)) + rng.normal(0, 0.02, (240, 12))
+    psi = prior_scale(f, r, 0.05)
+    rho = np.corrcoef(np.hstack([r, f]), rowvar=False)[:12, 12:]
+    eta = 0.5 * ((rho - rho.mean(axis=0)) ** 2).sum() / 12
+    top = r.mean(axis=0) @ np.linalg.solve(np.cov(r, rowvar=False), r.mean(axis=0))
+    assert psi * eta / (1 + psi * eta) * top == pytest.approx(0.05**2)
+    p = spike_and_slab(f, r, draws=1500, burn=300, psi=20.0)
+    assert p.inclusion.shape == (1200, 2) and p.price.shape == (1200, 2) and p.sdf.mean() == pytest.approx(1) and np.isfinite(p.sdf).all()
+    assert p.inclusion[:, 0].mean() > p.inclusion[:, 1].mean() and p.price[:, 0].mean() > 0.1
+    d = pricing_diagnostics(r, p)
+    assert d["pricing_error_reduction"] > 0.3 and 0 <= d["max_split_inclusion_difference"] <= 1 and d["mean_model_size"] == pytest.approx(p.inclusion.sum(axis=1).mean())
+    for bad in ({"assets": r[:, :2]}, {"draws": 5, "burn": 5}, {"factors": f[:10], "assets": r[:10]}):
+        with pytest.raises(ValueError):
+            spike_and_slab(**{"factors": f, "assets": r, "draws": 10, "burn": 1, **bad})
 
 
 def test_rolling_residual(spark):
