@@ -93,10 +93,11 @@ def version_rectangles(versions: DataFrame, entity: str, valid_from: str, record
     corners = base.groupBy("_e", "_b", "_v").agg(F.min("_r").alias("_r"))
     w = W.partitionBy("_e", "_b").orderBy("_v")
     corners = corners.withColumn("_m", F.min("_r").over(w.rowsBetween(W.unboundedPreceding, -1))).where("_m is null or _r < _m").drop("_m")
-    lowest = base.groupBy("_e").agg(F.min("_b").alias("_lb"))
     names = [f"_o{i}" for i in range(len(rank))]
     empty = [F.lit(None).cast(dict(base.dtypes)[n]).alias(n) for n in [*payload, *names]]
-    carried = corners.join(lowest, "_e").where("_b > _lb").select("_e", F.explode(F.sequence("_lb", F.col("_b") - 1)).alias("_b"), "_v", "_r", F.lit(True).alias("_c"), *empty)
+    # an entity's blocks are few: its calendar's; corners go to those of them that lie below their own
+    blocks = F.collect_set("_b").over(W.partitionBy("_e"))
+    carried = corners.withColumn("_bs", blocks).select("_e", F.explode(F.filter("_bs", lambda b: b < F.col("_b"))).alias("_b"), "_v", "_r", F.lit(True).alias("_c"), *empty)
     rows = base.select("_e", "_b", "_v", "_r", F.lit(False).alias("_c"), *payload, *names).unionByName(carried)
     # the order below is total up to identical rows, of which the second has no rectangle
     rows = rows.repartition("_e", "_b").sortWithinPartitions("_e", "_b", F.col("_c").desc(), *order, "_v", "_r")
