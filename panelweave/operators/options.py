@@ -74,23 +74,33 @@ def band_table(t: DataFrame) -> DataFrame:
     return t.where("delta_band is not null and maturity_band is not null").groupBy("delta_band", "maturity_band").agg(F.count(F.lit(1)).alias("n"), _vw("omega").alias("omega_vw"), (_vw("dh_ret") * 100).alias("dh_ret_vw_pct"), (F.avg("dh_ret") * 100).alias("dh_ret_ew_pct"))
 
 
-def low_leverage_spread(t: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(by underlying, in all): low minus high elasticity halves, each scaled by its own elasticity; underlyings weighted by value."""
+def low_leverage_spread(t: DataFrame, least: int = 1, leg_least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(by underlying, in all): low minus high elasticity halves, each scaled by its own elasticity; underlyings weighted by value.
+
+    Underlyings with under `least` options on a date, or under leg_least in a half, are left out.
+    """
     k = ["entry_date", "ticker"]
     m = quantiles(t, k, "omega", [0.5], ["_med"], bounded=True)  # the options of one underlying on one day
     low = F.col("omega") <= F.col("_med")
-    g = t.join(m, k).groupBy(*k).agg(_vw("dh_ret", when=low).alias("low_ret"), _vw("dh_ret", when=~low).alias("high_ret"), _vw("omega", when=low).alias("low_omega"), _vw("omega", when=~low).alias("high_omega"), F.count(F.lit(1)).alias("n_options"), F.sum("value").alias("value"))
-    g = g.where((F.col("n_options") >= least) & (F.col("low_omega") > 0) & (F.col("high_omega") > 0) & (F.col("value") > 0)).withColumn("ret", F.col("low_ret") / F.col("low_omega") - F.col("high_ret") / F.col("high_omega"))
+    g = t.join(m, k).groupBy(*k).agg(_vw("dh_ret", when=low).alias("low_ret"), _vw("dh_ret", when=~low).alias("high_ret"), _vw("omega", when=low).alias("low_omega"), _vw("omega", when=~low).alias("high_omega"), F.count(F.lit(1)).alias("n_options"), F.sum("value").alias("value"), F.least(F.count_if(low), F.count_if(~low)).alias("_leg"))
+    g = g.where((F.col("_leg") >= leg_least) & (F.col("n_options") >= least) & (F.col("low_omega") > 0) & (F.col("high_omega") > 0) & (F.col("value") > 0)).withColumn("ret", F.col("low_ret") / F.col("low_omega") - F.col("high_ret") / F.col("high_omega")).drop("_leg")
     total = g.groupBy("entry_date").agg(_vw("ret").alias("ret"), F.countDistinct("ticker").alias("n_underlyings"), F.sum("n_options").alias("n_options"))
     return g, total
 
 
-def levered_pairs(returns: DataFrame, pairs: DataFrame) -> DataFrame:
+def levered_pairs(returns: DataFrame, pairs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(date, pair, spread) of excess returns (date, ticker, excess): one-fold fund minus half the two-fold one; ALL is the average of the pairs there are.
 
-    pairs: (pair, one_fold, two_fold).
+    pairs: (pair, one_fold, two_fold). columns: several kinds of excess return (after and before fees), giving spread_<column> each.
     """
+    cols = columns or ["excess"]
+    to = lambda c: f"spread_{c}" if columns else "spread"
     leg = lambda c, x: pairs.select("pair", F.col(c).alias("ticker"), F.lit(x).alias("_c"))
-    d = returns.where("excess is not null").join(leg("one_fold", 1.0).unionByName(leg("two_fold", -0.5)), "ticker")
-    d = d.groupBy("date", "pair").agg(F.sum(F.col("_c") * F.col("excess")).alias("spread"), F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
-    return d.unionByName(d.groupBy("date").agg(F.avg("spread").alias("spread")).withColumn("pair", F.lit("ALL")))
+    d = returns.dropna(subset=cols).join(leg("one_fold", 1.0).unionByName(leg("two_fold", -0.5)), "ticker")
+    d = d.groupBy("date", "pair").agg(*[F.sum(F.col("_c") * F.col(c)).alias(to(c)) for c in cols], F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
+    return d.unionByName(d.groupBy("date").agg(*[F.avg(to(c)).alias(to(c)) for c in cols]).withColumn("pair", F.lit("ALL")))
+
+
+def before_fees(after: Column, expense_bps: Column, per_year: int = 252) -> Column:
+    """A fund's daily return with its expense ratio, in basis points a year, put back."""
+    return after + expense_bps / 10_000.0 / per_year

@@ -570,6 +570,16 @@ def factor_universe(spark: SparkSession, root: str, least: int = 120) -> DataFra
     return out.join(F.broadcast(long_enough), "factor", "left_semi")  # one row per factor
 
 
+_NAMES = {"f32_three_factors": ["mkt_rf", "smb", "hml"], "f33_q_factors": ["r_me", "r_ia", "r_roe"], "f27_pead": ["ret"], "f28_rmw": ["ret"], "f29_cma": ["ret"], "f30_low_noa": ["ret"]}
+_TRADED = " UNION ALL ".join(f"SELECT date, '{n.split('_', 1)[1] if c == 'ret' else c}' AS factor, {rs(c, 5)} AS ret FROM ({ORACLE[n]}) WHERE {c} IS NOT NULL" for n, cs in _NAMES.items() for c in cs)
+
+
+@query("f35_traded_series", _TRADED)
+def f35_traded(spark: SparkSession, root: str) -> DataFrame:
+    """Those factors of the universe that bring returns of their own, less the two with a query of their own beside it."""
+    return traded_series(spark, root).where("factor not in ('f_score', 'low_beta') and ret is not null").select("date", "factor", r(r("ret", 7), 5, "ret"))
+
+
 @query("f35_factor_universe")
 def f35(spark: SparkSession, root: str) -> DataFrame:
     """Every registered factor in one table."""

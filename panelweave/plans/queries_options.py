@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.dates import third_friday
-from panelweave.operators.options import band_table, hedge_daily, levered_pairs, low_leverage_spread, roll_pairs, tradable, trades
+from panelweave.operators.options import band_table, before_fees, hedge_daily, levered_pairs, low_leverage_spread, roll_pairs, tradable, trades
+from panelweave.operators.time_series import with_drawdown
 from panelweave.plans.panels import daily
 from panelweave.plans.queries_factors import _RF, risk_free
 from panelweave.plans.registry import ORACLE, D, query, r, rs
@@ -94,17 +95,45 @@ def v19(spark: SparkSession, root: str) -> DataFrame:
     return t.agg(n.alias("n_months"), r(m * 100, 4, "mean_monthly_pct"), r(s * 100, 4, "vol_monthly_pct"), r(m / s * F.sqrt(F.lit(12.0)), 4, "ann_sharpe"), r(m / s * F.sqrt(n.cast("double")), 4, "tstat"))
 
 
+_SAMPLES = {"all": "TRUE", "ATM": "abs(delta) BETWEEN 0.4 AND 0.6", "ex-2020": "year(entry_date) <> 2020"}
+_LEG = lambda x, op: f"sum(CASE WHEN omega {op} med THEN {x} * v END) / sum(CASE WHEN omega {op} med THEN v END)"
+_V21 = " UNION ALL ".join(
+    f"SELECT '{n}' AS sample, entry_date, sum(ret * v) / sum(v) AS x FROM (SELECT entry_date, ticker, {_LEG('dh', '<=')} / ({_LEG('omega', '<=')}) - {_LEG('dh', '>')} / ({_LEG('omega', '>')}) AS ret, sum(v) AS v FROM (SELECT *, median(omega) OVER (PARTITION BY entry_date, ticker) AS med FROM tr WHERE {w}) GROUP BY ALL) WHERE ret IS NOT NULL GROUP BY entry_date"
+    for n, w in _SAMPLES.items()
+)
+
+
+@query(
+    "v21_subsamples",
+    f"WITH {_S}, {_R}, {_C}, z AS ({_V21}), c AS (SELECT *, product(1 + x) OVER (PARTITION BY sample ORDER BY entry_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM z), dd AS (SELECT *, w / max(w) OVER (PARTITION BY sample ORDER BY entry_date) - 1 AS d FROM c) SELECT sample, count(*) AS n_months, {rs('12 * avg(x)', 5)} AS ann_return, {rs('sqrt(12) * stddev_samp(x)', 5)} AS ann_vol, {rs('arg_max(w, entry_date) - 1', 5)} AS total, {rs('min(d)', 5)} AS max_drawdown FROM dd GROUP BY sample",
+)
+def v21(spark: SparkSession, root: str) -> DataFrame:
+    """The spread on subsamples: all, at the money, without 2020; annualised, with its path's end and drawdown (V21). One option a leg is enough, as the stand-in chain has no more."""
+    t = materialize(period_trades(spark, root))
+    out = None
+    for name, where in _SAMPLES.items():
+        x = low_leverage_spread(t.where(where))[1].select(F.lit(name).alias("sample"), "entry_date", "ret")
+        out = x if out is None else out.unionByName(x)
+    d = with_drawdown(out, ["sample"], "entry_date", "ret")
+    a = d.groupBy("sample").agg(F.count("ret").alias("n_months"), (F.avg("ret") * 12).alias("ann_return"), (F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("ann_vol"), (F.max_by("wealth", "entry_date") - 1).alias("total"), F.min("drawdown").alias("max_drawdown"))
+    return a.select("sample", "n_months", r("ann_return", 5), r("ann_vol", 5), r("total", 5), r("max_drawdown", 5))
+
+
+_FEE = "(5 * (asset_id % 20))"
+
+
 @query(
     "f38_levered_pairs",
-    f"WITH {D}, {_RF}, nt AS (SELECT last_day(date) AS mo, count(DISTINCT date) AS n FROM d GROUP BY ALL), rd AS (SELECT mo, pow(1 + coalesce(rf, 0), 1.0::DOUBLE / n) - 1 AS rf FROM nt LEFT JOIN rf ON rf.date = mo), x AS (SELECT asset_id, d.date, ret - rd.rf AS ex FROM d JOIN rd ON rd.mo = last_day(d.date) WHERE ret IS NOT NULL), p AS (SELECT a.date, CAST(a.asset_id AS VARCHAR) AS pair, a.ex - 0.5 * b.ex AS s FROM x a JOIN x b ON b.date = a.date AND b.asset_id = a.asset_id + 1 WHERE a.asset_id % 2 = 1) SELECT date, pair, {rs('s')} AS spread FROM p UNION ALL SELECT date, 'ALL', {rs('avg(s)')} FROM p GROUP BY date",
+    f"WITH {D}, {_RF}, nt AS (SELECT last_day(date) AS mo, count(DISTINCT date) AS n FROM d GROUP BY ALL), rd AS (SELECT mo, pow(1 + coalesce(rf, 0), 1.0::DOUBLE / n) - 1 AS rf FROM nt LEFT JOIN rf ON rf.date = mo), x AS (SELECT asset_id, d.date, ret - rd.rf AS ex, ret - rd.rf + {_FEE} / 10000.0::DOUBLE / 252 AS eb FROM d JOIN rd ON rd.mo = last_day(d.date) WHERE ret IS NOT NULL), p AS (SELECT a.date, CAST(a.asset_id AS VARCHAR) AS pair, a.ex - 0.5 * b.ex AS s, a.eb - 0.5 * b.eb AS t FROM x a JOIN x b ON b.date = a.date AND b.asset_id = a.asset_id + 1 WHERE a.asset_id % 2 = 1) SELECT date, pair, {rs('s')} AS spread_after_fee, {rs('t')} AS spread_before_fee FROM p UNION ALL SELECT date, 'ALL', {rs('avg(s)')}, {rs('avg(t)')} FROM p GROUP BY date",
 )
 def f38(spark: SparkSession, root: str) -> DataFrame:
-    """One-fold minus half two-fold funds (F38): every odd asset stands for a fund, the next one for its two-fold twin."""
+    """One-fold minus half two-fold funds, after and before fees (F38): every odd asset stands for a fund, the next one for its two-fold twin, and a number of the asset for its fee."""
     d = daily(spark, root).select("asset_id", "date", "ret")
-    x = d.where("ret is not null").withColumn("_m", F.last_day("date")).join(F.broadcast(daily_rates(spark, root)), "_m")
+    x = d.where("ret is not null").withColumn("_m", F.last_day("date")).join(F.broadcast(daily_rates(spark, root)), "_m")  # one row per month
+    x = x.withColumn("after_fee", F.col("ret") - F.col("rf_daily"))
     pairs = d.where("asset_id % 2 = 1").select(F.col("asset_id").cast("string").alias("pair"), F.col("asset_id").cast("string").alias("one_fold"), (F.col("asset_id") + 1).cast("string").alias("two_fold")).distinct()
-    out = levered_pairs(x.select("date", F.col("asset_id").cast("string").alias("ticker"), (F.col("ret") - F.col("rf_daily")).alias("excess")), pairs)
-    return out.select("date", "pair", r("spread"))
+    out = levered_pairs(x.select("date", F.col("asset_id").cast("string").alias("ticker"), "after_fee", before_fees(F.col("after_fee"), F.expr(_FEE)).alias("before_fee")), pairs, ["after_fee", "before_fee"])
+    return out.select("date", "pair", r("spread_after_fee"), r("spread_before_fee"))
 
 
 def daily_rates(spark: SparkSession, root: str) -> DataFrame:
