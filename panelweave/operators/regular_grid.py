@@ -32,7 +32,11 @@ def counter_grid(readings: DataFrame, source: list[str], time: str, counter: str
     """
     t, c = F.col(f"`{time}`").cast("double"), F.col(f"`{counter}`").cast("double")
     ok = _known(source) & t.isNotNull() & ~F.isnan(t) & c.isNotNull() & ~F.isnan(c)
-    one = readings.where(ok).groupBy(*source, t.alias("_t")).agg(F.max(c).alias("_c"))
+    return _cells(readings.where(ok).groupBy(*source, t.alias("_t")).agg(F.max(c).alias("_c")), source, cells, width, start, reach)
+
+
+def _cells(one: DataFrame, source: list[str], cells: int, width: int, start: float | None, reach: float | None) -> DataFrame:
+    """counter_grid of readings (source..., _t, _c) that have one row per source and time."""
     w = W.partitionBy(*source).orderBy("_t")
     first = F.lit(None if start is None else float(start)).cast("double")
     d = one.select(*source, F.coalesce(F.lag("_t").over(w), first).alias("_a"), "_t", F.coalesce(F.lag("_c").over(w), F.when(first.isNotNull(), 0.0)).alias("_p"), "_c", F.lead("_t").over(w).alias("_n"))
@@ -54,9 +58,10 @@ def counter_grid(readings: DataFrame, source: list[str], time: str, counter: str
 
 
 def _ordinals(readings: DataFrame, source: list[str], time: str, *more: Column) -> DataFrame:
-    """Distinct reading times of each source with their number, read when the unit of time that they stand for is over."""
-    one = readings.groupBy(*source, F.col(f"`{time}`").alias("_m")).agg(*more) if more else readings.select(*source, F.col(f"`{time}`").alias("_m")).distinct()
-    return one.withColumns({"_k": F.row_number().over(W.partitionBy(*source).orderBy("_m")), "_end": F.col("_m") + 1})
+    """Distinct reading times of each source with their number: the counter _c, read at _t, when the unit of time that a reading stands for is over."""
+    end = (F.col(f"`{time}`") + 1).cast("double").alias("_t")
+    one = readings.groupBy(*source, end).agg(*more) if more else readings.select(*source, end).distinct()
+    return one.withColumn("_c", F.row_number().over(W.partitionBy(*source).orderBy("_t")).cast("double"))
 
 
 def reading_gaps(readings: DataFrame, source: list[str], time: str, cells: int, width: int, also_occupied: Column | None = None) -> DataFrame:
@@ -70,7 +75,7 @@ def reading_gaps(readings: DataFrame, source: list[str], time: str, cells: int,
     """
     is_reading = F.coalesce(F.col(f"`{time}`").between(0, cells * width - 1), F.lit(False))
     known = readings.where(_known(source))
-    grid = counter_grid(_ordinals(known.where(is_reading), source, time), source, "_end", "_k", cells, width, start=0, reach=1)
+    grid = _cells(_ordinals(known.where(is_reading), source, time), source, cells, width, start=0, reach=1)
     empty = grid.where("covered = 0")
     if also_occupied is not None:
         filled = known.where(F.coalesce(also_occupied, F.lit(False)) & ~is_reading).select(*source).distinct().withColumn("slot_no", F.lit(cells - 1))
@@ -97,8 +102,8 @@ def gauge_grid(readings: DataFrame, source: list[str], time: str, cells: int, wi
     opens = F.struct(F.col(f"`{order}`").alias("o"), F.when(ok(first), F.col(f"`{first}`")).alias("p"))
     one = _ordinals(known.where(usable), source, time, F.max(latest(last)).getField("p").alias("_p"), F.max(opens).getField("p").alias("_f"))
     # at most one price per unit of time
-    row = one.groupBy(*source).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_p"))), lambda x: x["_p"]).alias("_ps"), F.min_by("_f", "_k").alias("_f"))
-    grid = counter_grid(one, source, "_end", "_k", cells, width, start=0, reach=1).join(row, source)
+    row = one.groupBy(*source).agg(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_p"))), lambda x: x["_p"]).alias("_ps"), F.min_by("_f", "_c").alias("_f"))
+    grid = _cells(one, source, cells, width, start=0, reach=1).join(row, source)
     held = F.round(F.sum(F.coalesce("increment", F.lit(0.0))).over(W.partitionBy(*source).orderBy("slot_no").rowsBetween(W.unboundedPreceding, 0))).cast("int")
     grid = grid.withColumn("_h", held)
     closed = F.lit(False)
