@@ -21,7 +21,7 @@ from panelweave.plans.queries_cross import _EDGE, rank_weights
 from panelweave.plans.queries_panel import _BEQ, _LINKED, _PUBLIC, _RANGES, _SAMPLE, JUNE, june_sql
 from panelweave.plans.queries_series import f24, t20
 from panelweave.plans.registry import D, L, M, ORACLE, QUERIES, q_sql, query, r, rs
-from panelweave.session import materialize, table
+from panelweave.session import materialize, side_by_side, table
 
 _BY = "PARTITION BY asset_id ORDER BY date"
 
@@ -545,11 +545,20 @@ def monthly_signals(spark: SparkSession, root: str) -> DataFrame:
 
 def traded_series(spark: SparkSession, root: str) -> DataFrame:
     """(date, factor, ret) of the factors that bring returns of their own: three and q factors, earnings drift, profitability, investment, operating assets, score, beta."""
+    out = None
+    for x in side_by_side(_traded(spark, root)):
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _traded(spark: SparkSession, root: str) -> list[Callable[[], DataFrame]]:
     tall = lambda d, names: d.unpivot(["date"], names, "factor", "ret")
-    out = tall(three_factors(spark, root).select("date", "mkt_rf", "smb", "hml"), ["mkt_rf", "smb", "hml"]).unionByName(tall(q_factors(spark, root), ["r_me", "r_ia", "r_roe"]))
-    for name, f in {"pead": f27, "f_score": f_score_returns, **{n.split("_", 1)[1]: QUERIES[n] for n in _ANNUAL}}.items():
-        out = out.unionByName(f(spark, root).select("date", F.lit(name).alias("factor"), "ret"))
-    return out.unionByName(low_beta(spark, root).select("date", F.lit("low_beta").alias("factor"), F.col("bab").alias("ret")))
+    own = {"pead": f27, "f_score": f_score_returns, **{n.split("_", 1)[1]: QUERIES[n] for n in _ANNUAL}}
+    named = [lambda name=name, f=f: f(spark, root).select("date", F.lit(name).alias("factor"), "ret") for name, f in own.items()]
+    three = lambda: tall(three_factors(spark, root).select("date", "mkt_rf", "smb", "hml"), ["mkt_rf", "smb", "hml"])
+    q = lambda: tall(q_factors(spark, root), ["r_me", "r_ia", "r_roe"])
+    beta = lambda: low_beta(spark, root).select("date", F.lit("low_beta").alias("factor"), F.col("bab").alias("ret"))
+    return [beta, q, three, *named]
 
 
 def factor_universe(spark: SparkSession, root: str, least: int = 120) -> DataFrame:
@@ -559,13 +568,20 @@ def factor_universe(spark: SparkSession, root: str, least: int = 120) -> DataFra
     monthly, June, and weekly (held over days and compounded to months).
     """
     m = monthly(spark, root).select("date", "asset_id", "ret", "market_equity")
-    value = june_formation(spark, root).select(F.lit("value").alias("factor"), F.col("rebalance_date").alias("date"), "asset_id", F.col("bm").alias("exposure"))
-    own = bucket_returns(monthly_signals(spark, root), m).unionByName(bucket_returns(value, m))
-    days = daily(spark, root).select("date", "asset_id", "ret", "market_equity")
-    weekly = f24(spark, root).unpivot(["date", "asset_id"], ["low_rsk", "rkt", "low_rsj"], "factor", "exposure").where("exposure is not null")
-    week = bucket_returns(weekly, days).groupBy("factor", "portfolio", F.last_day("date").alias("date")).agg((F.product(F.col("ret") + 1) - 1).alias("ret"))
-    spreads = own.unionByName(week.select(*own.columns)).where("portfolio = 'HL'").select("date", "factor", "ret")
-    out = materialize(traded_series(spark, root).unionByName(spreads).where("ret is not null"))
+    spread_of = lambda signals, returns: bucket_returns(signals, returns).where("portfolio = 'HL'").select("date", "factor", "ret")
+
+    def value() -> DataFrame:
+        return spread_of(june_formation(spark, root).select(F.lit("value").alias("factor"), F.col("rebalance_date").alias("date"), "asset_id", F.col("bm").alias("exposure")), m)
+
+    def weekly() -> DataFrame:
+        signals = f24(spark, root).unpivot(["date", "asset_id"], ["low_rsk", "rkt", "low_rsj"], "factor", "exposure").where("exposure is not null")
+        days = spread_of(signals, daily(spark, root).select("date", "asset_id", "ret", "market_equity"))
+        return days.groupBy(F.last_day("date").alias("date"), "factor").agg((F.product(F.col("ret") + 1) - 1).alias("ret"))
+
+    out = None
+    for x in side_by_side([lambda: spread_of(monthly_signals(spark, root), m), value, weekly, *_traded(spark, root)]):
+        out = x.select("date", "factor", "ret") if out is None else out.unionByName(x)
+    out = out.where("ret is not null")
     long_enough = out.groupBy("factor").count().where(F.col("count") >= least).select("factor")
     return out.join(F.broadcast(long_enough), "factor", "left_semi")  # one row per factor
 

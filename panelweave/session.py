@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +94,9 @@ def at_most(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (of a few numbers each); otherwise as it is, to be joined by a shuffle."""
     return F.broadcast(df) if at_most(df, rows) else df
+
+
+def side_by_side(makers: list[Callable[[], DataFrame]], at_once: int = 4) -> list[DataFrame]:
+    """The tables that the makers build, each materialized, several at once: small jobs that don't depend on each other fill a cluster together."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda make: materialize(make()), makers))
