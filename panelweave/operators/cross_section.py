@@ -96,6 +96,12 @@ def bounds(df: DataFrame, by: list[str], x: str, method: str, scale: float | Non
     return m.select(*by, F.when(width > 0, centre - width).alias("lo"), F.when(width > 0, centre + width).alias("hi"))
 
 
+def outlier_limits(df: DataFrame, x: str, method: str, **kw: float | None) -> tuple[float, float]:
+    """Limits of a whole column as two numbers; infinite where there is no spread or no value."""
+    row = bounds(df.select(F.lit(0).alias("_all"), finite(x).alias(x)), ["_all"], x, method, bounded=False, **kw).first()
+    return (float("-inf") if row is None or row.lo is None else row.lo, float("inf") if row is None or row.hi is None else row.hi)
+
+
 def with_group(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
     """df with its group's statistics; rows with a null key belong to no group and get nulls."""
     return df.join(stats.dropna(subset=by), by, "left")

@@ -41,16 +41,22 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """One small text file, wherever the path's file system is."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
 def save_factor(exposure: DataFrame, folder: str, meta: dict, tables: dict[str, DataFrame] | None = None) -> str:
     """exposure (date, asset_id, exposure) without missing values, further tables, and meta.json beside them."""
     spark = exposure.sparkSession
     exposure.select("date", "asset_id", finite("exposure").alias("exposure")).where("exposure is not null").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/exposure.parquet")
     for name, df in (tables or {}).items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
-    fs, p = _fs(spark, f"{folder}/meta.json")
-    out = fs.create(p, True)
-    out.write(bytearray(json.dumps(meta, indent=1, default=str).encode()))
-    out.close()
+    write_text(spark, f"{folder}/meta.json", json.dumps(meta, indent=1, default=str))
     return folder
 
 

@@ -184,3 +184,25 @@ def test_rolling_residual(spark):
             assert got[i] == pytest.approx(y[i] - np.r_[1, x[i]] @ b)
         else:
             assert np.isnan(got[i])
+
+
+def test_summary_plots_and_limits(spark, tmp_path):
+    from panelweave.operators.cross_section import outlier_limits
+    from panelweave.operators.factor import Backtest, BucketFactor
+    from panelweave.plans.report import line_plot, report_tables, write_plots, write_summary
+
+    rng = np.random.default_rng(2)
+    months = [dt.date(2020 + k // 12, k % 12 + 1, 28) for k in range(30)]
+    rows = [(m, a, float(rng.normal()), float(rng.normal(0.01, 0.05)), float(a + 1)) for m in months for a in range(20)]
+    d = spark.createDataFrame(rows, "date date, asset_id int, exposure double, ret double, market_equity double")
+    f = BucketFactor("noise", buckets=4, limits=None).build(d)
+    b = Backtest(d.select("date", "asset_id", "ret"))
+    text = open(write_summary(f, d, b, str(tmp_path)), encoding="utf-8").read()
+    assert text.startswith("# noise") and text.count("## ") == 5 and "| HL |" in text and "| 2021 |" in text
+    pages = [open(p, encoding="utf-8").read() for p in write_plots(report_tables(f, d, b), str(tmp_path))]
+    assert len(pages) == 2 and all(p.count("<polyline") == 5 for p in pages)
+    assert "<polyline" not in line_plot(d.limit(0), "date", ["ret"], "<empty>")
+    x = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, 4.0, float("nan"), None]], "v double")
+    assert outlier_limits(x, "v", "boxplot") == pytest.approx((1.75 - 1.5 * 1.5, 3.25 + 1.5 * 1.5))
+    assert outlier_limits(x.limit(0), "v", "std") == (float("-inf"), float("inf"))
+    assert outlier_limits(x, "v", "quantile", lower=None, upper=None) == (1.0, 4.0)
