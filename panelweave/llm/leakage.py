@@ -20,18 +20,23 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_CHARS = 10_000_000
 
 
+def _raw(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9A-Za-z]+)"), F.lit(1))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of ASCII letters and digits in lower case. Only ASCII is matched before letters are lowered, so no other letter is folded into it."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9A-Za-z]+)"), F.lit(1)), F.lower)
+    return F.transform(_raw(text), F.lower)
 
 
-def _terms(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., pos, term): one row a word, named by the hash of its lower case. Exploded first, so that hashing is compiled."""
+    return docs.select(*keep, F.posexplode(_raw(F.col("text"))).alias("pos", "w")).select(*keep, "pos", F.xxhash64(F.lower("w")).alias("term"))
 
 
 def corpus_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, n): how often each term of the vocabulary stands in the corpus. Added up on the map side either way."""
-    tokens = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    tokens = _tokens(docs).select("term")
     if at_most(vocabulary, BROADCAST_ROWS):
         tokens = tokens.join(F.broadcast(vocabulary), "term", "left_semi")
         return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -52,7 +57,7 @@ def anchors(item_words: DataFrame, counts: DataFrame, run: int, altered: int) ->
 
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, doc_id, pos): the postings of the terms, stored in order of terms in each file. No text is shuffled while the terms can be broadcast."""
-    tokens = docs.select("doc_id", F.posexplode(_terms(F.col("text"))).alias("pos", "term"))
+    tokens = _tokens(docs, "doc_id")
     return stored(tokens.join(broadcast_if_small(terms, BROADCAST_ROWS), "term", "left_semi").select("term", "doc_id", "pos"), "term", "doc_id", "pos")
 
 

@@ -431,3 +431,11 @@ def test_percentiles_counted_either_way(spark, groups, monkeypatch):
     df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("c"), (F.col("id") % 2).alias("d"), F.col("id").cast("double").alias("v")).repartition(5)
     got = certified_percentiles(df, ["c"], ["d"], "v", [0.5]).collect()
     assert len(got) == 6 and all(r.certified for r in got) and {r.n_values for r in got if r.is_coarse} == {1000, 2000}
+
+
+def test_leaks_in_very_long_texts(spark):
+    item = [f"w{i}" for i in range(30)]
+    filler = ["the", "w3", "of", "w7"] * 15_000
+    docs = spark.createDataFrame([(1, " ".join(filler + item[5:20] + filler)), (2, " ".join(filler))], "doc_id long, text string")
+    got = leaked_passages(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.kind, r.doc_pos, r.item_pos, r.run_words) for r in got] == [(1, "phrase", 60_000, 5, 15)]
