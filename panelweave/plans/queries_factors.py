@@ -603,9 +603,22 @@ def f35(spark: SparkSession, root: str) -> DataFrame:
 
 
 
-@query("f06_residual_momentum")
+# The SQL spells out each row's window and takes the regressors off one after the other.
+_off = lambda x, cs: ", ".join(f"{c} - {x} * coalesce(sum({x} * {c}) OVER p / nullif(sum({x} * {x}) OVER p, 0), 0) AS {c}" for c in cs)
+_RES = f"""d6 AS (SELECT m.asset_id, m.date, row_number() OVER (PARTITION BY m.asset_id ORDER BY m.date) AS i, m.ret - ff.rf AS y, mkt_rf AS x1, smb AS x2, hml AS x3 FROM m LEFT JOIN ff ON ff.date = m.date),
+c6 AS (SELECT * FROM d6 WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL),
+w0 AS (SELECT a.asset_id, a.i AS t0, b.i, b.y, b.x1, b.x2, b.x3 FROM c6 a JOIN c6 b ON b.asset_id = a.asset_id AND b.i BETWEEN a.i - 35 AND a.i),
+w1 AS (SELECT asset_id, t0, i, count(*) OVER p AS n, {', '.join(f'{c} - avg({c}) OVER p AS {c}' for c in ('y', 'x1', 'x2', 'x3'))} FROM w0 WINDOW p AS (PARTITION BY asset_id, t0)),
+w2 AS (SELECT asset_id, t0, i, n, {_off('x1', ['y', 'x2', 'x3'])} FROM w1 WINDOW p AS (PARTITION BY asset_id, t0)),
+w3 AS (SELECT asset_id, t0, i, n, {_off('x2', ['y', 'x3'])} FROM w2 WINDOW p AS (PARTITION BY asset_id, t0)),
+w4 AS (SELECT asset_id, t0, i, n, {_off('x3', ['y'])} FROM w3 WINDOW p AS (PARTITION BY asset_id, t0)),
+r6 AS (SELECT d6.asset_id, d6.date, d6.i, w4.y AS res FROM d6 LEFT JOIN w4 ON w4.asset_id = d6.asset_id AND w4.t0 = d6.i AND w4.i = d6.i AND w4.n >= 24),
+s6 AS (SELECT date, asset_id, avg(res) OVER f / CASE WHEN count(res) OVER f >= 8 AND stddev_samp(res) OVER f > 0 THEN stddev_samp(res) OVER f END AS v FROM r6 WINDOW f AS (PARTITION BY asset_id ORDER BY date ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING))"""
+
+
+@query("f06_residual_momentum", f"WITH {_FF3}, {_RES} {_exp_sql('s6', 'v', 5)}")
 def f06(spark: SparkSession, root: str) -> DataFrame:
-    """Mean over deviation of three-factor residuals, months 12 to 2 back (F06, T10); the kernel is tested against NumPy."""
+    """Mean over deviation of three-factor residuals, months 12 to 2 back."""
     m = monthly(spark, root).select("date", "asset_id", "ret")
     d = m.join(F.broadcast(materialize(three_factors(spark, root))), "date", "left").withColumn("excess", F.col("ret") - F.col("rf"))  # factors: one row per month
     w = along("asset_id", "date")
