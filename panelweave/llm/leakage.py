@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelweave.session import at_most, broadcast_if_small, stored
+from panelweave.session import broadcast_if_small, stored
 
 #: Consecutive words that make a leak.
 RUN = 12
@@ -34,10 +34,10 @@ def _tokens(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.posexplode(_raw(F.col("text"))).alias("pos", "w")).select(*keep, "pos", F.xxhash64(F.lower("w")).alias("term"))
 
 
-def corpus_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, n): how often each term of the vocabulary stands in the corpus. Added up on the map side either way."""
+def corpus_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
+    """(term, n): how often each term of the vocabulary stands in the corpus. Added up on the map side either way; small: the vocabulary may be broadcast."""
     tokens = _tokens(docs).select("term")
-    if at_most(vocabulary, BROADCAST_ROWS):
+    if small:
         tokens = tokens.join(F.broadcast(vocabulary), "term", "left_semi")
         return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "term", "left_semi")
@@ -56,9 +56,9 @@ def anchors(item_words: DataFrame, counts: DataFrame, run: int, altered: int) ->
 
 
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, pos): the postings of the terms, stored in order of terms in each file. No text is shuffled while the terms can be broadcast."""
+    """(term, doc_id, pos): the postings of the terms, stored in order of terms in each file. No text is shuffled while the terms may be broadcast."""
     tokens = _tokens(docs, "doc_id")
-    return stored(tokens.join(broadcast_if_small(terms, BROADCAST_ROWS), "term", "left_semi").select("term", "doc_id", "pos"), "term", "doc_id", "pos")
+    return stored(tokens.join(terms, "term", "left_semi").select("term", "doc_id", "pos"), "term", "doc_id", "pos")
 
 
 def intersect(index: DataFrame, anchored: DataFrame, run: int, band: int) -> DataFrame:
@@ -67,7 +67,7 @@ def intersect(index: DataFrame, anchored: DataFrame, run: int, band: int) -> Dat
     The offset of a hit is its place in the document less that in the item. With band 1 a cell is one offset; else cell c
     takes the offsets from c * band to (c + 2) * band - 1, so that offsets up to `band` apart share a cell.
     """
-    hits = index.join(broadcast_if_small(anchored, BROADCAST_ROWS), "term")
+    hits = index.join(anchored, "term")
     cell = F.floor((F.col("pos") - F.col("item_pos")) / F.lit(band)).cast("int")
     cells = F.array(cell) if band == 1 else F.array(cell, cell - 1)
     hits = hits.select("doc_id", "item", "item_pos", F.explode(cells).alias("cell"))
@@ -99,14 +99,16 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = RUN, altered:
     own = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
     own = stored(own.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("item_words")).where(F.size("item_words") >= run))
     item_words = own.select("item", F.posexplode(F.transform("item_words", lambda w: F.xxhash64(w))).alias("item_pos", "term"))
-    counts = corpus_counts(docs, item_words.select("term").distinct())
+    # sizes are known before anything is broadcast: words of all items, then anchors, then documents with a candidate
+    n_words, chars = own.agg(F.sum(F.size("item_words")), F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)))).first()
+    counts = corpus_counts(docs, item_words.select("term").distinct(), (n_words or 0) <= BROADCAST_ROWS)
     anchored = stored(anchors(item_words, counts, run, altered))
+    hint = F.broadcast if anchored.count() <= BROADCAST_ROWS else (lambda df: df)
     band = band if altered else 1
-    index = positional_index(docs, anchored.select("term").distinct())
-    met = stored(intersect(index, anchored, run, band))
+    index = positional_index(docs, hint(anchored.select("term").distinct()))
+    met = stored(intersect(index, hint(anchored), run, band))
     texts = docs.join(broadcast_if_small(met.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
-    small = (own.agg(F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)))).first()[0] or 0) <= BROADCAST_CHARS
-    both = met.join(F.broadcast(own) if small else own, "item").join(texts, "doc_id")
+    both = met.join(F.broadcast(own) if (chars or 0) <= BROADCAST_CHARS else own, "item").join(texts, "doc_id")
     return _compared(both, run, altered, band)
 
 
