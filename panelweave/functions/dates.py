@@ -35,3 +35,17 @@ def third_friday(d: Column | str) -> Column:
     """Third Friday of d's month."""
     first = F.trunc(d, "month")
     return F.date_add(F.next_day(F.date_sub(first, 1), "Fri"), 14)
+
+
+def quarter_start(d: Column | str) -> Column:
+    return F.trunc(d, "quarter")
+
+
+def quarter_end(d: Column | str) -> Column:
+    return F.date_sub(F.add_months(F.trunc(d, "quarter"), 3), 1)
+
+
+def open_minute_utc(d: Column | str, zone: str = "America/New_York") -> Column:
+    """Minute of the UTC day at which the exchange opens (09:30 in its zone) on date d."""
+    at = F.to_utc_timestamp(F.timestamp_seconds(F.unix_date(d).cast("long") * 86_400 + 570 * 60), zone)
+    return (F.hour(at) * 60 + F.minute(at)).cast("int")

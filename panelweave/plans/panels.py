@@ -23,6 +23,17 @@ def is_financial(sic: str | Column) -> Column:
     return F.coalesce((F.col(sic) if isinstance(sic, str) else sic).between(*FINANCIALS), F.lit(False))
 
 
+def exchange_code(letter: str | Column) -> Column:
+    """1, 2, 3 for N, A, Q (fixed values); null for others."""
+    c = F.col(letter) if isinstance(letter, str) else letter
+    return F.when(c == "N", 1.0).when(c == "A", 2.0).when(c == "Q", 3.0)
+
+
+def to_wide(df: DataFrame, index: str, columns: str, names: list, value: str) -> DataFrame:
+    """One row per index and one column per name, of several values the greatest; the names are given, so no job finds them."""
+    return df.groupBy(index).pivot(columns, names).agg(F.max(value))
+
+
 def monthly(spark: SparkSession, root: str, primary: bool = True) -> DataFrame:
     """crsp_monthly with missing values as nulls and one row per (asset_id, date), of repeated rows the greatest value of each column; by default only primary shares."""
     num = ["ret", "retx", "market_equity", "exchange_code", "dollar_volume", "siccd", "market_equity_security"]

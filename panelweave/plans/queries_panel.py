@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelweave.functions.dates import as_date
+from panelweave.functions.dates import as_date, open_minute_utc, quarter_end, quarter_start
 from panelweave.functions.keys import drop_ambiguous, last_rows
 from panelweave.functions.nulls import finite, positive
 from panelweave.operators.asof import asof_backward, calendar, code_of_range, next_in_calendar
 from panelweave.operators.portfolio import holding_periods
 from panelweave.operators.realized import tick_filter
 from panelweave.operators.time_series import trailing_year, year_to_quarter
-from panelweave.plans.panels import daily, fiscal_years, is_financial, june_accounts, june_formation, link, links, monthly, monthly_accounts, public_quarters, quarters
+from panelweave.plans.panels import daily, exchange_code, fiscal_years, is_financial, june_accounts, june_formation, link, links, monthly, monthly_accounts, public_quarters, quarters, to_wide
 from panelweave.plans.registry import D, L, M, fin, q_sql, query, r, rs
 from panelweave.session import ensure_checkpoint_dir, table
-from panelweave.sources.readers import read_code_ranges, read_csv, read_factor_text, read_glob, write_by_year
+from panelweave.sources.readers import read_code_ranges, read_csv, read_factor_text, read_glob, read_nested_zip, write_by_year
+from panelweave.sources.store import write_bytes
 
 
 @query("s01_scan", f"SELECT asset_id, date, {fin('ret')} AS ret FROM crsp_monthly WHERE date BETWEEN DATE '2015-01-01' AND DATE '2019-12-31'")
@@ -57,6 +58,23 @@ def csv_scan(spark: SparkSession, root: str) -> DataFrame:
     return out.select("asset_id", "date", finite("ret").alias("ret"))
 
 
+@query("s06_nested_zip", "SELECT * FROM (VALUES ('1', '0.5', NULL), ('2', '', 'b,c')) t(id, ret, note)")
+def nested_zip(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of a CSV in a zip in a zip; a column the file lacks, and a field a line lacks, are null."""
+    import io
+    import zipfile
+
+    def zipped(name: str, content: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, content)
+        return out.getvalue()
+
+    folder = _scratch(spark, "zip")
+    write_bytes(spark, f"{folder}/a.zip", zipped("inner.zip", zipped("rows.csv", b'id,ret,note\n1,0.5\n2,,"b,c"\n')))
+    return read_nested_zip(spark, f"{folder}/*.zip", ["id", "ret", "note"])
+
+
 @query("s12_factor_text", f"SELECT last_day(observation_date) AS date, {rs('avg(dgs1mo) / 100')} AS rate, count(dgs1mo) / 100.0 AS days FROM dgs1mo WHERE isfinite(dgs1mo) GROUP BY ALL")
 def factor_text(spark: SparkSession, root: str) -> DataFrame:
     """Monthly lines of a text with heads and notes, read back as decimals."""
@@ -251,6 +269,29 @@ def m08(spark: SparkSession, root: str) -> DataFrame:
     return q.select("gvkey", "datadate", r("cx", 4, "capx_q"), r("ttm", 4, "saleq_ttm"), day.alias("public_from"))
 
 
+@query("m16_matrix", f"WITH {M}, a AS (SELECT date, exchange_code AS e, avg(ret) AS v FROM m GROUP BY ALL) SELECT date, {', '.join(rs(f'max(CASE WHEN e = {k} THEN v END)') + f' AS x{k}' for k in (1, 2, 3))} FROM a GROUP BY date")
+def m16_matrix(spark: SparkSession, root: str) -> DataFrame:
+    """Mean returns as a matrix of months by exchange."""
+    a = monthly(spark, root).groupBy("date", "exchange_code").agg(F.avg("ret").alias("v"))
+    w = to_wide(a, "date", "exchange_code", [1.0, 2.0, 3.0], "v")
+    return w.select("date", *[r(F.col(f"`{k}.0`"), 8, f"x{k}") for k in (1, 2, 3)])
+
+
+@query("m16_quarters", f"WITH {D} SELECT CAST(date_trunc('quarter', date) AS DATE) AS quarter_start, CAST(date_trunc('quarter', date) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end, CASE exchange_code WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE WHEN 3 THEN 3.0::DOUBLE END AS code, count(*) AS n FROM d GROUP BY ALL")
+def m16_quarters(spark: SparkSession, root: str) -> DataFrame:
+    """Asset-days by quarter, with its bounds, and by exchange, its letter turned into the code."""
+    letter = F.when(F.col("exchange_code") == 1, "N").when(F.col("exchange_code") == 2, "A").when(F.col("exchange_code") == 3, "Q")
+    d = daily(spark, root).select(quarter_start("date").alias("quarter_start"), quarter_end("date").alias("quarter_end"), exchange_code(letter).alias("code"))
+    return d.groupBy("quarter_start", "quarter_end", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m10_opening", "SELECT DISTINCT CAST(strptime(CAST(date_key AS VARCHAR), '%Y%m%d') AS DATE) AS date, CAST(minute_of_day - session_minute AS BIGINT) AS open_minute FROM minute_bars WHERE session_minute IS NOT NULL AND minute_of_day IS NOT NULL AND session_minute BETWEEN 0 AND 390")
+def m10_opening(spark: SparkSession, root: str) -> DataFrame:
+    """Minute of the UTC day at which New York opens, on every date with bars."""
+    b = table(spark, root, "minute_bars").where("session_minute between 0 and 390 and minute_of_day is not null").select(as_date("date_key").alias("date")).distinct()
+    return b.select("date", open_minute_utc("date").cast("long").alias("open_minute"))
+
+
 _POLICY = f"o AS (SELECT observation_date AS date, max({fin('dgs1mo')}) AS v FROM dgs1mo GROUP BY ALL), u AS (SELECT date, ceil(v * 4) / 4 AS upper, ceil(v * 4) / 4 - 0.25::DOUBLE AS lower FROM o WHERE v IS NOT NULL)"
 
 

@@ -41,15 +41,24 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> str:
-    """One small text file, wherever the path's file system is."""
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> str:
+    """One small file, wherever the path's file system is."""
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(content))
     out.close()
     return path
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    return write_bytes(spark, path, text.encode())
+
+
+def factor_dir(root: str, name: str) -> str:
+    """Where a factor's results lie below the data root."""
+    return f"{root.rstrip('/')}/factors/{name}"
+
+
 def save_factor(exposure: DataFrame, folder: str, meta: dict, tables: dict[str, DataFrame] | None = None) -> str:
     """exposure (date, asset_id, exposure) without missing values, further tables, and meta.json beside them."""
     spark = exposure.sparkSession
