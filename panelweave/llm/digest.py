@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.nearest import source_bytes
 from panelweave.session import stored
 
 #: Clusters per digest at most; at the median a cluster holds pi / (2 * SIZE) of the values, towards the ends ever less.
@@ -17,6 +18,8 @@ SIZE = 500
 #: Share of ranks by which a percentile may be off, besides half a rank.
 RANK_ERROR = 0.01
 FLUSH_ROWS = 1_000_000
+#: Bytes of source files that make about one digest a group.
+PIECE_BYTES = 128 * 1024 * 1024
 #: Groups whose estimates are broadcast to where the values are read; of more groups, the values are shuffled to them.
 BROADCAST_GROUPS = 100_000
 #: Values of one group that a task counts in the second way; a larger group is spread over more tasks.
@@ -106,12 +109,14 @@ def _merged(df: DataFrame, by: list[str], spread: list, size: int) -> DataFrame:
     return df.withColumns({f"_s{i}": c for i, c in enumerate(spread)}).groupBy(*[f"_s{i}" for i in range(len(spread))]).applyInPandas(lambda pdf: merge(pdf.drop(columns=[c for c in pdf if c.startswith("_s")])), _schema(by, kinds))
 
 
-def merge_digests(digests: DataFrame, by: list[str], size: int = SIZE, fan: int = 16) -> DataFrame:
+def merge_digests(digests: DataFrame, by: list[str], size: int = SIZE, fan: int | None = None) -> DataFrame:
     """One digest per group, from any number of digests of separate pieces, days or files.
 
     In two steps, so that a group of which there are very many digests is not merged by one task: first `fan` ways by
-    where the digests come from, then those results.
+    where the digests come from, then those results. Without `fan` it is the root of the number of pieces that the source files
+    make, so that both steps grow alike: a million pieces are merged a thousand at a time.
     """
+    fan = max(16, int((source_bytes(digests) / PIECE_BYTES) ** 0.5)) if fan is None else fan
     buckets = max(1, int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     own = F.pmod(F.xxhash64(*by), F.lit(buckets))
     some = _merged(digests.select(*by, "_means", "_weights"), by, [own, F.pmod(F.spark_partition_id(), F.lit(fan))], size)
