@@ -149,18 +149,23 @@ class CharModel:
         for ab, n in self.pair.items():
             self.head[ab[0]] += n
         self.placed = {k[1:]: n for k, n in counts.items() if k[0] == "x"}
+        self.known: dict[str, float] = {}  # scores by character, or by two of a paired script: bounded by the characters there are
         case = {k[1:]: n for k, n in counts.items() if k[0] == "c"}
         self.case = {ab: math.log((n + 1) / (sum(m for k, m in case.items() if k[0] == ab[0]) + 4)) for ab, n in ((a + b, case.get(a + b, 0)) for a in "ul" for b in "ul")}
 
     def score(self, c: str, before: str) -> float:
-        if "\x80" <= c <= "\x9f":  # where a corpus has them, they come from wrong readings
-            return UNSEEN
-        one = max(self.single.get(c, UNSEEN), EVERYDAY if _everyday(c) else HAN if "一" <= c <= "龥" or "가" <= c <= "힣" else UNSEEN)
-        if before and _paired(c) and _paired(before):
-            a, b = before.lower(), c.lower()
-            n = self.head.get(a, 0)
-            p = (self.pair.get(a + b, 0) + 5 * math.exp(self.single.get(b, EVERYDAY))) / (n + 5)
-            return math.log(max(p, 1e-9)) + self.case[("u" if before != a else "l") + ("u" if c != b else "l")]
+        if before and "Ͱ" <= c <= "ӿ" and _paired(before):
+            key = before + c
+            if key not in self.known:
+                a, b = before.lower(), c.lower()
+                p = (self.pair.get(a + b, 0) + 5 * math.exp(self.single.get(b, EVERYDAY))) / (self.head.get(a, 0) + 5)
+                self.known[key] = math.log(max(p, 1e-9)) + self.case[("u" if before != a else "l") + ("u" if c != b else "l")]
+            return self.known[key]
+        one = self.known.get(c)
+        if one is None:
+            floor = EVERYDAY if _everyday(c) else HAN if "一" <= c <= "龥" or "가" <= c <= "힣" else UNSEEN
+            # control characters, where a corpus has them, come from wrong readings
+            one = self.known[c] = UNSEEN if "\x80" <= c <= "\x9f" else max(self.single.get(c, UNSEEN), floor)
         return one
 
     def likelier(self, c: str, stands: str, place: str) -> float:
