@@ -137,9 +137,11 @@ def t16(spark: SparkSession, root: str) -> DataFrame:
 # Engine. The book: value-weighted size deciles formed each quarter, and their spread.
 def _formed(spark: SparkSession, root: str) -> DataFrame:
     d = log_size(spark, root).where("month(date) in (3, 6, 9, 12)")
-    w = materialize(decile_weights(d)).select(F.col("date").alias("rebalance_date"), F.col("label").alias("portfolio"), "asset_id", "weight")
-    hl = w.where("portfolio in ('D01', 'D10')").withColumns({"weight": F.when(F.col("portfolio") == "D10", F.col("weight")).otherwise(-F.col("weight")), "portfolio": F.lit("HL")})
-    return materialize(book_from_holdings(w.unionByName(hl)))  # a book is small and read several times
+    own = F.struct(F.col("label").alias("portfolio"), F.col("weight").alias("weight"))
+    top, bottom = F.struct(F.lit("HL").alias("portfolio"), F.col("weight").alias("weight")), F.struct(F.lit("HL").alias("portfolio"), (-F.col("weight")).alias("weight"))
+    both = F.array_compact(F.array(own, F.when(F.col("label") == "D10", top).when(F.col("label") == "D01", bottom)))  # a row of an end bucket is in two portfolios
+    w = decile_weights(d).select(F.col("date").alias("rebalance_date"), "asset_id", F.explode(both).alias("x")).select("rebalance_date", "x.portfolio", "asset_id", "x.weight")
+    return materialize(book_from_holdings(w))  # a book is small and read several times
 
 
 def _rets(spark: SparkSession, root: str) -> DataFrame:
